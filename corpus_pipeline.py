@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, pii, toxicity
+from fathomline.llm import decontaminate, ngram_join, packing, pii, toxicity
 from fathomline.llm.common import table
 
 
@@ -18,6 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that n-gram links join, the one with the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -29,10 +34,17 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return masked.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as token pieces with their places in training sequences."""
+    return packing.query(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("pii", mask_personal_data),
+    ("packing", pack_sequences),
 ]
 
 #: SQL can't train the classifier or tokenise; the stages are tested one by one against brute force.
