@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
+from . import chat_repair, decontaminate, language_id, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
 from .common import table
 
 
@@ -42,6 +42,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.query(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.query(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -52,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_ngram_join": op7_ngram_join,
         "op8_packing": op8_packing,
+        "op9_token_counts": op9_token_counts,
+        "op10_chat_repair": op10_chat_repair,
     }
 
 
