@@ -4,13 +4,15 @@
    in classes of half a power of two, is the high part of the shingle's 64-bit key and a hash the low part. So a
    document's keys in ascending order are its shingles rare-first, and equal sets have equal keys.
 2. Documents with equal sets become one node (their smallest doc_id).
-3. Prefix filter: each node's first n - ceil(0.9 n) + 1 keys. Two nodes that link share a prefix key. The nodes under
-   one key gather around the smallest of them, its pivot; all keys with the same pivot make one group, so a family of
-   near copies is gathered once, not once for each key they share, and no list of pairs is ever written.
-4. In a group the pivot is compared first. Then only pairs that nothing has linked yet go through the length, positional
-   and suffix filters; those left are verified on whole sets. A pair that shares several groups belongs to the first.
-   A group of over `block` nodes is dealt out: first all its blocks against the pivot, then the nodes that the pivot
-   doesn't link against all blocks.
+3. Prefix filter: each node's first n - ceil(0.9 n) + 1 keys. Two nodes that link share a prefix key and have sizes in
+   the same band or neighbouring ones. The nodes under one key and band gather around the smallest of them, its pivot;
+   all that have the same pivot make one group, so a family of near copies is gathered once, not once for each key
+   they share, and no list of pairs is ever written.
+4. Groups are screened on sizes and small histograms of the keys (length and suffix filter) first; whole sets are
+   made again and moved only for nodes with a partner left. In a group the pivot is compared first, then only pairs that
+   nothing has linked yet; those that the length, suffix and positional filters leave are verified on whole sets. A
+   pair that shares several groups belongs to the first. A group of over `block` nodes is dealt out: first all its
+   blocks against the pivot, then the nodes that the pivot doesn't link against all blocks.
 5. Connected components of the links by alternating large-star and small-star steps, each written to the shared
    checkpoint folder.
 
@@ -24,6 +26,7 @@ has a null component; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,14 +99,24 @@ def word_classes(documents: DataFrame, text: str, share: int = 4000, least: int
     return {w % (1 << 64): min(63, 1 + int(2 * np.log2(df / floor))) for w, df in frequent.collect()}
 
 
+def histogram(keys: np.ndarray) -> bytes:
+    """Counts of keys by their lowest bits, a byte each, about eight keys to a bin.
+
+    The sum of differences of two histograms, folded to the same length, is a lower bound of the symmetric difference;
+    cutting counts off at 255 only lowers it.
+    """
+    n = 1 << min(max(6, (len(keys) // 8).bit_length()), 14)
+    return np.minimum(np.bincount((keys & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
 class Verifier:
-    """Filters and exact verification for pairs of key sets."""
+    """Filters on sizes and histograms, and exact verification of pairs of key sets."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sizes: list[int], histograms: list[bytes], percent: int, sets: list[np.ndarray] | None = None):
         self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(s) for s in sets])
-        # Keys by bin of their hash: the sum of differences is a lower bound of the symmetric difference.
-        self.bins = np.stack([np.bincount((s & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS) for s in sets]).astype(np.int32)
+        self.sizes = np.array(sizes, dtype=np.int64)
+        n = min(map(len, histograms))
+        self.bins = np.stack([np.frombuffer(h, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int32) for h in histograms])
 
     def need(self, i: int, j: np.ndarray | int) -> np.ndarray:
         """The smallest intersection that links: 100 I >= percent (a + b - I)."""
@@ -151,12 +164,13 @@ def group_links(pivot: int, rows: list[Row], percent: int, step: str) -> tuple[l
     if len(rows) < 2:
         return [], []
     nodes = [r[0] for r in rows]
-    check, forest = Verifier([r[1] for r in rows], percent), Forest(len(rows))
+    sets = [r[1] for r in rows]
+    check, forest = Verifier([len(x) for x in sets], [histogram(x) for x in sets], percent, sets), Forest(len(rows))
     everyone = np.arange(len(rows))
     if step != "rest" and pivot in nodes:
         p = nodes.index(pivot)
         for j in check.candidates(p, everyone[everyone != p]):
-            if check.linked(p, j):
+            if min(set(rows[p][2]) & set(rows[j][2])) == pivot and check.linked(p, j):
                 forest.join(p, j)
     alone = [nodes[i] for i in range(len(rows)) if step == "pivot" and nodes[i] != pivot and forest.root(i) != forest.root(nodes.index(pivot))]
     if step != "pivot":
@@ -180,33 +194,63 @@ def group_links(pivot: int, rows: list[Row], percent: int, step: str) -> tuple[l
     return [(nodes[i], least[forest.root(i)]) for i in range(len(rows)) if nodes[i] != least[forest.root(i)]], alone
 
 
+def partners(pivot: int, rows: list[tuple[int, int, bytes, list[int]]], percent: int) -> list[int]:
+    """Of (node, size, histogram, pivots) of a group, the nodes with a partner that the filters leave and that no earlier group has."""
+    check = Verifier([r[1] for r in rows], [r[2] for r in rows], percent)
+    groups, everyone = [set(r[3]) for r in rows], np.arange(len(rows))
+    kept = np.zeros(len(rows), bool)
+    for i in range(1, len(rows)):
+        for j in check.candidates(i, everyone[:i]):
+            if not (kept[i] and kept[j]) and min(groups[i] & groups[j]) == pivot:
+                kept[i] = kept[j] = True
+    return [rows[i][0] for i in np.flatnonzero(kept)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], done) -> Iterator[pa.RecordBatch]:
+    """done(key, rows as tuples) for each run of two rows or more with equal keys in a sorted partition."""
+    at, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[: len(keys)] != at:
+                if len(held) > 1:
+                    yield done(at, held)
+                at, held = row[: len(keys)], []
+            held.append(row[len(keys) :])
+    if len(held) > 1:
+        yield done(at, held)
+
+
+def _screened(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: pivot, node, n, bins, pivots. Returns pivot, node where partners() keeps the node."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key, held):
+            nodes = partners(key[0], held, percent)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(nodes), pa.int64()), pa.array(nodes, pa.int64())], ["pivot", "node"])
+
+        return _runs(batches, ("pivot",), done)
+
+    dealt = rows.select("pivot", "node", "n", "bins", "pivots").repartition("pivot").sortWithinPartitions("pivot", "node")
+    return dealt.mapInArrow(kept, "pivot long, node long")
+
+
 def _grouped_links(rows: DataFrame, percent: int, step: str) -> DataFrame:
     """rows: pivot, block, node, keys, pivots, rest. Returns a, b of links; with b null, nodes that the pivot doesn't link."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def done() -> pa.RecordBatch:
-            links, alone = group_links(at[0], held, percent, step)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * (len(links) + len(alone)), pa.int64()), pa.array([*(a for a, _ in links), *alone], pa.int64()), pa.array([*(b for _, b in links), *(None for _ in alone)], pa.int64())], ["pivot", "a", "b"])
+        def done(key, held):
+            links, alone = group_links(key[0], [(node, np.frombuffer(keys, np.uint64), pivots, rest) for node, keys, pivots, rest in held], percent, step)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * (len(links) + len(alone)), pa.int64()), pa.array([*(a for a, _ in links), *alone], pa.int64()), pa.array([*(b for _, b in links), *(None for _ in alone)], pa.int64())], ["pivot", "a", "b"])
 
-        for batch in batches:
-            c = batch.to_pydict()
-            for pivot, block, node, keys, pivots, rest in zip(c["pivot"], c["block"], c["node"], c["keys"], c["pivots"], c["rest"], strict=True):
-                if at != (pivot, block):
-                    if len(held) > 1:
-                        yield done()
-                    at, held = (pivot, block), []
-                held.append((node, np.frombuffer(keys, np.uint64), pivots, rest))
-        if len(held) > 1:
-            yield done()
+        return _runs(batches, ("pivot", "block"), done)
 
     dealt = rows.select("pivot", "block", "node", "keys", "pivots", "rest").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "node")
     return dealt.mapInArrow(linked, "pivot long, a long, b long")
 
 
 def signatures(documents: DataFrame, classes: dict[int, int], percent: int, text: str) -> DataFrame:
-    """doc_id, n (set size), key (128-bit hash of the set), prefix (first keys)."""
+    """doc_id, n (set size), key (128-bit hash of the set), prefix (first keys), bins (histogram())."""
     held = documents.sparkSession.sparkContext.broadcast(classes)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +260,13 @@ def signatures(documents: DataFrame, classes: dict[int, int], percent: int, text
             heads = [s[: prefix_length(len(s), percent)] if len(s) else s for s in sets]
             ends = np.cumsum([0, *map(len, heads)])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*heads, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), prefix], ["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), prefix, pa.array([histogram(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "key", "prefix", "bins"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(signed, "doc_id long, n long, key binary, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(signed, "doc_id long, n long, key binary, prefix array<long>, bins binary")
 
 
 def _with_sets(documents: DataFrame, members: DataFrame, classes: dict[int, int], text: str) -> DataFrame:
-    """members (node, key, pivots: id and number of blocks) with their keys, a row for each group."""
+    """members (node, key, pivots, groups: pivot and number of blocks) with their keys, a row for each group."""
     held = documents.sparkSession.sparkContext.broadcast(classes)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +274,11 @@ def _with_sets(documents: DataFrame, members: DataFrame, classes: dict[int, int]
         for batch in batches:
             sets = [shingle_keys(x, ranked).tobytes() for x in batch.column("text").to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column("key").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("groups"), pa.array(sets, pa.binary())], ["node", "groups", "keys"]).filter(same)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivots"), batch.column("groups"), pa.array(sets, pa.binary())], ["node", "pivots", "groups", "keys"]).filter(same)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text"))
-    return texts.join(members, "node").select("node", "text", "key", "groups").mapInArrow(keyed, "node long, groups array<struct<pivot: long, blocks: long>>, keys binary")
+    rows = texts.join(members, "node").select("node", "text", "key", "pivots", "groups").mapInArrow(keyed, "node long, pivots array<long>, groups array<struct<pivot: long, blocks: long>>, keys binary")
+    return rows.withColumn("g", F.explode("groups")).select(F.col("g.pivot").alias("pivot"), F.col("g.blocks").alias("blocks"), "node", "keys", "pivots")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,22 +303,25 @@ def linked_components(documents: DataFrame, *, percent: int = 90, block: int = 5
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row of documents."""
     classes = word_classes(documents, text)
     signed = checkpoint(signatures(documents, classes, percent, text))
-    nodes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    entries = nodes.select("node", "key", F.explode("prefix").alias("token"))
-    pivots = entries.groupBy("token").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    members = checkpoint(entries.join(pivots, "token").select("pivot", "node", "key").distinct())
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    listed = members.join(sizes, "pivot").groupBy("node", "key").agg(F.collect_list(F.struct("pivot", F.col("blocks").cast("long").alias("blocks"))).alias("groups"))
-
-    def dealt(big: bool) -> DataFrame:
-        chosen = listed.filter(F.exists("groups", lambda g: (g.blocks > 1) == big))
-        rows = _with_sets(documents, chosen, classes, text)
-        rows = rows.withColumn("pivots", F.col("groups.pivot")).withColumn("g", F.explode(F.filter("groups", lambda g: (g.blocks > 1) == big)))
-        return rows.select(F.col("g.pivot").alias("pivot"), F.col("g.blocks").alias("blocks"), "node", "keys", "pivots")
-
-    links = _grouped_links(dealt(False).withColumns({"block": F.lit(0), "rest": F.lit(False)}), percent, "all").select("a", "b")
-    if not sizes.filter("blocks > 1").isEmpty():
-        large = checkpoint(dealt(True))
+    nodes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "prefix", "bins")))
+    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    shared = entries.join(entries.groupBy("token").count().filter("count > 1").select("token"), "token")
+    width = -math.log(percent / 100) * 1.0001  # sizes that can link are less than a band apart
+    band = F.floor(F.log(F.col("n")) / width).cast("int")
+    banded = checkpoint(shared.select("token", "node", F.explode(F.array(band, band + 1)).alias("band")))
+    pivots = banded.groupBy("token", "band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    members = banded.join(pivots, ["token", "band"]).select("pivot", "node").distinct()
+    members = checkpoint(members.join(nodes.select("node", "key", "n", "bins"), "node"))
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    placed = members.join(sizes, "pivot")
+    listed = checkpoint(placed.groupBy("node", "key").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.collect_list(F.struct("pivot", "blocks")).alias("groups")).withColumn("pivots", F.col("groups.pivot")))
+    each = listed.withColumn("g", F.explode("groups")).select("node", "n", "bins", "pivots", "g.*")
+    kept = _screened(each.filter("blocks = 1"), percent).groupBy("node").agg(F.collect_list(F.struct("pivot", F.lit(1).cast("long").alias("blocks"))).alias("groups"))
+    wanted = listed.select("node", "key", "pivots").join(kept, "node")
+    links = _grouped_links(_with_sets(documents, wanted, classes, text).withColumns({"block": F.lit(0), "rest": F.lit(False)}), percent, "all").select("a", "b")
+    many = listed.select("node", "key", "pivots", F.filter("groups", lambda g: g.blocks > 1).alias("groups")).filter(F.size("groups") > 0)
+    if not many.isEmpty():
+        large = checkpoint(_with_sets(documents, many, classes, text))
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         first = large.withColumn("block", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own)))).withColumn("rest", F.lit(False))

@@ -10,7 +10,7 @@ of the fixed list below, goes to the driver.
 
 Defined cases: null and empty texts have no words and fail the base rules; a language without documents has no
 reference; without any reference only the base rules hold; repeated rows give equal results; documents without a language
-are compared like all others; other columns are kept by `judge`.
+are compared like all others; other columns but the text are kept by `judge`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import checkpoint, let
 
 # The reference languages and some of the commonest words of each.
 COMMON_WORDS = {
@@ -27,12 +27,10 @@ COMMON_WORDS = {
     "de": "der die das und von mit ein eine den nicht ist zu",
     "es": "el la los las de que y en un una se por",
 }
-#: Character classes, as Java patterns; a text's other characters are one more class.
+#: Character classes, as Java patterns; white space, and all other characters (mostly lower case), are two more.
 CLASSES = {
-    "lower": r"\p{Ll}",
     "upper": r"\p{Lu}",
     "digit": r"[0-9]",
-    "space": r"[\x20\x09-\x0D]",
     "symbol": r"[#*$%&|<>@=+~^_\\{}\[\]/]",
     "stop": r"[.,;:!?'\"()-]",
 }
@@ -43,13 +41,22 @@ LIMITS = {"classes": 0.22, "words": 0.62}
 _WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
+#: Places of words that fit beside a hash in 64 bits; texts of more words take a slower way with the same result.
+_PLACES = 1 << 17
+
+
 def base(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with `_ws` (words) and the base columns."""
+    """documents with `_t` (text), `_ws` (words) and the base columns."""
     df = documents.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_ws", F.expr(f"regexp_extract_all(_t, '{_WORD}', 0)"))
-    # Starts of 3-word windows that occur again, from the sorted windows: equal neighbours.
-    df = df.withColumn("_tri", F.expr("element_at(transform(array(_ws), ws -> CASE WHEN size(ws) < 3 THEN array() ELSE transform(slice(ws, 1, size(ws) - 2), (w, i) -> concat(w, ' ', ws[i + 1], ' ', ws[i + 2])) END), 1)"))
-    df = df.withColumn("_sorted", F.expr("CASE WHEN size(_tri) > size(array_distinct(_tri)) THEN array_sort(transform(_tri, (t, i) -> struct(t AS t, i AS i))) ELSE cast(array() AS array<struct<t: string, i: int>>) END"))
-    df = df.withColumn("_again", F.expr("CASE WHEN size(_sorted) = 0 THEN cast(array() AS array<int>) ELSE flatten(zip_with(slice(_sorted, 1, size(_sorted) - 1), slice(_sorted, 2, size(_sorted) - 1), (a, b) -> CASE WHEN a.t = b.t THEN array(a.i, b.i) ELSE array() END)) END"))
+    # Starts of 3-word windows that occur again: neighbours with equal words, once windows are sorted by hash and place.
+    windows = "CASE WHEN size(ws) < 3 THEN array() ELSE slice(ws, 1, size(ws) - 2) END"
+    hashed = f"transform({windows}, (w, i) -> (xxhash64(w, ws[i + 1], ws[i + 2]) & {-_PLACES}L) + i)"
+    again = f"""zip_with(slice(s, 1, greatest(size(s) - 1, 0)), slice(s, 2, greatest(size(s) - 1, 0)), (a, b) -> CASE WHEN (a & {-_PLACES}L) = (b & {-_PLACES}L)
+        AND slice(ws, cast(a & {_PLACES - 1}L AS int) + 1, 3) = slice(ws, cast(b & {_PLACES - 1}L AS int) + 1, 3) THEN array(cast(a & {_PLACES - 1}L AS int), cast(b & {_PLACES - 1}L AS int)) END)"""
+    spelled = f"array_sort(transform({windows}, (w, i) -> struct(concat(w, ' ', ws[i + 1], ' ', ws[i + 2]) AS t, i AS i)))"
+    slow = "zip_with(slice(s, 1, greatest(size(s) - 1, 0)), slice(s, 2, greatest(size(s) - 1, 0)), (a, b) -> CASE WHEN a.t = b.t THEN array(a.i, b.i) END)"
+    found = lambda made, pairs: f"element_at(transform(array({made}), s -> flatten(filter({pairs}, p -> p IS NOT NULL))), 1)"
+    df = df.withColumn("_again", F.expr(f"element_at(transform(array(_ws), ws -> CASE WHEN size(ws) <= {_PLACES} THEN {found(f'sort_array({hashed})', again)} ELSE {found(spelled, slow)} END), 1)"))
     lines = "filter(split(_t, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     return (
         df.withColumn("n_words", F.size("_ws").cast("long"))
@@ -58,38 +65,32 @@ def base(documents: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", F.expr(f"element_at(transform(array({lines}), x -> size(x) - size(array_distinct(x))), 1)").cast("long"))
         .withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2))))).cast("long"))
         .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-        .drop("_tri", "_sorted", "_again")
+        .drop("_again")
     )
 
 
-def _class_counts() -> Column:
-    counts = [F.length("_t") - F.length(F.regexp_replace("_t", p + "+", "")) for p in CLASSES.values()]
-    known = lambda c: F.slice(c, 1, len(CLASSES))
-    return let(F.array(*counts, F.length("_t")), lambda c: F.concat(known(c), F.array(F.element_at(c, -1) - F.aggregate(known(c), F.lit(0), lambda a, x: a + x))))
-
-
-def _word_counts() -> Column:
-    """Occurrences of each common word, then of all other words."""
+def histograms(documents: DataFrame) -> DataFrame:
+    """base() with `_classes` and `_words`: counts per character class, and per common word."""
+    counts = [F.length("_t") - F.length(F.regexp_replace("_t", p, "")) for p in CLASSES.values()]
+    counts = [c.cast("long") for c in [*counts, F.length("_t") - F.col("word_chars")]]
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    classes = let(F.struct(F.array(*counts).alias("c"), F.length("_t").alias("n")), lambda s: F.concat(s.c, F.array(s.n - total(s.c))))
+    # Common words alone, each between two blanks of its own, so that replacing one doesn't touch the next.
     listed = ", ".join(f"'{w}'" for w in VOCABULARY)
-    bare = "regexp_replace(lower(w), '^[^\\\\p{L}]+|[^\\\\p{L}]+$', '')"
-    common = f"concat('  ', array_join(filter(transform(_ws, w -> {bare}), w -> w IN ({listed})), '  '), '  ')"
+    common = f"concat('  ', array_join(filter(split(lower(_t), '[^\\\\p{{L}}]+'), w -> w IN ({listed})), '  '), '  ')"
     each = ", ".join(f"(length(s) - length(replace(s, ' {w} ', ''))) DIV {len(w) + 2}" for w in VOCABULARY)
-    counted = f"element_at(transform(array({common}), s -> array({each})), 1)"
-    return F.expr(f"element_at(transform(array({counted}), c -> concat(c, array(cast(size(_ws) AS bigint) - aggregate(c, 0L, (a, x) -> a + x)))), 1)")
-
+    words = let(F.struct(F.expr(f"element_at(transform(array({common}), s -> array({each})), 1)").alias("c"), F.col("n_words").alias("n")), lambda s: F.concat(s.c, F.array(F.greatest(s.n - total(s.c), F.lit(0)))))
+    return documents.withColumn("_classes", classes).withColumn("_words", words)
 
-def histograms(documents: DataFrame) -> DataFrame:
-    """base() with `_classes` and `_words`: counts per character class and per common word."""
-    return documents.withColumn("_classes", F.transform(_class_counts(), lambda c: c.cast("long"))).withColumn("_words", _word_counts())
 
-
-def references(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[str, list[float]]]:
+def references(measured: DataFrame, lang: str = "lang") -> dict[str, dict[str, list[float]]]:
     """Shares per language, from the summed histograms of all its documents that have words."""
-    rows = documents.filter(F.col(lang).isin(list(COMMON_WORDS))).select(lang, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_ws", F.expr(f"regexp_extract_all(_t, '{_WORD}', 0)"))
-    sums = histograms(rows.filter(F.size("_ws") > 0)).groupBy(lang).agg(*(F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)), *(F.sum(F.col("_words")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)))
+    n, m = len(CLASSES) + 2, len(VOCABULARY) + 1
+    rows = measured.filter(F.col(lang).isin(list(COMMON_WORDS)) & (F.col("n_words") > 0))
+    sums = rows.groupBy(lang).agg(*(F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n)), *(F.sum(F.col("_words")[i]).alias(f"w{i}") for i in range(m)))
     out = {}
     for r in sums.collect():
-        classes, ws = [r[f"c{i}"] for i in range(len(CLASSES) + 1)], [r[f"w{i}"] for i in range(len(VOCABULARY) + 1)]
+        classes, ws = [r[f"c{i}"] for i in range(n)], [r[f"w{i}"] for i in range(m)]
         out[r[lang]] = {"classes": [x / sum(classes) for x in classes], "words": [x / sum(ws) for x in ws]}
     return out
 
@@ -107,10 +108,14 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(shares, of)
 
 
-def judge(documents: DataFrame, *, text: str = "text", least_words: int = 50, limits: dict[str, float] = LIMITS) -> DataFrame:
-    """documents with the base columns, `js_classes` and `js_words` (of the nearest language) and `kept`."""
-    known = references(documents, text)
-    df = histograms(base(documents, text))
+def judge(documents: DataFrame, *, text: str = "text", lang: str = "lang", least_words: int = 50, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """documents without their texts, with the base columns, `js_classes` and `js_words` (of the nearest language) and `kept`.
+
+    Texts are read once: what is measured, some hundred bytes a document, is written to the checkpoint folder, and both
+    the references and the verdicts come from there.
+    """
+    df = checkpoint(histograms(base(documents, text)).drop("_t", "_ws", text))
+    known = references(df, lang)
     if known:
         pairs = [F.struct(distance(F.col("_classes"), r["classes"]).alias("classes"), distance(F.col("_words"), r["words"]).alias("words")) for _, r in sorted(known.items())]
         each = [let(p, lambda d: F.struct(F.greatest(d.classes / limits["classes"], d.words / limits["words"]).alias("worst"), d.classes.alias("classes"), d.words.alias("words"))) for p in pairs]
@@ -119,9 +124,36 @@ def judge(documents: DataFrame, *, text: str = "text", least_words: int = 50, li
         df = df.withColumn("_near", F.expr("named_struct('worst', 0D, 'classes', 0D, 'words', 0D)"))
     df = df.withColumn("js_classes", F.col("_near.classes")).withColumn("js_words", F.col("_near.words"))
     kept = ~F.col("base_failed") & ((F.col("n_words") < least_words) | (F.col("_near.worst") <= 1))
-    return df.withColumn("kept", kept).drop("_t", "_ws", "_classes", "_words", "_near")
+    return df.withColumn("kept", kept).drop("_classes", "_words", "_near")
 
 
 def query(documents: DataFrame) -> DataFrame:
     judged = judge(documents.select("doc_id", "lang", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL."""
+    listed = ", ".join(f"'{w}'" for w in VOCABULARY)
+    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    classes = ", ".join(f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in CLASSES.values())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tri AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 2), ' ') AS g FROM d, unnest(range(1, len(ws) - 1)) AS x(i)),
+rep AS (SELECT r, count(DISTINCT p) AS n_rep FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri JOIN (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1) USING (r, g)) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+b AS (SELECT r, doc_id, lang, t, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(n_rep, 0) > 50 * len(ws) AS base_failed FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+c AS (SELECT r, list_concat([{classes}], [length(t) - word_chars]) AS ns, length(t) AS total FROM b),
+v AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(string_split_regex(lower(t), '[^\p{{L}}]+')) AS word FROM b) WHERE word IN ({listed}) GROUP BY r, word),
+w AS (SELECT r, word, coalesce(n, 0) AS n FROM (SELECT r, unnest([{listed}]) AS word FROM b) LEFT JOIN v USING (r, word)),
+h AS (SELECT r, 'classes' AS part, CAST(k AS VARCHAR) AS k, n FROM (SELECT r, unnest(range(1, len(ns) + 1)) AS k, unnest(ns) AS n FROM c)
+  UNION ALL SELECT r, 'classes', 'rest', total - list_sum(ns) FROM c UNION ALL SELECT r, 'words', word, n FROM w
+  UNION ALL SELECT r, 'words', '', greatest(max(n_words) - sum(n), 0) FROM w JOIN b USING (r) GROUP BY r),
+p AS (SELECT r, part, k, n / greatest(sum(n) OVER (PARTITION BY r, part), 1) AS p FROM h),
+q AS (SELECT lang, part, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, part) AS q FROM h JOIN b USING (r) WHERE lang IN ({langs}) AND n_words > 0 GROUP BY lang, part, k),
+js AS (SELECT r, lang, part, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0)) AS j FROM p JOIN q USING (part, k) GROUP BY r, lang, part),
+near AS (SELECT r, min(worst) AS worst FROM (SELECT r, lang, max(j / CASE part WHEN 'classes' THEN {LIMITS["classes"]} ELSE {LIMITS["words"]} END) AS worst FROM js GROUP BY r, lang) GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND coalesce(worst, 0) <= 1 AS kept FROM b LEFT JOIN near USING (r)
+"""

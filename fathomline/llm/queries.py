@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op4_quality_rules": quality_rules.oracle()}

@@ -87,6 +87,10 @@ def test_decontamination_rows_are_those_of_the_sql(spark):
     assert_same(queries.op2_decontaminate(spark, SMALL).toPandas(), decontaminate.ORACLE, SMALL)
 
 
+def test_quality_rows_are_those_of_the_sql(spark):
+    assert_same(queries.op4_quality_rules(spark, SMALL).toPandas(), quality_rules.oracle(), SMALL)
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_anchors": 0}])
 def test_decontamination_by_brute_force(spark, limits):
     rng = np.random.default_rng(1)
