@@ -266,7 +266,7 @@ def signatures(documents: DataFrame, classes: dict[int, int], percent: int, text
 
 
 def _with_sets(documents: DataFrame, members: DataFrame, classes: dict[int, int], text: str) -> DataFrame:
-    """members (node, key, pivots, groups: pivot and number of blocks) with their keys, a row for each group."""
+    """members (node, key, pivots, groups: pivot and number of blocks) with their keys: node, pivots, groups, keys."""
     held = documents.sparkSession.sparkContext.broadcast(classes)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +277,7 @@ def _with_sets(documents: DataFrame, members: DataFrame, classes: dict[int, int]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivots"), batch.column("groups"), pa.array(sets, pa.binary())], ["node", "pivots", "groups", "keys"]).filter(same)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text"))
-    rows = texts.join(members, "node").select("node", "text", "key", "pivots", "groups").mapInArrow(keyed, "node long, pivots array<long>, groups array<struct<pivot: long, blocks: long>>, keys binary")
-    return rows.withColumn("g", F.explode("groups")).select(F.col("g.pivot").alias("pivot"), F.col("g.blocks").alias("blocks"), "node", "keys", "pivots")
+    return texts.join(members, "node").select("node", "text", "key", "pivots", "groups").mapInArrow(keyed, "node long, pivots array<long>, groups array<struct<pivot: long, blocks: long>>, keys binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -316,12 +315,15 @@ def linked_components(documents: DataFrame, *, percent: int = 90, block: int = 5
     placed = members.join(sizes, "pivot")
     listed = checkpoint(placed.groupBy("node", "key").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.collect_list(F.struct("pivot", "blocks")).alias("groups")).withColumn("pivots", F.col("groups.pivot")))
     each = listed.withColumn("g", F.explode("groups")).select("node", "n", "bins", "pivots", "g.*")
-    kept = _screened(each.filter("blocks = 1"), percent).groupBy("node").agg(F.collect_list(F.struct("pivot", F.lit(1).cast("long").alias("blocks"))).alias("groups"))
-    wanted = listed.select("node", "key", "pivots").join(kept, "node")
-    links = _grouped_links(_with_sets(documents, wanted, classes, text).withColumns({"block": F.lit(0), "rest": F.lit(False)}), percent, "all").select("a", "b")
-    many = listed.select("node", "key", "pivots", F.filter("groups", lambda g: g.blocks > 1).alias("groups")).filter(F.size("groups") > 0)
-    if not many.isEmpty():
-        large = checkpoint(_with_sets(documents, many, classes, text))
+    kept = _screened(each.filter("blocks = 1"), percent).groupBy("node").agg(F.collect_list(F.struct("pivot", F.lit(1).cast("long").alias("blocks"))).alias("kept"))
+    # Of a node's groups, the screened ones and those dealt out in blocks; so texts are moved once.
+    groups = F.concat(F.filter("groups", lambda g: g.blocks > 1), F.coalesce("kept", F.array().cast("array<struct<pivot: long, blocks: long>>")))
+    wanted = listed.join(kept, "node", "left").select("node", "key", "pivots", groups.alias("groups")).filter(F.size("groups") > 0)
+    sets = checkpoint(_with_sets(documents, wanted, classes, text))
+    sets = sets.withColumn("g", F.explode("groups")).select(F.col("g.pivot").alias("pivot"), F.col("g.blocks").alias("blocks"), "node", "keys", "pivots")
+    links = _grouped_links(sets.filter("blocks = 1").withColumns({"block": F.lit(0), "rest": F.lit(False)}), percent, "all").select("a", "b")
+    large = sets.filter("blocks > 1")
+    if not large.isEmpty():
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         first = large.withColumn("block", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own)))).withColumn("rest", F.lit(False))
