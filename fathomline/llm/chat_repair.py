@@ -8,6 +8,8 @@ choice of least cost.
 A turn's effect is a small matrix over the automaton's states in (min, +) algebra, so a conversation is cut into blocks by
 turn number: block matrices are multiplied first, then each block is solved between its two boundary states. No task
 holds a whole conversation, however long: pass 1 reads only roles, pass 2 one matrix for each block, pass 3 a block.
+Texts are moved once, in pass 3, together with a row for each block that holds its boundary states; repeated rows of a
+partition are dropped before that, the others where they meet.
 
 Rows of a conversation are ordered by turn, then role, then text; exactly repeated rows count once. Defined cases: a null
 turn comes first (block 0); a null or unknown role has to be relabelled; null text renders as empty; conversations with a
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +120,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], done) -> I
 
 def _ordered(turns: DataFrame, block: int) -> DataFrame:
     known = F.when(F.lower(F.trim("role")).isin(*ROLES), F.lower(F.trim("role")))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), known.alias("role"), F.col("role").alias("was"), "text").distinct()
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), known.alias("role"), F.col("role").alias("was"), "text")
     return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(0)).cast("long"))
 
 
+def once(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Without rows seen before in the partition; what was seen is forgotten when it is too much."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        if len(seen) > limit:
+            seen.clear()
+        new = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            digest = xxhash.xxh3_128_digest(repr(row).encode("utf-8", "surrogatepass"))
+            new.append(digest not in seen)
+            seen.add(digest)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
 def boundaries(turns: DataFrame, costs: dict[str, int], block: int) -> DataFrame:
     """conv_id, block, first (state before), last (state after; null in a conversation's last block)."""
 
@@ -155,7 +172,7 @@ def boundaries(turns: DataFrame, costs: dict[str, int], block: int) -> DataFrame
 
         return _blocks(batches, ("conv_id",), done)
 
-    roles = _ordered(turns.withColumn("text", F.xxhash64("text")), block)
+    roles = _ordered(turns.withColumn("text", F.xxhash64("text")), block).distinct()
     dealt = roles.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "was")
     made = dealt.select("conv_id", "block", "role").mapInArrow(multiplied, "conv_id long, block long, m array<long>")
     return made.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chosen, "conv_id long, block long, first int, last int")
@@ -169,7 +186,8 @@ def repair(turns: DataFrame, *, costs: dict[str, int] = COSTS, block: int = BLOC
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key, rows):
-            first, last = rows[0]["first"], rows[0]["last"]
+            (first, last), rows = (rows[0]["first"], rows[0]["last"]), rows[1:]
+            rows = [r for before, r in zip([None, *rows], rows, strict=False) if r != before]
             plan = solve([r["role"] for r in rows], first, last, costs)
             out = []
             open_turn = first > 0 and rows[0]["block"] > 0
@@ -190,9 +208,11 @@ def repair(turns: DataFrame, *, costs: dict[str, int] = COSTS, block: int = BLOC
 
         return _blocks(batches, ("conv_id", "block"), done)
 
-    rows, edges = _ordered(turns, block), boundaries(turns, costs, block)
-    joined = rows.join(edges.withColumnsRenamed({"conv_id": "_c", "block": "_b"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
-    dealt = joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "was", "text")
+    rows = _ordered(turns, block).select("conv_id", "block", "turn", "role", "was", "text")
+    rows = rows.mapInArrow(once, rows.schema).withColumn("edge", F.lit(False))
+    edges = boundaries(turns, costs, block).withColumn("edge", F.lit(True))
+    dealt = rows.unionByName(edges, allowMissingColumns=True).repartition("conv_id", "block")
+    dealt = dealt.sortWithinPartitions("conv_id", "block", F.desc("edge"), "turn", "role", "was", "text")
     return dealt.select("conv_id", "block", "turn", "role", "was", "text", "first", "last").mapInArrow(repaired, "conv_id long, turn long, place long, role string, new_role string, action string, inserted array<string>, ending array<string>, cost long, rendered string")
 
 
