@@ -49,13 +49,11 @@ _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ -]?)?(?:double[ -]|trip
 _PART = re.compile(rf"(?P<plus>plus)|(?P<times>double|triple)|(?P<word>{_WORDS})|(?P<dot>dot|point)|(?P<dash>dash|hyphen)|(?P<char>[0-9+.-])|(?P<gap>[ ,]+)", re.IGNORECASE)
 
 _L, _R = r"[\[\(\{<]", r"[\]\)\}>]"
-_AT = rf"(?:\s*{_L}\s*(?:at|@)\s*{_R}\s*|\s+at\s+|\s*@\s*|[ _-]+AT[ _-]+)"
-_DOT = rf"(?:\s*{_L}\s*(?:dot|punkt|point|punto|\.)\s*{_R}\s*|\s+dot\s+|[ _-]+DOT[ _-]+|\s+\.\s+|\.)"
+_AT = rf"(?:\s*{_L}\s*(?:at|@)\s*{_R}\s*|\s+at\s+|\s*@\s*|(?<![ _-])[ _-]+AT[ _-]+)"
+_DOT = rf"(?:\s*{_L}\s*(?:dot|punkt|point|punto|\.)\s*{_R}\s*|\s+dot\s+|(?<![ _-])[ _-]+DOT[ _-]+|\s+\.\s+|\.)"
 _HIDDEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s*{_L}\s*(?:dot|\.)\s*{_R}\s*| dot )[A-Za-z0-9_%+-]+){{0,3}}?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*(?P<dot>{_DOT})(?P<top>[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.IGNORECASE)
 _HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*{_L}\s*(?:dot|\.)\s*{_R}\s*|\s+dot\s+)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _AT_OR_DOT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-_HINTS = ("dot", "(at", "[at", "{at", "<at", "( at", "[ at", "[.]", "(.)", "{.}", "(@)", "[@]", "{@}", " @", "@ ", "punkt", "punto", "point")
-_COUNTED = tuple(f" {w}" for w in NUMBER_WORDS if w != "oh")
 
 Span = tuple[int, int]
 
@@ -98,13 +96,15 @@ class Tape:
         return self.starts[start], self.ends[end - 1]
 
     def rewrite(self, pattern: re.Pattern, write) -> Tape:
-        """One transducer: each match becomes write(match), a list of (string, start, end) within this tape's text."""
+        """One transducer: each match becomes write(match), a list of (string, start, end) within this tape's text; None leaves it."""
         out, starts, ends, at = [], [], [], 0
         for m in pattern.finditer(self.text):
+            if (parts := write(m)) is None:
+                continue
             out.append(self.text[at : m.start()])
             starts += self.starts[at : m.start()]
             ends += self.ends[at : m.start()]
-            for s, a, b in write(m):
+            for s, a, b in parts:
                 out.append(s)
                 starts += [self.starts[a]] * len(s)
                 ends += [self.ends[b - 1]] * len(s)
@@ -119,9 +119,9 @@ def _fold(m: re.Match) -> list[tuple[str, int, int]]:
     return [(_TABLE[m[0]], m.start(), m.end())]
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]]:
+def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
     if len(re.findall(_WORDS, m[0], re.IGNORECASE)) < 3:
-        return [(m[0][i], m.start() + i, m.start() + i + 1) for i in range(len(m[0]))]
+        return None
     out, times = [], 1
     for p in _PART.finditer(m[0]):
         a, b = m.start() + p.start(), m.start() + p.end()
@@ -140,12 +140,12 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-def _address(m: re.Match) -> list[tuple[str, int, int]]:
+def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
     """The at and dot of a disguised address as single characters; a plain sentence (`at` without its dot) stays as it is."""
     marked = re.search(r"[\[\(\{<]", m["at"])
     plain = m["at"] == "@" and not re.search(r"\sdot\s|[\[\(\{<]|\s\.\s", m[0], re.IGNORECASE)
     if plain or not marked and m["top"].lower() not in TOP_DOMAINS:
-        return [(m[0][i], m.start() + i, m.start() + i + 1) for i in range(len(m[0]))]
+        return None
     parts, at = [], m.start()
     for p in _AT_OR_DOT.finditer(m.string, m.start(), m.end()):
         parts += [(m.string[i], i, i + 1) for i in range(at, p.start())]
@@ -164,7 +164,7 @@ def _octets(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def normalise(text: str) -> Tape:
-    """The chain of transducers; those for which the text gives no hint are left out, which changes nothing."""
+    """The chain of transducers. Only the first is left out at times, where the text has none of its characters."""
     tape = Tape(text)
     try:
         text.encode("latin-1")
@@ -173,13 +173,7 @@ def normalise(text: str) -> Tape:
         odd = True
     if odd:
         tape = tape.rewrite(_ODD, _fold)
-    low = tape.text.lower()
-    if sum(w in low for w in _COUNTED) >= 2 or sum(low.count(w) for w in _COUNTED) >= 3:
-        tape = tape.rewrite(_SPELLED, _digits)
-        low = tape.text.lower()
-    if any(h in low for h in _HINTS):
-        tape = tape.rewrite(_HIDDEN_MAIL, _address).rewrite(_HIDDEN_IP, _octets)
-    return tape
+    return tape.rewrite(_SPELLED, _digits).rewrite(_HIDDEN_MAIL, _address).rewrite(_HIDDEN_IP, _octets)
 
 
 def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:

@@ -241,6 +241,34 @@ def test_spans(text, spans):
     assert pii.digest(pii.all_spans(text, pii.base_spans(text))) == spans
 
 
+@pytest.mark.parametrize(
+    ("disguised", "kind"),
+    [
+        ("john at example.com", "email"),
+        ("john_AT_example.com", "email"),
+        ("john-at-example.com", "email"),
+        ("john { at } example.com", "email"),
+        ("john <at> example.com", "email"),
+        ("john@example ( . ) com", "email"),
+        ("john@example . com", "email"),
+        ("john @ example.com", "email"),
+        ("10[ . ]2[ . ]3[ . ]4", "ip"),
+        ("10<.>2<.>3<.>4", "ip"),
+        ("plus four-four-two-zero-seven-nine-four-six-one-two", "phone"),
+        ("one.two.three.four", "ip"),
+        ("+four,four,two,zero,seven,nine,four,six,oh", "phone"),
+    ],
+)
+def test_disguises_need_no_hint_elsewhere(disguised, kind):
+    spans = lambda x: pii.digest(pii.all_spans(x, pii.base_spans(x)))
+    wanted = f"{kind}:0:{len(disguised)}"
+    assert spans(disguised) == wanted and spans(f"{disguised}\n\nThe point, dot (at) one two three") == wanted
+
+
+def test_long_rules_of_dashes_take_no_time():
+    assert pii.normalise("-" * 200_000 + "_" * 200_000 + " " * 200_000).text[:1] == "-"
+
+
 def test_masked_texts(spark, odd):
     d = spark.createDataFrame([(1, "a@b.example.com, +1 (555) 555-0100"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redacted(d).collect()} == {1: "[EMAIL], [PHONE]", 2: None}
