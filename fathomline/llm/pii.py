@@ -6,6 +6,14 @@ as digits, and turns at/dot disguises into `@` and `.`. Each transducer gives, f
 the source characters it stands for; so a span of the normalised copy maps back to a span of the source.
 A disguised identifier's span is added unless it cuts through a plain one of its kind or adds nothing to it.
 
+Each separator of a disguised IP address may be plain or disguised. Fewer than three spelled digits among plain ones count
+where the whole run of numbers, without its gaps, is an IP address, card or phone number by its kind's test.
+
+Limits: a mail address whose `at` isn't in brackets counts only under the top domains of TOP_DOMAINS, which are some
+generic ones and all country codes; those of them that are words (WORD_DOMAINS, such as `in`) don't count after a dot that
+is spelled out or stands between blanks without brackets. So `look at example.com` counts as an address. A spelled digit
+counts only if it stands apart from plain ones, and only English digits do.
+
 Defined cases: null counts as empty text; empty texts have no spans; offsets are code points, end exclusive; repeated
 rows give equal results; other columns are kept. A text is handled whole, one at a time, in time that grows with its length.
 """
@@ -38,6 +46,9 @@ HOMOGLYPHS = {
 }
 NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 TOP_DOMAINS = set("com org net edu gov mil int info biz name io co me tv ai app dev uk de fr es eu us ca au jp cn ru nl se ch be pt br mx pl example test invalid".split())
+#: The other country codes; those that are common words apart.
+WORD_DOMAINS = set("ad am an as at by do fm id in is it la ma mu my no pa pm so st to".split())
+TOP_DOMAINS |= WORD_DOMAINS | set("ac ae af ag al ao aq ar aw ax az ba bb bd bf bg bh bi bj bm bn bo bs bt bw bz cc cd cf cg ci ck cl cm cr cu cv cw cx cy cz dj dk dm dz ec ee eg er et fi fj fk fo ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu ie il im iq ir je jm jo ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly mc md mg mh mk ml mm mn mo mp mq mr ms mt mv mw my mz na nc ne nf ng ni np nr nu nz om pe pf pg ph pk pn pr ps pw py qa re ro rs rw sa sb sc sd sg sh si sk sl sm sn sr ss sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tw tz ua ug uy uz va vc ve vg vi vn vu wf ws ye za zm zw su gb".split())
 # End of fixed values. Full-width and other digits follow from their Unicode value.
 
 _TABLE = HOMOGLYPHS | {chr(0xFF01 + i - 0x21): chr(i) for i in range(0x30, 0x7B) if chr(i).isalnum()}
@@ -46,13 +57,18 @@ _ODD = re.compile("[" + re.escape("".join(_TABLE)) + "]")
 
 _WORDS = "|".join(NUMBER_WORDS)
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ -]?)?(?:double[ -]|triple[ -])?(?:{_WORDS})(?:(?:[ ,-]{{1,3}}|[ ]?(?:dot|point|dash|hyphen)[ ]|\.)(?:double[ -]|triple[ -])?(?:{_WORDS}|[0-9]))+(?![A-Za-z0-9])", re.IGNORECASE)
+_NUMBER = rf"(?:double[ -]|triple[ -])?(?:{_WORDS}|[0-9]++)"
+_MIXED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ -]?)?\(?{_NUMBER}(?:(?:[ ,().-]{{1,3}}|[ ]?(?:dot|point|dash|hyphen)[ ]){_NUMBER})+(?![A-Za-z0-9])", re.IGNORECASE)
 _PART = re.compile(rf"(?P<plus>plus)|(?P<times>double|triple)|(?P<word>{_WORDS})|(?P<dot>dot|point)|(?P<dash>dash|hyphen)|(?P<char>[0-9+.-])|(?P<gap>[ ,]+)", re.IGNORECASE)
 
 _L, _R = r"[\[\(\{<]", r"[\]\)\}>]"
 _AT = rf"(?:\s*{_L}\s*(?:at|@)\s*{_R}\s*|\s+at\s+|\s*@\s*|(?<![ _-])[ _-]+AT[ _-]+)"
 _DOT = rf"(?:\s*{_L}\s*(?:dot|punkt|point|punto|\.)\s*{_R}\s*|\s+dot\s+|(?<![ _-])[ _-]+DOT[ _-]+|\s+\.\s+|\.)"
 _HIDDEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s*{_L}\s*(?:dot|\.)\s*{_R}\s*| dot )[A-Za-z0-9_%+-]+){{0,3}}?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*(?P<dot>{_DOT})(?P<top>[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.IGNORECASE)
-_HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*{_L}\s*(?:dot|\.)\s*{_R}\s*|\s+dot\s+)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*{_L}\s*(?:dot|\.)\s*{_R}\s*|\s+dot\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+#: What each match of the patterns above holds: _AT has @ or a word `at` between these characters, spelled digits a number word.
+_HAS_AT = re.compile(r"@|[\s\[\(\{<_-]at[\s\]\)\}>_-]", re.IGNORECASE)
+_HAS_WORD = re.compile(_WORDS, re.IGNORECASE)
 _AT_OR_DOT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 
 Span = tuple[int, int]
@@ -120,8 +136,19 @@ def _fold(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
-    if len(re.findall(_WORDS, m[0], re.IGNORECASE)) < 3:
+    return _written(m) if len(re.findall(_WORDS, m[0], re.IGNORECASE)) >= 3 else None
+
+
+def _mixed(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """Plain and spelled digits, if the whole is an identifier."""
+    if not re.search(_WORDS, m[0], re.IGNORECASE):
         return None
+    parts = _written(m)
+    number = "".join(s for s, _, _ in parts)
+    return parts if any((0, len(number)) in spans for spans in base_spans(number).values()) else None
+
+
+def _written(m: re.Match) -> list[tuple[str, int, int]]:
     out, times = [], 1
     for p in _PART.finditer(m[0]):
         a, b = m.start() + p.start(), m.start() + p.end()
@@ -144,7 +171,7 @@ def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
     """The at and dot of a disguised address as single characters; a plain sentence (`at` without its dot) stays as it is."""
     marked = re.search(r"[\[\(\{<]", m["at"])
     plain = m["at"] == "@" and not re.search(r"\sdot\s|[\[\(\{<]|\s\.\s", m[0], re.IGNORECASE)
-    if plain or not marked and m["top"].lower() not in TOP_DOMAINS:
+    if plain or not marked and (m["top"].lower() not in TOP_DOMAINS or m["top"].lower() in WORD_DOMAINS and not re.search(r"^\.$|[\[\(\{<]", m["dot"])):
         return None
     parts, at = [], m.start()
     for p in _AT_OR_DOT.finditer(m.string, m.start(), m.end()):
@@ -154,7 +181,9 @@ def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
     return parts + [(m.string[i], i, i + 1) for i in range(at, m.end())]
 
 
-def _octets(m: re.Match) -> list[tuple[str, int, int]]:
+def _octets(m: re.Match) -> list[tuple[str, int, int]] | None:
+    if re.fullmatch(r"[0-9.]+", m[0]):
+        return None
     parts, at = [], m.start()
     for p in re.finditer(r"[^0-9]+", m[0]):
         parts += [(m.string[i], i, i + 1) for i in range(at, m.start() + p.start())]
@@ -164,7 +193,7 @@ def _octets(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def normalise(text: str) -> Tape:
-    """The chain of transducers. Only the first is left out at times, where the text has none of its characters."""
+    """The chain of transducers; one is left out only where the text lacks what each of its matches holds."""
     tape = Tape(text)
     try:
         text.encode("latin-1")
@@ -173,7 +202,11 @@ def normalise(text: str) -> Tape:
         odd = True
     if odd:
         tape = tape.rewrite(_ODD, _fold)
-    return tape.rewrite(_SPELLED, _digits).rewrite(_HIDDEN_MAIL, _address).rewrite(_HIDDEN_IP, _octets)
+    if _HAS_WORD.search(tape.text):
+        tape = tape.rewrite(_SPELLED, _digits).rewrite(_MIXED, _mixed)
+    if _HAS_AT.search(tape.text):
+        tape = tape.rewrite(_HIDDEN_MAIL, _address)
+    return tape.rewrite(_HIDDEN_IP, _octets)
 
 
 def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:

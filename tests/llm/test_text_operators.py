@@ -265,6 +265,30 @@ def test_disguises_need_no_hint_elsewhere(disguised, kind):
     assert spans(disguised) == wanted and spans(f"{disguised}\n\nThe point, dot (at) one two three") == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("ip 192.168.1[.]1 x", "ip:3:16"),
+        ("ip 10.0[.]0.7", "ip:3:13"),
+        ("ip 10[ . ]0.0 dot 7", "ip:3:19"),
+        ("v 1.2.3 then 4[.]5", ""),
+        ("1.2.3.4 or 1[.]2.3.256", "ip:0:7"),
+        ("card 4111 1111 1111 one 1 1 one", "card:5:31"),
+        ("card 4111 1111 1111 one 1 1 two", ""),
+        ("tel +1 (555) five 55-0100 x", "phone:4:25"),
+        ("ip 192.168.one.7", "ip:3:16"),
+        ("ip 192 dot 168 dot one dot 7", "ip:3:28"),
+        ("anna at firma dot dk", "email:0:20"),
+        ("anna at firma.in", "email:0:16"),
+        ("anna at firma (dot) in", "email:0:22"),
+        ("she looked at the dot in it, at noon . It was", ""),
+        ("in 2020 one of 12 or two, 13 of them", ""),
+    ],
+)
+def test_mixed_disguises(text, spans):
+    assert pii.digest(pii.all_spans(text, pii.base_spans(text))) == spans
+
+
 def test_long_rules_of_dashes_take_no_time():
     assert pii.normalise("-" * 200_000 + "_" * 200_000 + " " * 200_000).text[:1] == "-"
 
