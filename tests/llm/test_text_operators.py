@@ -189,6 +189,26 @@ def test_rules_keep_good_and_drop_noise(spark, docs):
     assert good.kept.mean() > 0.99 and out[out.quality == 0].kept.mean() < 0.3
 
 
+def test_texts_without_common_words_are_dropped_and_prose_kept(spark, docs):
+    made = [x + y for x in ("mar", "telo", "bri", "sunda", "kel", "vo", "nari", "plos") for y in ("ket", "dion", "lun", "mera", "sto", "fin", "gal")]
+    salad = " ".join(w.title() if k % 8 == 0 else w + "." if k % 8 == 7 else w for k, w in enumerate(made))
+    prose = (
+        "The history of the town is told by the people that live in it, and most of them know the story of the old bridge. It was built for the "
+        "king in a hard winter, with stone that came down the river on boats. As the years went by, the market moved to the other side, "
+        "and the road on the hill is used only by farmers with their carts."
+    )
+    unknown = (
+        "Talo seisoo mäen takana, missä vanhat puut kasvavat hitaasti. Kesällä lapset kulkevat metsään ja etsivät marjoja, talvella miehet istuvat "
+        "sisällä korjaamassa verkkoja. Joen rannalla asuu kalastaja, jonka vene on sininen. Hän nousee aikaisin, kun sumu vielä peittää veden, sekä "
+        "palaa iltapäivällä kylään myymään saaliinsa. Naapurit ostavat siikaa, haukea, ahventa. Illalla kaikki kokoontuvat saunaan kertomaan tarinoita."
+    )
+    assert all(len(x.split()) >= 50 for x in (salad, prose, unknown))
+    more = spark.createDataFrame([(-1, "en", salad), (-2, "en", prose), (-3, None, unknown)], "doc_id long, lang string, text string")
+    out = {r.doc_id: r for r in quality_rules.judge(docs.select("doc_id", "lang", "text").unionByName(more)).filter("doc_id < 0").collect()}
+    assert not any(r.base_failed for r in out.values()) and all(r.js_classes < quality_rules.LIMITS["classes"] for r in out.values())
+    assert {i: r.kept for i, r in out.items()} == {-1: False, -2: True, -3: False}
+
+
 def test_quality_of_odd_tables(spark, odd):
     assert quality_rules.query(odd).count() == len(ODD) and quality_rules.query(odd.limit(0)).count() == 0
 
