@@ -6,23 +6,29 @@ as digits, and turns at/dot disguises into `@` and `.`. Each transducer gives, f
 the source characters it stands for; so a span of the normalised copy maps back to a span of the source.
 A disguised identifier's span is added unless it cuts through a plain one of its kind or adds nothing to it.
 
-Each separator of a disguised IP address may be plain or disguised. Fewer than three spelled digits among plain ones count
-where the whole run of numbers, without its gaps, is an IP address, card or phone number by its kind's test.
+A disguised address is grown from its `at`: to the right over labels and dots, of which the longest chain that ends in a
+top domain counts, then to the left over the local part. Each separator of a disguised IP address may be plain or
+disguised. Fewer than three spelled digits among plain ones count where the whole run of numbers, without its gaps, is an
+IP address, card or phone number by its kind's test.
 
 Limits: a mail address whose `at` isn't in brackets counts only under the top domains of TOP_DOMAINS, which are some
 generic ones and all country codes; those of them that are words (WORD_DOMAINS, such as `in`) don't count after a dot that
-is spelled out or stands between blanks without brackets. So `look at example.com` counts as an address. A spelled digit
-counts only if it stands apart from plain ones, and only English digits do.
+is spelled out or stands between blanks without brackets. A free-standing dot counts only before a top domain of the list,
+whatever the `at` looks like. So `look at example.com` counts as an address. A spelled digit counts only if it stands apart
+from plain ones, and only English digits do.
 
 Defined cases: null counts as empty text; empty texts have no spans; offsets are code points, end exclusive; repeated
-rows give equal results; other columns are kept. A text is handled whole, one at a time, in time that grows with its length.
+rows give equal results; other columns are kept. A text is handled whole, one at a time, in time that grows with its
+length: every run of characters is looked at a fixed number of times, however long it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,9 +36,10 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -62,16 +69,19 @@ _MIXED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ -]?)?\(?{_NUMBER}(?:(?:[
 _PART = re.compile(rf"(?P<plus>plus)|(?P<times>double|triple)|(?P<word>{_WORDS})|(?P<dot>dot|point)|(?P<dash>dash|hyphen)|(?P<char>[0-9+.-])|(?P<gap>[ ,]+)", re.IGNORECASE)
 
 _L, _R = r"[\[\(\{<]", r"[\]\)\}>]"
-_AT = rf"(?:\s*{_L}\s*(?:at|@)\s*{_R}\s*|\s+at\s+|\s*@\s*|(?<![ _-])[ _-]+AT[ _-]+)"
-_DOT = rf"(?:\s*{_L}\s*(?:dot|punkt|point|punto|\.)\s*{_R}\s*|\s+dot\s+|(?<![ _-])[ _-]+DOT[ _-]+|\s+\.\s+|\.)"
-_HIDDEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s*{_L}\s*(?:dot|\.)\s*{_R}\s*| dot )[A-Za-z0-9_%+-]+){{0,3}}?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*(?P<dot>{_DOT})(?P<top>[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.IGNORECASE)
-_HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*{_L}\s*(?:dot|\.)\s*{_R}\s*|\s+dot\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-#: What each match of the patterns above holds: _AT has @ or a word `at` between these characters, spelled digits a number word.
-_HAS_AT = re.compile(r"@|[\s\[\(\{<_-]at[\s\]\)\}>_-]", re.IGNORECASE)
+#: What stands for @: in brackets (1), a word between blanks, hyphens or underscores (2), or itself. The blanks around belong to it.
+_AT = re.compile(rf"({_L}\s*+(?:at|@)\s*+{_R})|(?<=[ \t-\r_-])(at)(?=[ \t-\r_-])|@", re.IGNORECASE)
+#: What stands for a dot: in brackets (1), a word between blanks, hyphens or underscores (2), a dot between blanks (3).
+_DOT = re.compile(rf"({_L}\s*+(?:dot|punkt|point|punto|\.)\s*+{_R})|(?<=[ \t-\r_-])(dot)(?=[ \t-\r_-])|(?<=[ \t-\r])(\.)(?=[ \t-\r])", re.IGNORECASE)
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_TOP = re.compile(r"[A-Za-z]{2,}+(?![0-9])")
+_BLANKS = " \t\n\r\v\f"
+_SPACES, _GAPS, _NO_DIGITS = re.compile(r"[ \t-\r]*+"), re.compile(r"[ \t-\r_-]*+"), re.compile(r"[^0-9]+")
+_HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*+{_L}\s*+(?:dot|\.)\s*+{_R}\s*+|\s++dot\s++|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _HAS_WORD = re.compile(_WORDS, re.IGNORECASE)
-_AT_OR_DOT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 
 Span = tuple[int, int]
+Edit = tuple[int, int, str]  # start, end, what is written instead
 
 
 def _luhn(digits: str) -> bool:
@@ -82,15 +92,41 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[Span]:
+    """Grown from each @: the run of local characters before it, and labels with dots after it."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            found.append((start, domain.end()))
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+    return found
+
+
+def _addresses(text: str) -> list[Span]:
+    """Four numbers at a time of each chain of numbers that single dots join; those with a part over 255 are dropped."""
+    found = []
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in four):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
 def base_spans(text: str) -> dict[str, list[Span]]:
     """Plain identifiers: leftmost matches of each kind that don't overlap; those that fail their test are dropped."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if "@" in text:
-        found["email"] = [m.span() for m in _EMAIL.finditer(text)]
+    found["email"] = _emails(text)
     if not _DIGIT.search(text):
         return found
     if "." in text:
-        found["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        found["ip"] = _addresses(text)
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -111,102 +147,202 @@ class Tape:
     def source(self, start: int, end: int) -> Span:
         return self.starts[start], self.ends[end - 1]
 
-    def rewrite(self, pattern: re.Pattern, write) -> Tape:
-        """One transducer: each match becomes write(match), a list of (string, start, end) within this tape's text; None leaves it."""
+    def rewrite(self, edits: Iterable[Edit]) -> Tape:
+        """One transducer: the edits of this tape's text, in order; the rest stays as it is."""
         out, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            if (parts := write(m)) is None:
-                continue
-            out.append(self.text[at : m.start()])
-            starts += self.starts[at : m.start()]
-            ends += self.ends[at : m.start()]
-            for s, a, b in parts:
-                out.append(s)
-                starts += [self.starts[a]] * len(s)
-                ends += [self.ends[b - 1]] * len(s)
-            at = m.end()
-        if not out:
+        for a, b, new in edits:
+            out += [self.text[at:a], new]
+            starts += self.starts[at:a]
+            ends += self.ends[at:a]
+            starts += [self.starts[a]] * len(new)
+            ends += [self.ends[b - 1]] * len(new)
+            at = b
+        if not at:
             return self
         out.append(self.text[at:])
         return Tape("".join(out), [*starts, *self.starts[at:]], [*ends, *self.ends[at:]])
 
 
-def _fold(m: re.Match) -> list[tuple[str, int, int]]:
-    return [(_TABLE[m[0]], m.start(), m.end())]
+def _folded(text: str) -> Iterator[Edit]:
+    return ((m.start(), m.end(), _TABLE[m[0]]) for m in _ODD.finditer(text))
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
-    return _written(m) if len(re.findall(_WORDS, m[0], re.IGNORECASE)) >= 3 else None
+def _spelled(text: str) -> Iterator[Edit]:
+    """Three number words or more in a row."""
+    for m in _SPELLED.finditer(text):
+        if len(_HAS_WORD.findall(m[0])) >= 3:
+            yield from _written(m)
 
 
-def _mixed(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _mixed(text: str) -> Iterator[Edit]:
     """Plain and spelled digits, if the whole is an identifier."""
-    if not re.search(_WORDS, m[0], re.IGNORECASE):
-        return None
-    parts = _written(m)
-    number = "".join(s for s, _, _ in parts)
-    return parts if any((0, len(number)) in spans for spans in base_spans(number).values()) else None
+    for m in _MIXED.finditer(text):
+        if _HAS_WORD.search(m[0]):
+            parts = _written(m)
+            number = "".join(new for _, _, new in parts)
+            if any((0, len(number)) in spans for spans in base_spans(number).values()):
+                yield from parts
 
 
-def _written(m: re.Match) -> list[tuple[str, int, int]]:
-    out, times = [], 1
+def _written(m: re.Match) -> list[Edit]:
+    """The digits, dots, hyphens and plus of a run of numbers; what else stands between them goes."""
+    out, times, at = [], 1, m.start()
     for p in _PART.finditer(m[0]):
-        a, b = m.start() + p.start(), m.start() + p.end()
+        a, b, new = m.start() + p.start(), m.start() + p.end(), ""
         if p["times"]:
             times = 2 if p["times"].lower() == "double" else 3
         elif p["word"]:
-            out.append((NUMBER_WORDS[p["word"].lower()] * times, a, b))
-            times = 1
+            new, times = NUMBER_WORDS[p["word"].lower()] * times, 1
         elif p["plus"]:
-            out.append(("+", a, b))
+            new = "+"
         elif p["dot"]:
-            out.append((".", a, b))
+            new = "."
         elif p["char"]:
-            out.append((p["char"] * times, a, b))
-            times = 1
+            new, times = p["char"] * times, 1
+        if a > at:
+            out.append((at, a, ""))
+        out.append((a, b, new))
+        at = b
+    return [*out, (at, m.end(), "")] if at < m.end() else out
+
+
+@dataclass
+class Sign:
+    """What stands for an @ or a dot, with the blanks around it."""
+
+    start: int
+    end: int
+    look: str  # brackets, word, free (a dot between blanks) or plain
+
+
+def _signs(text: str, pattern: re.Pattern) -> list[Sign]:
+    out, before = [], 0
+    for m in pattern.finditer(text):
+        word = m[2] is not None
+        look = "brackets" if m[1] else "word" if word else "free" if pattern is _DOT else "plain"
+        around = _BLANKS + "_-" if word else _BLANKS
+        start = before + len(text[before : m.start()].rstrip(around))
+        out.append(Sign(start, (_GAPS if word else _SPACES).match(text, m.end()).end(), look))
+        before = m.end()
     return out
 
 
-def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
-    """The at and dot of a disguised address as single characters; a plain sentence (`at` without its dot) stays as it is."""
-    marked = re.search(r"[\[\(\{<]", m["at"])
-    plain = m["at"] == "@" and not re.search(r"\sdot\s|[\[\(\{<]|\s\.\s", m[0], re.IGNORECASE)
-    if plain or not marked and (m["top"].lower() not in TOP_DOMAINS or m["top"].lower() in WORD_DOMAINS and not re.search(r"^\.$|[\[\(\{<]", m["dot"])):
-        return None
-    parts, at = [], m.start()
-    for p in _AT_OR_DOT.finditer(m.string, m.start(), m.end()):
-        parts += [(m.string[i], i, i + 1) for i in range(at, p.start())]
-        parts.append(("@" if p["at"] else ".", p.start(), p.end()))
-        at = p.end()
-    return parts + [(m.string[i], i, i + 1) for i in range(at, m.end())]
+@dataclass
+class Chain:
+    """Labels that dots join: (start, end, the dot before it, None for a plain one); the last that may be a top domain, after an `at` in brackets or not."""
+
+    labels: list[tuple[int, int, Sign | None]] = field(default_factory=list)
+    marked: int = -1
+    unmarked: int = -1
+
+
+class Addresses:
+    """Disguised mail addresses of a text, each as the edits that write it plainly."""
+
+    def __init__(self, text: str):
+        self.text, self.ats = text, _signs(text, _AT)
+        dots = _signs(text, _DOT) if self.ats else []
+        self.by_start, self.by_end = {d.start: d for d in dots}, {d.end: d for d in dots}
+        self.cut = [d.start for d in dots if d.look == "word"]  # a dot between hyphens ends a label
+        self.chains: dict[int, tuple[Chain, int]] = {}  # end of a label -> its chain and place there
+        self.run = (0, 0)
+
+    def label(self, at: int) -> int | None:
+        """The end of the label that begins at a place."""
+        if not self.run[0] <= at < self.run[1]:
+            m = _LABEL.match(self.text, at)
+            self.run = m.span() if m else (at, at)
+        end = self.run[1]
+        k = bisect_right(self.cut, at)
+        if k < len(self.cut) and self.cut[k] < end:
+            end = self.cut[k]
+        return end if end > at else None
+
+    def chain(self, at: int) -> tuple[Chain, int] | None:
+        """The chain that begins with the label at a place; labels with the same end share it."""
+        end = self.label(at)
+        if end is None or end in self.chains:
+            return self.chains.get(end)
+        made, dot = Chain(), None
+        while end is not None:
+            k = len(made.labels)
+            made.labels.append((at, end, dot))
+            top = _TOP.match(self.text, at, end) if k else None
+            if top:
+                name, look = top[0].lower(), dot.look if dot else "plain"
+                listed = name in TOP_DOMAINS and (name not in WORD_DOMAINS or look in ("plain", "brackets"))
+                if listed:
+                    made.unmarked = k
+                if listed or look != "free":
+                    made.marked = k
+            if end in self.chains:  # met in the middle: what follows is known
+                known, place = self.chains[end]
+                made.labels += known.labels[place + 1 :]
+                shift = k - place
+                made.marked = max(made.marked, known.marked + shift if known.marked > place else -1)
+                made.unmarked = max(made.unmarked, known.unmarked + shift if known.unmarked > place else -1)
+                break
+            self.chains[end] = made, k
+            dot = self.by_start.get(end)
+            at = dot.end if dot else end + 1 if self.text[end : end + 1] == "." else len(self.text)
+            end = self.label(at) if at < len(self.text) else None
+        return made, 0
+
+    def local(self, at: int, free: int) -> tuple[int, list[Sign]]:
+        """Where the local part that ends at a place begins, and the dots in it."""
+        dots: list[Sign] = []
+        while True:
+            start, step = at, 64
+            while start > free:
+                low = max(free, at - step)
+                start = low + len(self.text[low:at].rstrip(_LOCAL))
+                if start > low:
+                    break
+                step *= 2
+            dot = self.by_end.get(start)
+            if start == at or dot is None or dot.look == "free" or dot.start <= free or self.text[dot.start - 1] not in _LOCAL:
+                return start, dots
+            dots.append(dot)
+            at = dot.start
+
+    def edits(self) -> Iterator[Edit]:
+        free = 0
+        for sign in self.ats:
+            if sign.start < free:
+                continue
+            marked = sign.look == "brackets"
+            found = self.chain(sign.end)
+            if not found or (last := found[0].marked if marked else found[0].unmarked) <= found[1]:
+                continue
+            start, dots = self.local(sign.start, free)
+            if start == sign.start:
+                continue
+            labels = found[0].labels[found[1] + 1 : last + 1]
+            after = [d for _, _, d in labels if d]
+            if sign.look == "plain" and sign.end - sign.start == 1 and not dots and not after:
+                continue  # nothing is disguised
+            yield from ((d.start, d.end, ".") for d in reversed(dots))
+            yield sign.start, sign.end, "@"
+            yield from ((d.start, d.end, ".") for d in after)
+            free = labels[-1][1]
 
 
-def _octets(m: re.Match) -> list[tuple[str, int, int]] | None:
-    if re.fullmatch(r"[0-9.]+", m[0]):
-        return None
-    parts, at = [], m.start()
-    for p in re.finditer(r"[^0-9]+", m[0]):
-        parts += [(m.string[i], i, i + 1) for i in range(at, m.start() + p.start())]
-        parts.append((".", m.start() + p.start(), m.start() + p.end()))
-        at = m.start() + p.end()
-    return parts + [(m.string[i], i, i + 1) for i in range(at, m.end())]
+def _octets(text: str) -> Iterator[Edit]:
+    for m in _HIDDEN_IP.finditer(text):
+        if not _DOTTED.fullmatch(m[0]):
+            yield from ((m.start() + p.start(), m.start() + p.end(), ".") for p in _NO_DIGITS.finditer(m[0]))
 
 
 def normalise(text: str) -> Tape:
     """The chain of transducers; one is left out only where the text lacks what each of its matches holds."""
     tape = Tape(text)
-    try:
-        text.encode("latin-1")
-        odd = "­" in text or " " in text
-    except UnicodeEncodeError:
-        odd = True
-    if odd:
-        tape = tape.rewrite(_ODD, _fold)
+    if not text.isascii():
+        tape = tape.rewrite(_folded(text))
     if _HAS_WORD.search(tape.text):
-        tape = tape.rewrite(_SPELLED, _digits).rewrite(_MIXED, _mixed)
-    if _HAS_AT.search(tape.text):
-        tape = tape.rewrite(_HIDDEN_MAIL, _address)
-    return tape.rewrite(_HIDDEN_IP, _octets)
+        tape = tape.rewrite(_spelled(tape.text))
+        tape = tape.rewrite(_mixed(tape.text))
+    tape = tape.rewrite(Addresses(tape.text).edits())
+    return tape.rewrite(_octets(tape.text))
 
 
 def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -216,12 +352,16 @@ def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
         return base
     out = {}
     for kind, found in base_spans(tape.text).items():
-        spans, taken = [*base[kind]], base[kind]
+        taken, spans = base[kind], set(base[kind])
+        ends = [e for _, e in taken]
         for a, b in found:
             start, end = tape.source(a, b)
-            if all(e <= start or end <= s or start <= s and e <= end and (start, end) != (s, e) for s, e in taken):
-                spans.append((start, end))
-        out[kind] = sorted(set(spans))
+            k = bisect_right(ends, start)  # the first plain span that doesn't end before this one
+            while k < len(taken) and taken[k][0] < end and start <= taken[k][0] and taken[k][1] <= end and taken[k] != (start, end):
+                k += 1
+            if k == len(taken) or taken[k][0] >= end:
+                spans.add((start, end))
+        out[kind] = sorted(spans)
     return out
 
 
@@ -230,12 +370,17 @@ def digest(spans: dict[str, list[Span]]) -> str:
 
 
 def redact(text: str, spans: dict[str, list[Span]]) -> str:
-    """text with each span replaced by its kind in brackets; where kinds overlap, the first start wins and the longest of these."""
-    out, at = [], 0
-    for start, end, kind in sorted(((s, e, k) for k in KINDS for s, e in spans[k]), key=lambda x: (x[0], -x[1])):
-        if start >= at:
-            out += [text[at:start], f"[{kind.upper()}]"]
-            at = end
+    """text with each span replaced by its kind in brackets; spans that overlap go as one, named after the longest of them (the first of equals)."""
+    out, at, merged = [], 0, []
+    for start, end, kind in sorted((s, e, k) for k in KINDS for s, e in spans[k]):
+        if merged and start < merged[-1][1]:
+            first, last, longest, name = merged[-1]
+            merged[-1] = first, max(last, end), max(longest, end - start), kind if end - start > longest else name
+        else:
+            merged.append((start, end, end - start, kind))
+    for start, end, _, kind in merged:
+        out += [text[at:start], f"[{kind.upper()}]"]
+        at = end
     return "".join([*out, text[at:]]) if out else text
 
 
