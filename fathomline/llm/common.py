@@ -28,6 +28,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def bounded_rows(rows: DataFrame, key: str, bound: int, salt: int = 0) -> DataFrame:
     """About `bound` rows at most, chosen by a hash of `key` over all rows; all of them if they are fewer.
 

@@ -91,7 +91,7 @@ def test_quality_rows_are_those_of_the_sql(spark):
     assert_same(queries.op4_quality_rules(spark, SMALL).toPandas(), quality_rules.oracle(), SMALL)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_anchors": 0}])
+@pytest.mark.parametrize("limits", [{}, {"max_table": 0}])
 def test_decontamination_by_brute_force(spark, limits):
     rng = np.random.default_rng(1)
     vocabulary = ["a", "B", "é", "Zz", "9", "long1"]
