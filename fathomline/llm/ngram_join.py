@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: which documents are linked by 3-word shingles at a similarity of 0.9 or more.
+"""N-gram Jaccard join: which documents are linked by word shingles, by default of 3 words at a similarity of 0.9 or more.
 
 1. Word document frequencies over all documents; a shingle's frequency is at most that of its rarest word. This bound,
    in classes of half a power of two, is the high part of the shingle's 64-bit key and a hash the low part. So a
@@ -11,17 +11,21 @@
 4. Groups are screened on sizes and small histograms of the keys (length and suffix filter) first; whole sets are
    made again and moved only for nodes with a partner left. In a group the pivot is compared first, then only pairs that
    nothing has linked yet; those that the length, suffix and positional filters leave are verified on whole sets. A
-   pair that shares several groups belongs to the first. A group of over `block` nodes is dealt out: first all its
-   blocks against the pivot, then the nodes that the pivot doesn't link against all blocks.
+   pair that shares several groups belongs to the first. A group of over `block` nodes or `block_keys` keys is dealt out:
+   first all its blocks against the pivot, then the nodes that the pivot doesn't link against all blocks.
 5. Connected components of the links by alternating large-star and small-star steps, each written to the shared
    checkpoint folder.
 
 Only words in at least 1/4000 of the documents are sent to all executors: there can't be more than 4000 times the
 mean number of different words in a document, whatever the number of documents.
 
-Defined cases: null and empty texts have no shingles and are their own component; fewer than three words make one shingle;
-repeated rows are exact copies; rows that share a doc_id count as one document; a null doc_id links with nothing and
-has a null component; other columns are not read.
+A group's size is joined to its nodes under a salt, so the nodes of a large group are never one task's; a task holds the
+sets of at most two blocks. The join on the centre of a large star is left to Spark's splitting of skewed partitions.
+
+Defined cases: null and empty texts have no shingles and are their own component; fewer words than a shingle has make one
+shingle; repeated rows are exact copies; rows that share a doc_id but not their text are compared each for itself, and
+a component's id is the smallest doc_id in it; a null doc_id links with nothing and has a null component; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import WordHashes, checkpoint
+from .common import WordHashes, checkpoint, fresh
 
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW, _CLASS = np.uint64(6), np.uint64(58)
-_BINS = 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,21 +65,23 @@ class RankedWords(WordHashes):
         return value
 
 
-def shingle_keys(text: str | None, ranked: RankedWords) -> np.ndarray:
+def shingle_keys(text: str | None, ranked: RankedWords, shingle: int = 3) -> np.ndarray:
     """The different shingles of a text as keys, rare-first."""
     ws = words(text)
     if not ws:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(ranked.__getitem__, ws), np.uint64, len(ws))
     rank, h = h & np.uint64(63), h >> _LOW
-    if len(ws) < 3:
-        mixed, rank = h[:1] * _ONE + (h[1:] * _TWO if len(ws) == 2 else np.zeros(1, np.uint64)) + np.uint64(len(ws)), rank.min(keepdims=True)
-    else:
-        mixed = (h[:-2] * _ONE + h[1:-1]) * _TWO + h[2:]
-        rank = np.minimum(np.minimum(rank[:-2], rank[1:-1]), rank[2:])
+    k = min(shingle, len(ws))
+    n = len(ws) - k + 1
+    mixed, least = h[:n] * _ONE, rank[:n]
+    for j in range(1, k):
+        mixed, least = (mixed + h[j : n + j]) * _TWO, np.minimum(least, rank[j : n + j])
+    if k < shingle:
+        mixed = mixed + np.uint64(k)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _THREE
     mixed ^= mixed >> np.uint64(32)
-    return np.unique((rank << _CLASS) | (mixed >> _LOW))
+    return np.unique((least << _CLASS) | (mixed >> _LOW))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -100,12 +106,12 @@ def word_classes(documents: DataFrame, text: str, share: int = 4000, least: int
 
 
 def histogram(keys: np.ndarray) -> bytes:
-    """Counts of keys by their lowest bits, a byte each, about eight keys to a bin.
+    """Counts of keys by their lowest bits, a byte each, about eight keys to a bin, in 64 to 2048 bins.
 
     The sum of differences of two histograms, folded to the same length, is a lower bound of the symmetric difference;
     cutting counts off at 255 only lowers it.
     """
-    n = 1 << min(max(6, (len(keys) // 8).bit_length()), 14)
+    n = 1 << min(max(6, (len(keys) // 8).bit_length()), 11)
     return np.minimum(np.bincount((keys & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
 
 
@@ -249,14 +255,14 @@ def _grouped_links(rows: DataFrame, percent: int, step: str) -> DataFrame:
     return dealt.mapInArrow(linked, "pivot long, a long, b long")
 
 
-def signatures(documents: DataFrame, classes: dict[int, int], percent: int, text: str) -> DataFrame:
+def signatures(documents: DataFrame, classes: dict[int, int], percent: int, text: str, shingle: int) -> DataFrame:
     """doc_id, n (set size), key (128-bit hash of the set), prefix (first keys), bins (histogram())."""
     held = documents.sparkSession.sparkContext.broadcast(classes)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = RankedWords(held.value)
         for batch in batches:
-            sets = [shingle_keys(x, ranked) for x in batch.column(1).to_pylist()]
+            sets = [shingle_keys(x, ranked, shingle) for x in batch.column(1).to_pylist()]
             heads = [s[: prefix_length(len(s), percent)] if len(s) else s for s in sets]
             ends = np.cumsum([0, *map(len, heads)])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*heads, np.empty(0, np.uint64)]).view(np.int64)))
@@ -265,19 +271,19 @@ def signatures(documents: DataFrame, classes: dict[int, int], percent: int, text
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(signed, "doc_id long, n long, key binary, prefix array<long>, bins binary")
 
 
-def _with_sets(documents: DataFrame, members: DataFrame, classes: dict[int, int], text: str) -> DataFrame:
-    """members (node, key, pivots, groups: pivot and number of blocks) with their keys: node, pivots, groups, keys."""
+def _with_sets(documents: DataFrame, members: DataFrame, classes: dict[int, int], text: str, shingle: int) -> DataFrame:
+    """members (node, doc, key, pivots, groups: pivot and number of blocks) with their keys: node, pivots, groups, keys."""
     held = documents.sparkSession.sparkContext.broadcast(classes)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = RankedWords(held.value)
         for batch in batches:
-            sets = [shingle_keys(x, ranked).tobytes() for x in batch.column("text").to_pylist()]
+            sets = [shingle_keys(x, ranked, shingle).tobytes() for x in batch.column("text").to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column("key").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivots"), batch.column("groups"), pa.array(sets, pa.binary())], ["node", "pivots", "groups", "keys"]).filter(same)
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text"))
-    return texts.join(members, "node").select("node", "text", "key", "pivots", "groups").mapInArrow(keyed, "node long, pivots array<long>, groups array<struct<pivot: long, blocks: long>>, keys binary")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).alias("text"))
+    return texts.join(members, "doc").select("node", "text", "key", "pivots", "groups").mapInArrow(keyed, "node long, pivots array<long>, groups array<struct<pivot: long, blocks: long>>, keys binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,28 +304,44 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def linked_components(documents: DataFrame, *, percent: int = 90, block: int = 512, text: str = "text") -> DataFrame:
+def _nodes(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """A row for each different set: key, doc (smallest doc_id), node, n, prefix, bins; and whether a node is more than its doc.
+
+    A node is called by its doc. Where rows with unlike texts share a doc_id, several sets have the same doc; such nodes are
+    called by a hash of their key, below all usual ids.
+    """
+    sets = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "prefix", "bins")))
+    crowded = checkpoint(sets.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc", F.lit(True).alias("crowded")))
+    if crowded.isEmpty():
+        return sets.withColumn("node", F.col("doc")), False
+    named = F.when(F.col("crowded"), F.xxhash64("key").bitwiseOR(-(1 << 63)).bitwiseAND(~(1 << 62))).otherwise(F.col("doc"))
+    return sets.join(crowded, "doc", "left").withColumn("node", named).drop("crowded"), True
+
+
+def linked_components(documents: DataFrame, *, percent: int = 90, shingle: int = 3, block: int = 512, block_keys: int = 1 << 20, text: str = "text", salts: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row of documents."""
     classes = word_classes(documents, text)
-    signed = checkpoint(signatures(documents, classes, percent, text))
-    nodes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "prefix", "bins")))
+    signed = checkpoint(signatures(documents, classes, percent, text, shingle))
+    nodes, shared_ids = _nodes(signed)
     entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     shared = entries.join(entries.groupBy("token").count().filter("count > 1").select("token"), "token")
     width = -math.log(percent / 100) * 1.0001  # sizes that can link are less than a band apart
     band = F.floor(F.log(F.col("n")) / width).cast("int")
-    banded = checkpoint(shared.select("token", "node", F.explode(F.array(band, band + 1)).alias("band")))
+    banded = checkpoint(shared.select("token", "node", "n", F.explode(F.array(band, band + 1)).alias("band")))
     pivots = banded.groupBy("token", "band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    members = banded.join(pivots, ["token", "band"]).select("pivot", "node").distinct()
-    members = checkpoint(members.join(nodes.select("node", "key", "n", "bins"), "node"))
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    placed = members.join(sizes, "pivot")
-    listed = checkpoint(placed.groupBy("node", "key").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.collect_list(F.struct("pivot", "blocks")).alias("groups")).withColumn("pivots", F.col("groups.pivot")))
+    members = checkpoint(banded.join(pivots, ["token", "band"]).select("pivot", "node", "n").distinct())
+    needed = F.greatest(F.count(F.lit(1)) / block, F.sum(F.col("n").cast("long")) / block_keys)
+    crowds = members.groupBy("pivot").agg(F.ceil(needed).cast("long").alias("blocks")).filter("blocks > 1")
+    crowds = crowds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(crowds, ["pivot", "salt"], "left")
+    groups = placed.groupBy("node").agg(F.collect_list(F.struct("pivot", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))).alias("groups"))
+    listed = checkpoint(groups.withColumn("pivots", F.col("groups.pivot")).join(nodes.select("node", "doc", "key", "n", "bins"), "node"))
     each = listed.withColumn("g", F.explode("groups")).select("node", "n", "bins", "pivots", "g.*")
     kept = _screened(each.filter("blocks = 1"), percent).groupBy("node").agg(F.collect_list(F.struct("pivot", F.lit(1).cast("long").alias("blocks"))).alias("kept"))
     # Of a node's groups, the screened ones and those dealt out in blocks; so texts are moved once.
     groups = F.concat(F.filter("groups", lambda g: g.blocks > 1), F.coalesce("kept", F.array().cast("array<struct<pivot: long, blocks: long>>")))
-    wanted = listed.join(kept, "node", "left").select("node", "key", "pivots", groups.alias("groups")).filter(F.size("groups") > 0)
-    sets = checkpoint(_with_sets(documents, wanted, classes, text))
+    wanted = listed.join(kept, "node", "left").select("node", "doc", "key", "pivots", groups.alias("groups")).filter(F.size("groups") > 0)
+    sets = checkpoint(_with_sets(documents, wanted, classes, text, shingle).dropDuplicates(["node"]))
     sets = sets.withColumn("g", F.explode("groups")).select(F.col("g.pivot").alias("pivot"), F.col("g.blocks").alias("blocks"), "node", "keys", "pivots")
     links = _grouped_links(sets.filter("blocks = 1").withColumns({"block": F.lit(0), "rest": F.lit(False)}), percent, "all").select("a", "b")
     large = sets.filter("blocks > 1")
@@ -330,20 +352,32 @@ def linked_components(documents: DataFrame, *, percent: int = 90, block: int = 5
         found = checkpoint(_grouped_links(first, percent, "pivot"))
         links = links.unionByName(found.filter("b IS NOT NULL").select("a", "b"))
         rest = found.filter("b IS NULL").select("pivot", F.col("a").alias("node")).distinct()
-        parts = rest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
-        # The marked rows in `parts` parts, each with every block of the group.
-        marked = large.join(rest, ["pivot", "node"]).join(parts, "pivot").withColumn("_p", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
-        marked = marked.withColumn("_b", F.explode(every)).withColumn("rest", F.lit(True))
-        others = large.join(parts, "pivot").withColumn("_b", own).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("rest", F.lit(False))
-        second = marked.select("pivot", "node", "keys", "pivots", "rest", (F.col("_p") * F.col("blocks") + F.col("_b")).alias("block")).unionByName(others.select("pivot", "node", "keys", "pivots", "rest", (F.col("_p") * F.col("blocks") + F.col("_b")).alias("block")))
+        # The marked rows in parts as small as the blocks, each part with every block of the group.
+        marked = large.join(rest, ["pivot", "node"])
+        parts = marked.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.octet_length("keys")) / (8 * block_keys))).cast("long").alias("parts"))
+        marked = marked.join(parts, "pivot").withColumn("_p", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).withColumn("_b", F.explode(every)).withColumn("rest", F.lit(True))
+        others = large.join(parts, "pivot").withColumn("_b", own).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("rest", F.lit(False))
+        second = marked.unionByName(others).select("pivot", "node", "keys", "pivots", "rest", (F.col("_p") * F.col("blocks") + F.col("_b")).alias("block"))
         links = links.unionByName(_grouped_links(second, percent, "rest").select("a", "b"))
     roots = components(links)
-    of_set = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_set, "key", "left")
+    of_set = nodes.select("key", "node", "doc").join(roots, "node", "left").select("key", "doc", F.coalesce("root", "node").alias("root"))
+    if shared_ids:  # a root may be called by a hash
+        of_set = of_set.join(of_set.groupBy("root").agg(F.min("doc").alias("component_id")), "root")
+    else:
+        of_set = of_set.withColumn("component_id", F.col("root"))
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_set.select("key", "component_id"), "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """documents with the row of the smallest doc_id of each component; rows without a doc_id stay."""
-    kept = linked_components(documents, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return documents.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns).unionByName(documents.filter("doc_id IS NULL"))
+def one_of_each(documents: DataFrame, text: str = "text", **options) -> DataFrame:
+    """documents with the rows of the smallest doc_id of each component.
+
+    Rows that share that doc_id stay if their texts differ; of those with the same text too, the one whose other columns are
+    the smallest. Rows without a doc_id stay.
+    """
+    kept = linked_components(documents, text=text, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    known = documents.filter("doc_id IS NOT NULL")
+    known = known.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    own = Window.partitionBy("doc_id", F.xxhash64(text), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))).orderBy(*(F.col(f"`{f.name}`") for f in documents.schema.fields if not isinstance(f.dataType, (MapType, VariantType))))
+    place = fresh(documents, "place")
+    return known.withColumn(place, F.row_number().over(own)).filter(F.col(place) == 1).drop(place).unionByName(documents.filter("doc_id IS NULL"))
