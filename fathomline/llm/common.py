@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,27 +38,33 @@ def fresh(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
-def bounded_rows(rows: DataFrame, key: str, bound: int, salt: int = 0) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of `key` over all rows; all of them if they are fewer.
+def sample(rows: DataFrame, keys: list[str], bound: int, salt: int = 0) -> DataFrame:
+    """At most `bound` rows, chosen by a hash of `keys` over all rows: the same ones on every run; all of them if they are fewer.
 
-    Two narrow passes: one counts, one filters; nothing is sorted and no row is moved.
+    Two narrow passes; what goes through the filter of the second, about a third more than `bound`, is cut off in hash order.
     """
     n = rows.count()
-    if n <= bound:
-        return rows
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(_SLOTS))
-    return rows.filter(slot < int(_SLOTS * bound / n)).limit(bound + bound // 4)
+    slot = F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(_SLOTS))
+    if n > bound:
+        rows = rows.filter(slot < int(min(1.0, (bound + 4 * bound**0.5) * 4 / 3 / n) * _SLOTS))
+    return rows.orderBy(slot, *keys).limit(bound)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that the session names in spark.checkpoint.dir.
+    """df, written to the shared folder that the session names in spark.checkpoint.dir. Lost executors don't lose it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Lost executors don't lose it. Only a session without that setting gets a folder of its own (in tests).
-    """
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session without that setting, as in tests, gets one of its own."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 class WordHashes(dict):

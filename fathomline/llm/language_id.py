@@ -5,12 +5,14 @@ n-grams. With learned transitions between the labels of neighbours, forward-back
 probabilities; so words of a text that switches between languages are labelled one by one. A document's language is the one
 with most expected words, and its share of the words is the score.
 
-Learned in numpy on the driver from a bounded sample: at most `per_language` documents of each of at most `max_languages`
-languages, and of each document `fragments` runs of `run` words spread over the whole text. Runs of several languages
-are spliced into training sequences, so that switches are seen. Labelling is one narrow pass over whole texts.
+Learned in numpy on the driver from a bounded sample of labelled rows, chosen by a hash: at most `per_language` documents of
+each language, and `max_rows` of all of them (fewer of each language if there are very many, but one at least). All words
+of these documents are learned from, in runs of `run` words. Runs of several languages are spliced into training sequences,
+so that switches are seen. Labelling is one narrow pass over whole texts.
 
 Defined cases: text that is null or has no letter is `und` with score 0; without any labelled row everything is `und`;
-ties go to the first language in order; repeated rows get equal results; other columns are not read.
+ties go to the first language in order; repeated rows get equal results and count once in learning; other columns are not
+read. A word is a run of letters of any length, also a whole sentence in a script without blanks.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _SLOTS, crc_bucket
@@ -41,9 +43,8 @@ def words(text: str | None) -> list[str]:
 
 def features(word: str, lexicons: dict[str, list[str]]) -> list[str]:
     """Itself, its lexicons, affixes of two and three letters (marked by their ends), and its trigrams."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    out = [word, "^" + w[:2], "^" + w[:3], w[-2:] + "$", w[-3:] + "$"] if len(word) <= 40 else ["^" + w[:3], w[-3:] + "$"]
-    out += [f"+{w[i : i + 3]}" for i in range(len(w) - 2)]
+    out = [word, "^" + word[:2], "^" + word[:3], word[-2:] + "$", word[-3:] + "$"]
+    out += [f"+{word[i : i + 3]}" for i in range(len(word) - 2)]
     return out + [f"l:{lang}" for lang in lexicons[word]] if word in lexicons else out
 
 
@@ -198,26 +199,30 @@ class Labeller:
             yield from zip(part, np.split(p, np.cumsum(lengths)[:-1]), strict=True)
 
 
-def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_language: int = 400, max_languages: int = 50, fragments: int = 8, run: int = 12) -> list[tuple[str, list[str]]]:
-    """(language, words) from labelled documents outside the held-out fold."""
-    known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id", fold) != held))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_language: int = 400, max_rows: int = 8000, run: int = 12) -> list[tuple[str, list[str]]]:
+    """(language, words) from labelled documents outside the held-out fold: all words of the sampled documents, in runs."""
+    known = documents.filter(F.col("lang").isNotNull() & (crc_bucket("doc_id", fold) != held)).select("doc_id", "lang", "text")
+    counts = known.groupBy("lang").count()
+    n = counts.count()
+    if not n:
         return []
-    slots = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, per_language / r["count"]) * _SLOTS)))))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(_SLOTS)) < slots[F.col("lang")]).select("lang", "text")
+    quota = max(1, min(per_language, max_rows // n))
+    # Somewhat more than the quota goes through the filter; the rest is cut off in hash order.
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(_SLOTS))
+    share = F.least(F.lit(1.0), (quota + 4 * quota**0.5) * 4 / 3 / F.col("count"))
+    sizes = F.broadcast(counts) if n <= 10_000 else counts
+    some = known.filter("text IS NOT NULL").join(sizes, "lang").filter(slot < share * _SLOTS).select("lang", "text", slot.alias("slot")).distinct()
+    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("slot", "text"))).filter(F.col("k") <= quota)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 ws = words(text)
-                n = min(fragments, len(ws) // run + 1)
-                out += [(lang, ws[i : i + run]) for i in (len(ws) * j // n for j in range(n)) if ws[i : i + run]]
+                out += [(lang, ws[i : i + run]) for i in range(0, len(ws), run)]
             yield pd.DataFrame(out, columns=["lang", "ws"])
 
-    rows = chosen.mapInPandas(cut, "lang string, ws array<string>").limit(2 * per_language * fragments * len(counts)).collect()
-    return sorted((r.lang, list(r.ws)) for r in rows)
+    return sorted((r.lang, list(r.ws)) for r in chosen.select("lang", "text").mapInPandas(cut, "lang string, ws array<string>").collect())
 
 
 def label(documents: DataFrame, model: CRF | None, text: str = "text") -> DataFrame:

@@ -5,10 +5,13 @@ to them by dual coordinate descent (Hsieh et al., 2008), in numpy. N-grams are o
 text, and one to three shapes of words (case, length class, what they end with, whether they repeat the word before).
 Margins become probabilities by a logistic curve fitted on rows that the support vectors haven't seen.
 
-At most `max_rows` labelled texts (a documented bound) are learned from, on the driver; scoring is one narrow pass.
+At most `max_rows` labelled rows (a documented bound), chosen by a hash, are learned from. Spark counts their n-grams; those
+in at least `least` rows, at most the `size` most frequent of them (100,000; ties: the smaller one), are the features, and
+only the numbers of each row's features come to the driver. Scoring is one narrow pass.
 
-Defined cases: null and empty texts have no n-grams and score by the bias; repeated rows score alike; with labels of
-one class only, or none, every score is the share of label 1 (0.5 without labels); other columns are not read.
+Defined cases: null and empty texts have no n-grams and score by the bias; repeated rows score alike; a doc_id with both
+labels counts as 0; with labels of one class only, or none, every score is the share of label 1 (0.5 without labels);
+extra columns stay, whatever they are called, and are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, crc_bucket
+from .common import checkpoint, crc_bucket, sample
 
 _EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
@@ -120,21 +123,25 @@ def _calibrate(margins: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[fl
     return (float(c[0]), float(c[1])) if np.isfinite(c).all() and c[0] > 0 else (1.0, 0.0)
 
 
-def fit(texts: list[str], labels: list[int], *, least: int = 3, size: int = 100_000, cost: float = 0.02, folds: int = 4) -> NBSVM:
-    y = np.where(np.array(labels) == 1, 1, -1)
-    if not len(y) or abs(y.sum()) == len(y):
-        share = float((y == 1).mean()) if len(y) else 0.5
-        return NBSVM(slope=0.0, shift=math.log((share + 1e-9) / (1 - share + 1e-9)))
-    shapes = Shapes()
-    grams = [ngrams(x, shapes) for x in texts]
-    counts = Counter(g for gs in grams for g in gs)
-    columns = {g: i for i, (g, _) in enumerate(sorted(((g, c) for g, c in counts.items() if c >= least), key=lambda x: (-x[1], str(x[0])))[:size])}
-    rows = [np.array(sorted(columns[g] for g in gs & columns.keys()), dtype=np.int64) for gs in grams]
+LEAST, SIZE = 3, 100_000  # rows that an n-gram is in at least, n-grams at most
+
+
+def written(gram: str | tuple) -> str:
+    """An n-gram as text. No word holds a blank, and only shapes begin with a line end."""
+    return gram if isinstance(gram, str) else " ".join(gram)
+
+
+def read(text: str) -> str | tuple:
+    return text if text == "\n\n" or " " not in text and not text.startswith("\n") else tuple(text.split(" "))
+
+
+def learn(rows: list[np.ndarray], y: np.ndarray, grams: list[str | tuple], *, cost: float = 0.02, folds: int = 4) -> NBSVM:
+    """rows: the numbers of each row's n-grams; y: 1 or -1."""
     n0, n1 = (y == -1).sum(), (y == 1).sum()
     costs = np.where(y == 1, cost * len(y) / (2 * n1), cost * len(y) / (2 * n0))
 
-    def learn(chosen: np.ndarray) -> tuple[np.ndarray, float]:
-        p, q = np.ones(len(columns)), np.ones(len(columns))
+    def of(chosen: np.ndarray) -> tuple[np.ndarray, float]:
+        p, q = np.ones(len(grams)), np.ones(len(grams))
         for i in chosen:
             (p if y[i] == 1 else q)[rows[i]] += 1
         ratio = np.log((p / p.sum()) / (q / q.sum()))
@@ -144,21 +151,62 @@ def fit(texts: list[str], labels: list[int], *, least: int = 3, size: int = 100_
     part = np.arange(len(y)) % folds
     margins = np.zeros(len(y))
     for k in range(folds):
-        w, b = learn(np.flatnonzero(part != k))
+        w, b = of(np.flatnonzero(part != k))
         for i in np.flatnonzero(part == k):
             margins[i] = w[rows[i]].sum() + b
     slope, shift = _calibrate(margins, (y == 1).astype(float))
-    w, b = learn(np.arange(len(y)))
-    return NBSVM({g: float(w[i]) for g, i in columns.items() if abs(w[i]) > 1e-4}, float(b), slope, shift)
+    w, b = of(np.arange(len(y)))
+    return NBSVM({g: float(w[i]) for i, g in enumerate(grams) if abs(w[i]) > 1e-4}, float(b), slope, shift)
+
 
+def of_one_class(y: np.ndarray) -> NBSVM | None:
+    """What is known without two classes: the share of label 1."""
+    if len(y) and abs(y.sum()) < len(y):
+        return None
+    share = float((y == 1).mean()) if len(y) else 0.5
+    return NBSVM(slope=0.0, shift=math.log((share + 1e-9) / (1 - share + 1e-9)))
 
-def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, max_rows: int = 3000) -> NBSVM:
+
+def fit(texts: list[str], labels: list[int], **options) -> NBSVM:
+    """The fit on texts that are at hand."""
+    y = np.where(np.array(labels) == 1, 1, -1)
+    if model := of_one_class(y):
+        return model
+    shapes = Shapes()
+    found = [ngrams(x, shapes) for x in texts]
+    counts = Counter(g for gs in found for g in gs)
+    grams = sorted((g for g, c in counts.items() if c >= LEAST), key=lambda g: (-counts[g], written(g).encode()))[:SIZE]
+    number = {g: i for i, g in enumerate(grams)}
+    return learn([np.array(sorted(number[g] for g in gs & number.keys()), dtype=np.int64) for gs in found], y, grams, **options)
+
+
+def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, max_rows: int = 3000, text: str = "text") -> NBSVM:
     """A model from quality labels of rows whose crc32(doc_id) mod `fold` isn't 0."""
-    known = labels.filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id", fold) != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = bounded_rows(known, "doc_id", max_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text for r in rows], [r.quality for r in rows])
+    known = labels.filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id", fold) != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample(known, ["doc_id"], max_rows)), "doc_id")
+    rows = checkpoint(sample(texts, ["doc_id", "text"], max_rows).select("doc_id", "text", F.col("quality").cast("int").alias("quality")))
+    y = np.array([1 if r.quality == 1 else -1 for r in rows.select("quality").collect()])
+    if model := of_one_class(y):
+        return model
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shapes = Shapes()
+        for x in batches:
+            yield pd.Series([[written(g) for g in ngrams(t, shapes)] for t in x], dtype=object)
+
+    counts = rows.select(F.explode(split("text")).alias("gram")).groupBy("gram").count().filter(F.col("count") >= LEAST)
+    grams = [r.gram for r in counts.orderBy(F.desc("count"), "gram").limit(SIZE).collect()]
+    number = documents.sparkSession.sparkContext.broadcast({read(g): i for i, g in enumerate(grams)})
+
+    @F.pandas_udf("array<int>")
+    def numbered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shapes, known = Shapes(), number.value
+        for x in batches:
+            yield pd.Series([sorted(known[g] for g in ngrams(t, shapes) & known.keys()) for t in x], dtype=object)
+
+    found = sorted(((r.doc_id, r.cols, r.quality) for r in rows.select("doc_id", numbered("text").alias("cols"), "quality").collect()))
+    return learn([np.array(cols, dtype=np.int64) for _, cols, _ in found], np.array([1 if q == 1 else -1 for _, _, q in found]), [read(g) for g in grams])
 
 
 def score(documents: DataFrame, model: NBSVM, text: str = "text", output: str = "score") -> DataFrame:

@@ -1,20 +1,24 @@
 """Toxicity: non-negative positive-unlabelled learning of a linear numpy classifier.
 
-Only confirmed toxic documents and unlabelled text are learned from. With the class prior pi, the risk on
-negatives is estimated from unlabelled text less pi times the risk of positives taken as negatives; where that
-estimate falls below zero the model has begun to remember single texts, and a step goes the other way
-(Kiryo et al., 2017). The logistic loss under this risk makes the score an estimate of P(toxic | text).
+The texts learned from are confirmed toxic documents and unlabelled ones; no text is ever taken as a clean example. With
+the class prior pi, the risk on negatives is estimated from unlabelled text less pi times the risk of positives taken as
+negatives; where that estimate falls below zero the model has begun to remember single texts, and a step goes the other
+way (Kiryo et al., 2017). The logistic loss under this risk makes the score an estimate of P(toxic | text). The prior is
+a parameter; by default it is the share of toxic rows among the labelled ones (so that clean labels are counted, once).
 
-Training takes at most `max_positive` + `max_unlabelled` texts (a documented bound) on the driver; scoring is one
-narrow pass over all documents.
+The fit takes at most `max_positive` + `max_unlabelled` rows (a documented bound), chosen by a hash. Their words are counted
+by Spark; the `size` words whose share differs most between the two kinds of rows are the features (ties: the smaller
+word), and only the numbers of each row's features come to the driver. Scoring is one narrow pass over all documents.
 
 Defined cases: a null or empty text scores as a text without words (the bias); repeated rows score alike; extra
-columns stay and are never read; with no confirmed toxic row every score is 0.
+columns stay, whatever they are called, and are never read; a doc_id with several labels is toxic if one of them says so;
+with no confirmed toxic row every score is 0.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, crc_bucket
+from .common import checkpoint, crc_bucket, fresh, sample
 
 _WORD = re.compile(r"\w+")
 
@@ -51,75 +55,94 @@ class PUModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _matrix(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    rows, cols = [], []
-    for i, text in enumerate(texts):
-        found = [vocabulary[f] for f in features(text) & vocabulary.keys()]
-        rows.append(np.full(len(found), i, dtype=np.int32))
-        cols.append(np.array(found, dtype=np.int32))
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _vocabulary(positive: list[str], unlabelled: list[str], size: int, least: int) -> dict[str, int]:
-    """The words whose share differs most, in standard errors, between the two sets."""
-    counts = []
-    for texts in (positive, unlabelled):
-        c: dict[str, int] = {}
-        for text in texts:
-            for w in features(text):
-                c[w] = c.get(w, 0) + 1
-        counts.append(c)
-    words = sorted(w for w in {*counts[0], *counts[1]} if counts[0].get(w, 0) + counts[1].get(w, 0) >= least)
-    if not words:
-        return {}
-    p, u = (np.array([c.get(w, 0) for w in words], dtype=float) for c in counts)
-    n, m = len(positive), len(unlabelled)
+def standard_errors(p: np.ndarray, u: np.ndarray, n: int, m: int) -> np.ndarray:
+    """How far the share p / n is from u / m, in standard errors."""
     pooled = (p + u) / (n + m)
-    z = np.abs(p / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-9)
-    best = [i for i in np.argsort(-z, kind="stable")[:size] if z[i] >= 4]  # standard errors
-    return {words[i]: k for k, i in enumerate(best)}
+    return np.abs(p / n - u / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-9)
 
 
-def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, *, size: int = 200, least: int = 5, steps: int = 200, rate: float = 0.1, l2: float = 2e-4, beta: float = 0.0, gamma: float = 1.0) -> PUModel:
-    """Minimise pi * R_P+ + max(0, R_U- - pi * R_P-) with the logistic loss by Adam on all rows at once."""
-    if not positive or not unlabelled:
-        return PUModel()
-    prior = float(np.clip(prior, 1e-3, 0.999))
-    vocabulary = _vocabulary(positive, unlabelled, size, least)
-    d = len(vocabulary)
-    (pr, pc), (ur, uc) = _matrix(positive, vocabulary), _matrix(unlabelled, vocabulary)
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """The parts of the risk on margins of positive and unlabelled rows: on positives, and the estimate on negatives; and what is minimised."""
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return positive, negative, positive + max(0.0, negative)
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the risk with respect to the margins; of minus the estimate on negatives where that is below -beta."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    sp, su = sigmoid(zp), sigmoid(zu)
+    as_positive, as_negative_p, as_negative_u = (sp - 1) * prior / len(zp), -prior * sp / len(zp), su / len(zu)
+    if risk(zp, zu, prior)[1] < -beta:
+        return -gamma * as_negative_p, -gamma * as_negative_u
+    return as_positive + as_negative_p, as_negative_u
+
+
+def minimise(positive: list[list[int]], unlabelled: list[list[int]], words: list[str], prior: float, *, steps: int = 200, rate: float = 0.1, l2: float = 2e-4, beta: float = 0.0, gamma: float = 1.0) -> PUModel:
+    """Minimise pi * R_P+ + max(0, R_U- - pi * R_P-) with the logistic loss by Adam on all rows at once. Rows are numbers of words."""
+    prior, d = float(np.clip(prior, 1e-3, 0.999)), len(words)
+    flat = lambda rows: (np.repeat(np.arange(len(rows)), list(map(len, rows))), np.fromiter((i for r in rows for i in r), np.int64))
+    (pr, pc), (ur, uc) = flat(positive), flat(unlabelled)
     w, b = np.zeros(d), np.log(prior / (1 - prior))
     first, second = np.zeros(d + 1), np.zeros(d + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for t in range(1, steps + 1):
         zp = b + np.bincount(pr, w[pc], minlength=len(positive))
         zu = b + np.bincount(ur, w[uc], minlength=len(unlabelled))
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # Derivatives of the three parts with respect to each row's margin.
-        as_positive, as_negative_p, as_negative_u = (sp - 1) * prior / len(positive), -prior * sp / len(positive), su / len(unlabelled)
-        if negative < -beta:
-            gp, gu = -gamma * as_negative_p, -gamma * as_negative_u
-        else:
-            gp, gu = as_positive + as_negative_p, as_negative_u
+        gp, gu = slopes(zp, zu, prior, beta, gamma)
         g = np.append(np.bincount(pc, gp[pr], minlength=d) + np.bincount(uc, gu[ur], minlength=d) + l2 * w, gp.sum() + gu.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return PUModel({x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 1e-3}, float(b))
+    return PUModel({x: float(w[i]) for i, x in enumerate(words) if abs(w[i]) > 1e-3}, float(b))
+
 
+SIZE, LEAST, APART = 200, 5, 4.0  # words at most, rows that a word is in at least, standard errors at least
 
-def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, max_positive: int = 2000, max_unlabelled: int = 6000) -> PUModel:
+
+def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, **options) -> PUModel:
+    """The fit on texts that are at hand."""
+    if not positive or not unlabelled:
+        return PUModel()
+    sets = [[features(x) for x in texts] for texts in (positive, unlabelled)]
+    p, u = (Counter(w for s in x for w in s) for x in sets)
+    known = sorted(w for w in {*p, *u} if p[w] + u[w] >= LEAST)
+    apart = standard_errors(np.array([p[w] for w in known], float), np.array([u[w] for w in known], float), len(positive), len(unlabelled))
+    words = [known[i] for i in np.argsort(-apart, kind="stable")[:SIZE] if apart[i] >= APART]
+    number = {w: i for i, w in enumerate(words)}
+    rows = [[[number[w] for w in sorted(s & number.keys())] for s in x] for x in sets]
+    return minimise(*rows, words, prior, **options)
+
+
+def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, prior: float | None = None, max_positive: int = 2000, max_unlabelled: int = 6000, text: str = "text") -> PUModel:
     """A model from rows whose crc32(doc_id) mod `fold` isn't 0: their toxic labels, and their texts as unlabelled ones."""
-    known = labels.filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id", fold) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
+    known = labels.filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id", fold) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n, toxic = known.agg(F.count(F.lit(1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
     if not n or not toxic:
         return PUModel()
-    texts = documents.filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id", fold) != 0)).select("doc_id", "text")
-    chosen = bounded_rows(known.filter("toxic = 1").select("doc_id").distinct(), "doc_id", max_positive)
-    positive = [r.text for r in texts.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(2 * max_positive).collect()]
-    unlabelled = [r.text for r in bounded_rows(texts, "doc_id", max_unlabelled, salt=1).select("text").collect()]
-    return fit_nnpu(positive, unlabelled, toxic / n)
+    texts = documents.filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id", fold) != 0)).select("doc_id", F.col(text).alias("text"))
+    confirmed = sample(known.filter("toxic = 1").select("doc_id"), ["doc_id"], max_positive)
+    positive = sample(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), ["doc_id", "text"], max_positive)
+    unlabelled = sample(texts, ["doc_id", "text"], max_unlabelled, salt=1)
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series([sorted(features(t)) for t in x], dtype=object)
+
+    rows = positive.select("text", F.lit(True).alias("toxic")).unionByName(unlabelled.select("text", F.lit(False).alias("toxic")))
+    rows = checkpoint(rows.select("toxic", split("text").alias("words")))
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return PUModel()
+    n_p, n_u = float(sizes[True]), float(sizes[False])
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.when(F.col("toxic"), 1)).alias("p"), F.count(F.when(~F.col("toxic"), 1)).alias("u")).filter(F.col("p") + F.col("u") >= LEAST)
+    pooled = (F.col("p") + F.col("u")) / (n_p + n_u)
+    apart = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-9)
+    words = [r.word for r in counts.filter(apart >= APART).orderBy(F.desc(F.round(apart, 9)), "word").limit(SIZE).collect()]
+    known_words = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    numbered = rows.select("toxic", F.transform(F.array_intersect("words", known_words), lambda w: F.array_position(known_words, w) - 1).alias("cols")).collect()
+    of = lambda toxic: sorted(list(r.cols) for r in numbered if r.toxic == toxic)
+    return minimise(of(True), of(False), words, toxic / n if prior is None else prior)
 
 
 def score(documents: DataFrame, model: PUModel, text: str = "text", output: str = "score") -> DataFrame:
@@ -141,7 +164,7 @@ def query(documents: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     return out.select("doc_id", (crc_bucket("doc_id", fold) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_clean(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """documents without those that the model rejects."""
-    scored = score(documents, train(documents, labels), output="_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = fresh(documents, "toxicity")
+    return score(documents, train(documents, labels, text=text), text, name).filter(F.col(name) < 0.5).drop(name)
