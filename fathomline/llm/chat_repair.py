@@ -6,32 +6,40 @@ turns may go between (`insert`), also at the end. Dynamic programming over the a
 choice of least cost.
 
 A turn's effect is a small matrix over the automaton's states in (min, +) algebra, so a conversation is cut into blocks by
-turn number: block matrices are multiplied first, then each block is solved between its two boundary states. No task
-holds a whole conversation, however long: pass 1 reads only roles, pass 2 one matrix for each block, pass 3 a block.
-Texts are moved once, in pass 3, together with a row for each block that holds its boundary states; repeated rows of a
-partition are dropped before that, the others where they meet.
-
-Rows of a conversation are ordered by turn, then role, then text; exactly repeated rows count once. Defined cases: a null
-turn comes first (block 0); a null or unknown role has to be relabelled; null text renders as empty; conversations with a
-null id are one conversation; an empty table gives no rows; other columns are not read. Equal costs are decided in a
-fixed order: keep before merge before relabel, then fewer insertions, then the order of the states.
+turn number: block matrices are multiplied first, then each block is solved between its two boundary states. A block with
+far more rows than turns (null or equal turns, as where many rows lack an id) is cut further, by turn, role and ranges of a
+hash of the text, which is the order of its rows. No task holds a whole conversation, however long, in texts: pass 1
+reads only roles, pass 2 one matrix of 16 numbers for each block, pass 3 a block. Texts are moved once, in pass 3, together
+with a row for each block that holds its boundary states; repeated rows of a partition are dropped before that, the others
+where they meet.
+
+Rows of a conversation are ordered by turn, then role (system, user, assistant, then others), then a hash of the text;
+exactly repeated rows count once. Defined cases: a null turn comes first (block 0); a null or unknown role has to be
+relabelled; null text renders as empty; conversations with a null id are one conversation; an empty table gives no rows;
+other columns are not read. Equal costs are decided in a fixed order: keep before merge before relabel, then fewer
+insertions, then the order of the states.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 ROLES = ("system", "user", "assistant")
 STATES = ("start", *ROLES)
 COSTS = {"relabel": 4, "merge": 3, "insert": 5}
 BLOCK = 1024
 FAR = 1 << 40
+_STRUCT = "struct<number: long, turn: long, rank: int, k: long>"
+_BLOCK = pa.struct([("number", pa.int64()), ("turn", pa.int64()), ("rank", pa.int32()), ("k", pa.int64())])
 
 #: What may directly follow a state.
 _NEXT = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
@@ -108,7 +116,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], done) -> I
     at, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
+            key = tuple(tuple(row[k].values()) if isinstance(row[k], dict) else row[k] for k in keys)
             if key != at:
                 if held:
                     yield done(at, held)
@@ -118,10 +126,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], done) -> I
         yield done(at, held)
 
 
+ORDER = ["turn", "rank", "h", "was"]  # of the rows of a block
+
+
 def _ordered(turns: DataFrame, block: int) -> DataFrame:
+    """turns with the role that is known, its rank, a hash of the text, and `block`: (number, and for parts of a full one turn, rank and range of the hash)."""
     known = F.when(F.lower(F.trim("role")).isin(*ROLES), F.lower(F.trim("role")))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), known.alias("role"), F.col("role").alias("was"), "text")
-    return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(0)).cast("long"))
+    rank = F.coalesce(*(F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(ROLES)), F.lit(len(ROLES)))
+    return rows.withColumns({"rank": rank, "h": F.xxhash64("text"), "number": F.coalesce(F.floor(F.col("turn") / block), F.lit(0)).cast("long")})
+
+
+def _full(turns: DataFrame, block: int) -> DataFrame | None:
+    """conv_id, number, turn, rank and bits (of the hash) of the cells of blocks with over four times as many rows as turns; None without any."""
+    cell = ["conv_id", "number", "turn", "rank"]
+    cells = checkpoint(_ordered(turns, block).groupBy(*cell).count().withColumn("all", F.sum("count").over(Window.partitionBy("conv_id", "number"))).filter(F.col("all") > 4 * block))
+    if cells.isEmpty():
+        return None
+    return cells.select(*cell, F.ceil(F.log2(F.greatest(F.col("count") / block, F.lit(1.0)))).cast("int").alias("bits"))
+
+
+def _placed(rows: DataFrame, full: DataFrame | None) -> DataFrame:
+    """rows with `block`. The cells of full blocks are few; Spark sends them to all tasks if they are small when they are known."""
+    part = lambda turn, rank, k: F.struct(F.col("number").alias("number"), turn.cast("long").alias("turn"), rank.cast("int").alias("rank"), k.cast("long").alias("k"))
+    none = F.lit(None)
+    if full is None:
+        return rows.withColumn("block", part(none, none, none)).drop("number")
+    c = full.select(*(F.col(x).alias(f"c_{x}") for x in full.columns))
+    same = [F.col(x).eqNullSafe(F.col(f"c_{x}")) for x in ("conv_id", "number", "turn", "rank")]
+    joined = rows.join(c, reduce(lambda a, b: a & b, same), "left")
+    high = F.call_function("shiftrightunsigned", F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - F.col("c_bits"))  # in the order of h
+    k = F.when(F.col("c_bits") > 0, high).otherwise(F.lit(0).cast("long"))
+    cut = part(F.col("turn"), F.col("rank"), k)
+    return joined.withColumn("block", F.when(F.col("c_bits").isNotNull(), cut).otherwise(part(none, none, none))).drop("number", *c.columns)
 
 
 def once(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -138,8 +175,8 @@ def once(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa
         yield batch.filter(pa.array(new, pa.bool_()))
 
 
-def boundaries(turns: DataFrame, costs: dict[str, int], block: int) -> DataFrame:
-    """conv_id, block, first (state before), last (state after; null in a conversation's last block)."""
+def boundaries(rows: DataFrame, costs: dict[str, int]) -> DataFrame:
+    """conv_id, block, first (state before), last (state after; null in a conversation's last block). rows: conv_id, block, ORDER, role."""
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = {r: _matrix(r, costs) for r in (*ROLES, None)}
@@ -148,7 +185,7 @@ def boundaries(turns: DataFrame, costs: dict[str, int], block: int) -> DataFrame
             m = one[rows[0]["role"]]
             for r in rows[1:]:
                 m = _times(m, one[r["role"]])
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], ["conv_id", "block", "m"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([rows[0]["block"]], _BLOCK), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], ["conv_id", "block", "m"])
 
         return _blocks(batches, ("conv_id", "block"), done)
 
@@ -168,14 +205,13 @@ def boundaries(turns: DataFrame, costs: dict[str, int], block: int) -> DataFrame
             states = states[::-1]
             n = len(rows)
             last = [*states[1:-1], None]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(states[:-1], pa.int32()), pa.array(last, pa.int32())], ["conv_id", "block", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([r["block"] for r in rows], _BLOCK), pa.array(states[:-1], pa.int32()), pa.array(last, pa.int32())], ["conv_id", "block", "first", "last"])
 
         return _blocks(batches, ("conv_id",), done)
 
-    roles = _ordered(turns.withColumn("text", F.xxhash64("text")), block).distinct()
-    dealt = roles.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "was")
-    made = dealt.select("conv_id", "block", "role").mapInArrow(multiplied, "conv_id long, block long, m array<long>")
-    return made.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chosen, "conv_id long, block long, first int, last int")
+    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *ORDER)
+    made = dealt.select("conv_id", "block", "role").mapInArrow(multiplied, f"conv_id long, block {_STRUCT}, m array<long>")
+    return made.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chosen, f"conv_id long, block {_STRUCT}, first int, last int")
 
 
 def repair(turns: DataFrame, *, costs: dict[str, int] = COSTS, block: int = BLOCK) -> DataFrame:
@@ -190,7 +226,7 @@ def repair(turns: DataFrame, *, costs: dict[str, int] = COSTS, block: int = BLOC
             rows = [r for before, r in zip([None, *rows], rows, strict=False) if r != before]
             plan = solve([r["role"] for r in rows], first, last, costs)
             out = []
-            open_turn = first > 0 and rows[0]["block"] > 0
+            open_turn = first > 0  # only the first block begins in the start state
             for i, (r, (state, action, made)) in enumerate(zip(rows, plan, strict=True)):
                 role, merged = STATES[state], action.startswith("merge")
                 head = "" if not open_turn else "\n\n" if merged else _CLOSE
@@ -208,11 +244,11 @@ def repair(turns: DataFrame, *, costs: dict[str, int] = COSTS, block: int = BLOC
 
         return _blocks(batches, ("conv_id", "block"), done)
 
-    rows = _ordered(turns, block).select("conv_id", "block", "turn", "role", "was", "text")
-    rows = rows.mapInArrow(once, rows.schema).withColumn("edge", F.lit(False))
-    edges = boundaries(turns, costs, block).withColumn("edge", F.lit(True))
-    dealt = rows.unionByName(edges, allowMissingColumns=True).repartition("conv_id", "block")
-    dealt = dealt.sortWithinPartitions("conv_id", "block", F.desc("edge"), "turn", "role", "was", "text")
+    rows = _placed(_ordered(turns, block), _full(turns, block)).select("conv_id", "block", *ORDER, "role", "text")
+    edges = boundaries(rows.drop("text").distinct(), costs).withColumn("edge", F.lit(True))
+    moved = rows.mapInArrow(once, rows.schema).withColumn("edge", F.lit(False))
+    dealt = moved.unionByName(edges, allowMissingColumns=True).repartition("conv_id", "block")
+    dealt = dealt.sortWithinPartitions("conv_id", "block", F.desc("edge"), *ORDER, "text")
     return dealt.select("conv_id", "block", "turn", "role", "was", "text", "first", "last").mapInArrow(repaired, "conv_id long, turn long, place long, role string, new_role string, action string, inserted array<string>, ending array<string>, cost long, rendered string")
 
 
