@@ -6,11 +6,13 @@ last return the columns of `documents`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import decontaminate, ngram_join, packing, pii, toxicity
-from fathomline.llm.common import table
+from fathomline.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """The rows of the last stage. What each stage keeps is written as Parquet to the shared checkpoint folder and read again, so
+    no stage computes the ones before it anew; the files of a stage go once the next one's are written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, done = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-    return docs
+        docs.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            path = spark._jvm.org.apache.hadoop.fs.Path(done)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done = f"{folder}/{name}"
+    return STAGES[-1][1](spark, docs, sf_dir)
