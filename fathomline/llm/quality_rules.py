@@ -58,8 +58,8 @@ def _unpacked(packed: DataFrame, documents: DataFrame, text: str, results: list[
 
 
 def _based(packed: DataFrame) -> DataFrame:
-    """packed with `ws` (words) and BASE."""
-    df = packed.withColumn("ws", F.expr(f"regexp_extract_all(t, '{_WORD}', 0)"))
+    """packed with `ws` (words), `rare` (the text without small letters and blanks, which no counted class has) and BASE."""
+    df = packed.withColumn("ws", F.expr(f"regexp_extract_all(t, '{_WORD}', 0)")).withColumn("rare", F.regexp_replace("t", r"[a-z \n]+", ""))
     # Starts of 3-word windows that occur again: neighbours with equal words, once windows are sorted by hash and place.
     # Where neighbours' hashes are equal and their words aren't, windows are sorted by their words.
     windows = "CASE WHEN size(ws) < 3 THEN array() ELSE slice(ws, 1, size(ws) - 2) END"
@@ -77,7 +77,7 @@ def _based(packed: DataFrame) -> DataFrame:
     return (
         df.withColumn("n_words", F.size("ws").cast("long"))
         .withColumn("word_chars", F.expr("aggregate(ws, 0L, (n, w) -> n + char_length(w))"))
-        .withColumn("n_symbols", (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]", ""))).cast("long"))
+        .withColumn("n_symbols", (F.length("rare") - F.length(F.regexp_replace("rare", "[#*$%&|<>]", ""))).cast("long"))
         .withColumn("n_dup_lines", F.expr(f"element_at(transform(array({lines}), x -> size(x) - size(array_distinct(x))), 1)").cast("long"))
         .withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform("again", lambda i: F.array(i, i + 1, i + 2))))).cast("long"))
         .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
@@ -110,7 +110,7 @@ def common_words(documents: DataFrame, lang: str = "lang", text: str = "text", c
 
 def _histograms(based: DataFrame, vocabulary: list[str]) -> DataFrame:
     """based with `classes` and `words`: counts per character class, and per common word."""
-    counts = [F.length("t") - F.length(F.regexp_replace("t", p, "")) for p in CLASSES.values()]
+    counts = [F.length("rare") - F.length(F.regexp_replace("rare", p, "")) for p in CLASSES.values()]
     counts = [c.cast("long") for c in [*counts, F.length("t") - F.col("word_chars")]]
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     classes = let(F.struct(F.array(*counts).alias("c"), F.length("t").alias("n")), lambda s: F.concat(s.c, F.array(s.n - total(s.c))))
@@ -153,7 +153,7 @@ def judge(documents: DataFrame, *, text: str = "text", lang: str = "lang", least
     """
     shared = common_words(documents, lang, text, common, least_documents)
     vocabulary = sorted({w for ws in shared.values() for w in ws})
-    df = checkpoint(_histograms(_based(_packed(documents, text, lang)), vocabulary).drop("t", "ws"))
+    df = checkpoint(_histograms(_based(_packed(documents, text, lang)), vocabulary).drop("t", "ws", "rare"))
     known = references(df, list(shared), len(vocabulary))
     if known:
         pairs = [F.struct(distance(F.col("classes"), r["classes"]).alias("classes"), distance(F.col("words"), r["words"]).alias("words")) for _, r in sorted(known.items())]
