@@ -36,12 +36,16 @@ def _resolve(refs: DataFrame, objects: DataFrame, databases: DataFrame, server_n
     by_id = objects.select(F.lower("db").alias("_idb"), F.col("object_id").alias("_iid"), key(F.col("db"), F.col("object_id")).alias("_by_id"))
     by_name = objects.select(F.lower("db").alias("_ndb"), F.lower("schema").alias("_ns"), F.lower("name").alias("_nn"), key(F.col("db"), F.col("object_id")).alias("_by_name")).dropDuplicates(["_ndb", "_ns", "_nn"])
     known = databases.select(F.lower("db").alias("_kdb"), F.lit(True).alias("_known")).distinct()
-    other_server = F.col("r_server").isNotNull() & (F.lower("r_server") != F.lit((server_name or "").lower()))
-    rows = refs.withColumn("_db", F.lower(F.coalesce("r_db", "db"))).withColumn("_schema", F.lower(F.coalesce("r_schema", F.lit("dbo"))))
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    # An empty part counts as none, and the own server's name adds nothing to a name.
+    server = F.when(F.lower("r_server") != F.lit((server_name or "").lower()), given("r_server"))
+    rows = refs.withColumns({"r_server": server, "r_db": given("r_db"), "r_schema": given("r_schema")})
+    other_server = F.col("r_server").isNotNull()
+    caller = F.col("caller") & F.col("r_db").isNull()  # looked up in dbo, whatever schema is named
+    rows = rows.withColumn("_db", F.lower(F.coalesce("r_db", "db"))).withColumn("_schema", F.when(caller, "dbo").otherwise(F.lower(F.coalesce("r_schema", F.lit("dbo")))))
     rows = rows.join(by_id, (F.lower("db") == F.col("_idb")) & (F.col("referenced_id") == F.col("_iid")), "left")
     rows = rows.join(by_name, (F.col("_db") == F.col("_ndb")) & (F.col("_schema") == F.col("_ns")) & (F.lower("r_name") == F.col("_nn")), "left")
     rows = rows.join(known, F.col("_db") == F.col("_kdb"), "left")
-    caller = F.col("caller") & F.col("r_db").isNull()
     external = other_server | (F.col("r_db").isNotNull() & F.col("_known").isNull())
     resolution = (
         F.when(F.col("referenced_id").isNotNull(), F.when(F.col("_by_id").isNotNull(), "resolved").otherwise("unresolved"))

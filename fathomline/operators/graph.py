@@ -145,23 +145,25 @@ def participating(columns: DataFrame, edges: DataFrame) -> DataFrame:
 def collapse(columns: DataFrame, objects: DataFrame, edges: DataFrame, longest: int = 16) -> DataFrame:
     """Edges with temporary tables' columns replaced by one edge for each simple path through them.
 
-    A path's id is its edges' ids joined by +, its confidence the least of them, its `via` the last that isn't null.
+    A path's id is its edges' ids joined by +, its confidence the least of them, its `via` the last that isn't null, its
+    expression and statement (if edges have them) those of its last edge.
     """
+    extra = [c for c in ("expression", "statement") if c in edges.columns]
     temp = columns.join(objects.filter("kind = 'temp_table'").select("object"), "object", "left_semi").select("column")
     as_end = lambda name: temp.withColumnRenamed("column", name)
-    step = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("id").alias("_id"), F.col("confidence").alias("_c"), F.col("via").alias("_via"))
-    done = edges.join(as_end("source"), "source", "left_anti").join(as_end("target"), "target", "left_anti").select("id", "source", "target", "confidence", "transform", "via")
+    step = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("id").alias("_id"), F.col("confidence").alias("_c"), F.col("via").alias("_via"), *(F.col(c).alias(f"_{c}") for c in extra))
+    done = edges.join(as_end("source"), "source", "left_anti").join(as_end("target"), "target", "left_anti").select("id", "source", "target", "confidence", "transform", "via", *extra)
     open_paths = edges.join(as_end("source"), "source", "left_anti").join(as_end("target"), "target", "left_semi")
     open_paths = open_paths.select(F.col("id").cast("string").alias("id"), "source", "target", "confidence", "via", F.array("target").alias("seen"))
     for _ in range(longest):
         longer = open_paths.join(step, F.col("target") == F.col("_s")).filter(~F.array_contains("seen", F.col("_t")) & (F.col("_t") != F.col("source")))
         least = F.when(confidence_rank(F.col("_c")) < confidence_rank(F.col("confidence")), F.col("_c")).otherwise(F.col("confidence"))
-        longer = checkpoint(longer.select(F.concat_ws("+", "id", F.col("_id").cast("string")).alias("id"), "source", F.col("_t").alias("target"), least.alias("confidence"), F.coalesce("_via", "via").alias("via"), F.concat("seen", F.array("_t")).alias("seen")))
+        longer = checkpoint(longer.select(F.concat_ws("+", "id", F.col("_id").cast("string")).alias("id"), "source", F.col("_t").alias("target"), least.alias("confidence"), F.coalesce("_via", "via").alias("via"), F.concat("seen", F.array("_t")).alias("seen"), *(F.col(f"_{c}").alias(c) for c in extra)))
         if longer.isEmpty():
             break
         ended = longer.join(as_end("target"), "target", "left_anti")
-        done = done.unionByName(ended.select("id", "source", "target", "confidence", F.lit("temp").alias("transform"), "via"))
-        open_paths = longer.join(as_end("target"), "target", "left_semi")
+        done = done.unionByName(ended.select("id", "source", "target", "confidence", F.lit("temp").alias("transform"), "via", *extra))
+        open_paths = longer.join(as_end("target"), "target", "left_semi").drop(*extra)
     return done
 
 

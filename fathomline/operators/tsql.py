@@ -51,7 +51,7 @@ def statements(modules: DataFrame, body: str = "body") -> DataFrame:
     t = _depths(tokens(modules, body))
     t = t.withColumns({"_prev_word": F.lag("word").over(order), "_next": F.lead("token").over(order)})
     top = (F.col("depth") == 0) & (F.col("cases") == 0) & ~F.coalesce(F.col("_closes_case"), F.lit(False))
-    semi = F.max(F.when((F.col("token") == ";") & (F.col("depth") == 0), F.col("i"))).over(order)
+    semi = F.max(F.when(F.col("token") == ";", F.col("i"))).over(order)
     predicate = F.col("word").isin("update", "with") & (F.col("_next") == "(")  # a trigger's test, a table hint
     started = F.col("word").isin(*STARTERS, "values", "default", "output") & top & ~F.coalesce(predicate, F.lit(False))
     kind = F.when(F.col("word") == "execute", "exec").otherwise(F.col("word"))
@@ -60,15 +60,18 @@ def statements(modules: DataFrame, body: str = "body") -> DataFrame:
     t = t.withColumn("_in_merge", merge > F.col("_semi"))
     c = t.filter("_c IS NOT NULL")
     before, gap = F.lag("_c").over(order), F.coalesce(F.lag("i").over(order), F.lit(0)) > F.col("_semi")
-    c = c.withColumn("_before", F.when(gap, before))
+    # A hint, an OUTPUT clause or CTEs may stand between an INSERT and its rows; any other clause ends the wait for them.
+    passing = F.struct(F.col("_c"), F.col("i"))
+    opener = F.last(F.when(~F.col("_c").isin("output", "with"), passing), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    c = c.withColumns({"_before": F.when(gap, before), "_open": opener})
+    waiting = (F.col("_open._c") == "insert") & (F.col("_open.i") > F.col("_semi"))
     dml = F.col("_c").isin("select", "insert", "update", "delete", "merge")
     cont = (
         F.col("_in_merge")
         | F.col("_c").isin("values", "default", "output")
         | ((F.col("_c") == "set") & (F.col("_before") == "update"))
-        | (F.col("_c").isin("select", "exec") & F.col("_before").isin("insert", "output"))
+        | (F.col("_c").isin("select", "exec", "with") & waiting)
         | (dml & (F.col("_before") == "with"))
-        | ((F.col("_c") == "with") & F.col("_before").isin("insert", "output"))
         | ((F.col("_c") == "select") & F.col("_prev_word").isin("union", "except", "intersect", "all"))
     )
     c = c.withColumn("_cont", F.coalesce(cont, F.lit(False)))
@@ -76,10 +79,12 @@ def statements(modules: DataFrame, body: str = "body") -> DataFrame:
     of_with = F.first(F.when(dml, F.col("_c")), True)
     named = c.groupBy("module", "_n").agg(F.min("i").alias("first"), F.min_by("_c", "i").alias("_k"), of_with.alias("_d")).filter("_n > 0")
     heads = named.select("module", "first", F.when((F.col("_k") == "with") & F.col("_d").isNotNull(), F.col("_d")).otherwise(F.col("_k")).alias("kind"))
-    # Tokens belong to the last statement that began before them; semicolons between statements to none.
-    marked = t.join(heads.withColumnRenamed("first", "i"), ["module", "i"], "left")
+    # Tokens belong to the last statement that began before them, semicolons to none; what begins with no keyword is `other`.
+    marked = t.join(heads.withColumnRenamed("first", "i"), ["module", "i"], "left").withColumn("_last", F.lag("token").over(order))
+    first = F.col("_last").isNull() | (F.col("_last") == ";")
+    marked = marked.withColumn("kind", F.when(first & (F.col("token") != ";"), F.coalesce("kind", F.lit("other"))).otherwise(F.col("kind")))
     marked = marked.withColumn("_of", F.sum(F.col("kind").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    body_tokens = marked.filter((F.col("_of") > 0) & ~((F.col("token") == ";") & (F.col("depth") == 0)))
+    body_tokens = marked.filter((F.col("_of") > 0) & (F.col("token") != ";"))
     spans = body_tokens.groupBy("module", "_of").agg(F.first("kind", True).alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
     out = spans.join(modules.select("module", F.col(body).alias("_b")), "module")
     return out.select("module", (F.col("_of") - 1).cast("int").alias("index"), "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.expr("substring(_b, cast(start AS int) + 1, cast(end - start AS int))").alias("text"))

@@ -2,13 +2,16 @@ import pytest
 
 from fathomline.operators import graph
 
+# A brewery: what is stored says who uses whom; grain and water flow to the glass.
+NODES = {10: ("Barley", "table", "farm"), 20: ("Malt", "view", "mill"), 30: ("Water", "table", "well"), 40: ("Mash", "procedure", "brew"), 50: ("Keg", "table", "brew"), 60: ("Tap", "view", "pub"), 70: ("Bell", "trigger", "pub"), 80: ("Toll", "external", "road")}
+SCOPES = {30: "cascaded", 10: "cascaded", 80: "external"}
+USES = [(20, 10, "catalog"), (40, 20, "parsed_read"), (40, 30, "parsed_read"), (40, 50, "parsed_write"), (60, 50, "catalog"), (70, 50, "trigger"), (70, 40, "parsed_exec"), (60, 80, "synonym"), (50, 30, "fk"), (60, 50, "catalog"), (40, 40, "parsed_exec"), (60, None, "catalog")]
+
 
 @pytest.fixture(scope="module")
 def estate(spark):
-    nodes = [(1, "Customer", "table", "Sales", "in_scope"), (2, "vCustomer", "view", "Sales", "in_scope"), (3, "Person", "table", "Person", "cascaded"), (4, "Address", "table", "Person", "cascaded"), (5, "usp", "procedure", "Sales", "in_scope"), (6, "tr", "trigger", "Sales", "in_scope"), (7, "Remote", "external", "dbo", "external")]
-    deps = [(1, 2, 1, "catalog"), (2, 2, 3, "catalog"), (3, 1, 3, "fk"), (4, 3, 4, "fk"), (5, 6, 1, "trigger"), (6, 5, 3, "parsed_read"), (7, 5, 1, "parsed_write"), (8, 6, 5, "parsed_exec"), (9, 5, 7, "catalog"), (10, 5, None, "catalog"), (11, 2, 1, "catalog"), (12, 5, 5, "parsed_exec")]
-    n = spark.createDataFrame(nodes, "node int, name string, kind string, schema string, scope string")
-    return n, graph.flow_edges(n, spark.createDataFrame(deps, "id int, source int, target int, kind string"))
+    n = spark.createDataFrame([(k, name, kind, schema, SCOPES.get(k, "in_scope")) for k, (name, kind, schema) in NODES.items()], "node int, name string, kind string, schema string, scope string")
+    return n, graph.flow_edges(n, spark.createDataFrame([(i, *u) for i, u in enumerate(USES, 1)], "id int, source int, target int, kind string"))
 
 
 def ego(spark, estate, focus, **options):
@@ -16,30 +19,57 @@ def ego(spark, estate, focus, **options):
     return r, {x.node: x.hop for x in r.hops.collect()}
 
 
+def flow():
+    """(source, target) of the flow and the first id of each, by the direction that each kind has."""
+    out = {}
+    for i, (a, b, kind) in enumerate(USES, 1):
+        if b is not None and a != b:
+            pair = (a, b, kind) if kind in ("trigger", "parsed_write", "parsed_exec") else (b, a, kind)
+            out.setdefault(pair, i)
+    return out
+
+
+def walked(focus, direction, depth, allowed=lambda n: True, kinds=None):
+    """Level by level, up before down; who is reached first keeps that hop."""
+    edges = {(a, b) for a, b, k in flow() if kinds is None or k in kinds}
+    hops, front = {focus: 0}, {-1: {focus}, 1: {focus}}
+    for level in range(1, depth + 1):
+        for sign in (-1, 1):
+            if direction in ("both", {-1: "up", 1: "down"}[sign]):
+                near = {(a if sign < 0 else b) for a, b in edges if (b if sign < 0 else a) in front[sign]}
+                front[sign] = {n for n in near if n not in hops and allowed(n)}
+                hops |= dict.fromkeys(front[sign], sign * level)
+    return hops
+
+
 def test_flow_edges(estate):
-    assert {(r.id, r.source, r.target) for r in estate[1].collect()} == {(1, 1, 2), (2, 3, 2), (3, 3, 1), (4, 4, 3), (5, 6, 1), (6, 3, 5), (7, 5, 1), (8, 6, 5), (9, 7, 5)}
+    assert {(r.source, r.target, r.kind): r.id for r in estate[1].collect()} == flow()
 
 
 @pytest.mark.parametrize(
-    ("focus", "options", "hops"),
+    ("focus", "options", "plain"),
     [
-        (2, {"direction": "up", "depth": 2}, {2: 0, 1: -1, 3: -1, 4: -2, 5: -2, 6: -2}),
-        (3, {"direction": "down", "depth": 3}, {3: 0, 1: 1, 2: 1, 5: 1}),
-        (1, {"direction": "both", "depth": 1}, {1: 0, 3: -1, 5: -1, 6: -1, 2: 1}),
-        (5, {"direction": "up", "depth": 1, "external": False}, {5: 0, 3: -1, 6: -1}),
-        (2, {"direction": "up", "depth": 2, "kinds": ("table",)}, {2: 0, 1: -1, 3: -1, 4: -2}),
-        (2, {"direction": "up", "depth": 2, "schemas": ("sales",)}, {2: 0, 1: -1, 6: -2, 5: -2}),
-        (1, {"direction": "up", "depth": 2, "edge_kinds": ("fk",)}, {1: 0, 3: -1, 4: -2}),
-        (2, {"direction": "up", "depth": 2, "cascaded": False}, {2: 0, 1: -1, 6: -2, 5: -2}),
-        (2, {"direction": "up", "depth": 2, "max_nodes": 3}, {2: 0, 1: -1, 3: -1}),
+        (60, {"direction": "up", "depth": 3}, {}),
+        (30, {"direction": "down", "depth": 2}, {}),
+        (50, {"direction": "both", "depth": 2}, {}),
+        (40, {"direction": "both", "depth": 1}, {}),
+        (60, {"direction": "up", "depth": 1, "external": False}, {"allowed": lambda n: SCOPES.get(n) != "external"}),
+        (60, {"direction": "up", "depth": 4, "kinds": ("table", "procedure")}, {"allowed": lambda n: NODES[n][1] in ("table", "procedure")}),
+        (60, {"direction": "up", "depth": 3, "schemas": ("BREW", "mill")}, {"allowed": lambda n: NODES[n][2] in ("brew", "mill")}),
+        (50, {"direction": "up", "depth": 2, "edge_kinds": ("fk",)}, {"kinds": ("fk",)}),
+        (60, {"direction": "up", "depth": 4, "cascaded": False}, {"allowed": lambda n: SCOPES.get(n) != "cascaded"}),
     ],
 )
-def test_walks(spark, estate, focus, options, hops):
-    assert ego(spark, estate, focus, **options)[1] == hops
+def test_walks(spark, estate, focus, options, plain):
+    assert ego(spark, estate, focus, **options)[1] == walked(focus, options["direction"], options["depth"], **plain)
 
 
-def test_cap_counts_all_and_more_counts_the_rest(spark, estate):
-    r, hops = ego(spark, estate, 2, direction="up", depth=2, max_nodes=4)
-    assert set(hops) == {1, 2, 3, 5} and r.total == 6
-    r, _ = ego(spark, estate, 2, direction="up", depth=1)
-    assert {x.node: (x.more_up, x.more_down) for x in r.more.collect()} == {2: (0, 0), 1: (2, 0), 3: (1, 1)}
+def test_cap_keeps_the_nearest_of_highest_degree_and_more_counts_the_rest(spark, estate):
+    every = walked(50, "up", 2)
+    r, hops = ego(spark, estate, 50, direction="up", depth=2, max_nodes=3)
+    assert r.total == len(every) and hops == {50: 0, 40: -1, 30: -1}  # 40 has four neighbours, 30 and 70 two each
+    r, hops = ego(spark, estate, 60, direction="up", depth=1)
+    inside, pairs = set(hops), {(a, b) for a, b, _ in flow()}
+    wanted = {n: (len({a for a, b in pairs if b == n} - inside), len({b for a, b in pairs if a == n} - inside)) for n in inside}
+    assert {x.node: (x.more_up, x.more_down) for x in r.more.collect()} == wanted and any(sum(w) for w in wanted.values())
+    assert {(x.source, x.target) for x in r.edges.collect()} == {(a, b) for a, b in pairs if {a, b} <= inside}
