@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import confidence_rank
 from ..session import checkpoint
 
-#: Kinds whose stored row says that the source uses the target: data flows the other way.
+# All kinds of edges, and those whose stored row says that the source uses the target: data flows the other way.
+EDGE_KINDS = ("catalog", "fk", "trigger", "synonym", "parsed_read", "parsed_write", "parsed_exec")
 REVERSED = ("catalog", "fk", "synonym", "parsed_read")
 
 

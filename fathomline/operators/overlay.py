@@ -40,6 +40,12 @@ def remove(current: DataFrame, kind: str, key: str) -> DataFrame:
     return current.filter(~((F.col("kind") == kind) & (F.lower("key") == key.lower())))
 
 
+def removed(current: DataFrame, kind: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """What is left without a target, and one row (removed): whether anything went."""
+    found = current.filter((F.col("kind") == kind) & (F.lower("key") == key.lower())).agg((F.count(F.lit(1)) > 0).alias("removed"))
+    return remove(current, kind, key), found
+
+
 def listed(annotations: DataFrame, assignments: DataFrame, *, connection: str | None = None, tag: str | None = None, q: str | None = None) -> DataFrame:
     """Annotated or tagged targets: kind, key, description, notes, tags (sorted, comma-joined)."""
     tags = assignments.groupBy("kind", F.lower("key").alias("_k")).agg(F.min("key").alias("_tagged"), F.array_sort(F.collect_set("tag")).alias("_tags"))

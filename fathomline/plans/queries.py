@@ -698,3 +698,6 @@ def cascade_rules(s, d):
 @query(values_sql([("port#11", "in_scope"), ("port#14", "in_scope"), ("port#15", "in_scope"), ("port#16", "in_scope"), ("sea#12", "cascaded"), ("port#13", "cascaded"), ("port#17", "cascaded"), ("port#19", "cascaded")], "key, scope"))
 def cascade_rules_scope(s, d):
     return _rules(s).scope
+
+
+from . import snapshot_queries  # noqa: E402, F401  (it registers its queries here)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import object_kind
+from ..functions.scalar import object_kind, type_display
 
 USER_CODES = ("U", "V", "P", "PC", "FN", "IF", "TF", "FS", "FT", "TR", "TA", "SN", "SO")
 
@@ -37,6 +37,91 @@ def triggers(sys_triggers: DataFrame, trigger_events: DataFrame) -> DataFrame:
     return sys_triggers.filter("parent_class = 1").join(events, "object_id", "left")
 
 
+def _own(rows: DataFrame, sys_objects: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """rows (with object_id) of objects that a user made, of the given type codes."""
+    kept = sys_objects.filter(~F.col("is_ms_shipped"))
+    if codes:
+        kept = kept.filter(F.rtrim("type").isin(*codes))
+    return rows.join(kept.select("object_id"), "object_id", "left_semi")
+
+
+def _typed(rows: DataFrame, sys_types: DataFrame) -> DataFrame:
+    """rows with user_type_id and system_type_id, with type_name, system_type_name, is_user_defined and type_schema_id."""
+    named = sys_types.select("user_type_id", F.col("name").alias("type_name"), "is_user_defined", F.col("schema_id").alias("type_schema_id"))
+    system = sys_types.select(F.col("user_type_id").alias("system_type_id"), F.col("name").alias("system_type_name"))
+    return rows.join(named, "user_type_id").join(system, "system_type_id", "left")
+
+
+def columns(sys_columns: DataFrame, sys_objects: DataFrame, sys_types: DataFrame, computed: DataFrame, defaults: DataFrame, identities: DataFrame) -> DataFrame:
+    """Columns of tables, views, functions and table types, with what is known of computed ones, defaults and identities."""
+    of_computed = computed.select("object_id", "column_id", F.col("definition").alias("computed_definition"), "is_persisted")
+    of_default = defaults.select(F.col("object_id").alias("default_object_id"), F.col("name").alias("default_name"), F.col("definition").alias("default_definition"))
+    of_identity = identities.select("object_id", "column_id", "seed_value", "increment_value")
+    rows = _typed(_own(sys_columns, sys_objects, ("U", "V", "TF", "IF", "TT")), sys_types)
+    rows = rows.join(of_computed, ["object_id", "column_id"], "left").join(of_default, "default_object_id", "left").join(of_identity, ["object_id", "column_id"], "left")
+    return rows.withColumn("shown_type", type_display(F.coalesce("type_name", "system_type_name"), F.col("max_length"), F.col("precision"), F.col("scale"), F.col("is_user_defined")))
+
+
+def parameters(sys_parameters: DataFrame, sys_objects: DataFrame, sys_types: DataFrame) -> DataFrame:
+    """Parameters of modules; parameter 0 is what the module returns."""
+    return _typed(_own(sys_parameters, sys_objects), sys_types).withColumn("is_return_value", F.col("parameter_id") == 0)
+
+
+def indexes(sys_indexes: DataFrame, sys_objects: DataFrame, data_spaces: DataFrame) -> DataFrame:
+    """Indexes of tables and views, without heaps."""
+    spaces = data_spaces.select("data_space_id", F.col("name").alias("data_space_name"), F.col("type").alias("data_space_type"))
+    return _own(sys_indexes.filter("index_id > 0"), sys_objects, ("U", "V")).join(spaces, "data_space_id", "left")
+
+
+def index_columns(sys_index_columns: DataFrame, sys_objects: DataFrame, sys_columns: DataFrame) -> DataFrame:
+    """Key and included columns of indexes, with their names."""
+    names = sys_columns.select("object_id", "column_id", F.col("name").alias("column_name"))
+    return _own(sys_index_columns.filter("index_id > 0"), sys_objects).join(names, ["object_id", "column_id"])
+
+
+def not_shipped(rows: DataFrame) -> DataFrame:
+    """Foreign keys and check constraints: those that a user made."""
+    return rows.filter(~F.col("is_ms_shipped"))
+
+
+foreign_keys = check_constraints = not_shipped
+
+
+def extended_properties(properties: DataFrame) -> DataFrame:
+    """Descriptions of objects and columns (class 1), parameters (2), schemas (3) and indexes (7)."""
+    return properties.filter((F.col("name") == "MS_Description") & F.col("class").isin(1, 2, 3, 7)).select("class", "major_id", "minor_id", "name", F.col("value").cast("string").alias("value"))
+
+
+def modules(sql_modules: DataFrame, sys_objects: DataFrame) -> DataFrame:
+    return _own(sql_modules, sys_objects)
+
+
+def synonyms(sys_synonyms: DataFrame) -> DataFrame:
+    return sys_synonyms.select("object_id", "name", "base_object_name")
+
+
+def dependencies(expression_dependencies: DataFrame) -> DataFrame:
+    """What objects (class 1, not indexes or triggers of databases) name."""
+    return expression_dependencies.filter("referencing_class = 1")
+
+
+def database_info(databases: DataFrame, name: str) -> DataFrame:
+    return databases.filter(F.lower("name") == name.lower()).select("database_id", "name", "collation_name", "compatibility_level", "state_desc", "is_read_only")
+
+
+def server_info(spark: SparkSession) -> DataFrame:
+    """One row about the engine that answers: version, master, when it started, how callers are known to it."""
+    context = spark.sparkContext
+    return spark.createDataFrame([(spark.version, context.master, context.startTime, context.getConf().get("spark.authenticate", "false"))], "version string, server string, start_ms long, auth_scheme string")
+
+
+def permissions(granted: DataFrame, principal: str) -> DataFrame:
+    """One row of three booleans: what a principal may see. granted: principal, permission."""
+    has = lambda p: F.coalesce(F.bool_or(F.upper("permission") == p), F.lit(False))
+    own = granted.filter(F.lower("principal") == principal.lower())
+    return own.agg(*(has(p.replace("_", " ").upper()).alias(p) for p in ("view_server_state", "view_database_state", "view_definition")))
+
+
 def table_stats(partitions: DataFrame) -> DataFrame:
     """partitions: object_id, index_id, partition, rows, data_pages, used_pages, reserved_pages, compression."""
     base = F.col("index_id").isin(0, 1)
