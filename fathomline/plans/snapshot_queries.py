@@ -38,7 +38,7 @@ def _types(s, d) -> DataFrame:
 def _lines(s, d) -> DataFrame:
     return _one(s, d).select(
         F.col("l_partkey").alias("object_id"), F.expr(_COLUMN_ID).alias("column_id"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_suppkey") % 25).cast("int").alias("user_type_id"), (F.col("l_orderkey") % 30).cast("int").alias("system_type_id"),
-        F.col("l_quantity").cast("int").alias("max_length"), F.col("l_linenumber").alias("precision"), F.lit(0).alias("scale"), F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey")).otherwise(0).alias("default_object_id"), "l_returnflag", "l_linenumber",
+        F.col("l_quantity").cast("int").alias("max_length"), F.col("l_linenumber").alias("precision"), F.lit(0).alias("scale"), F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey")).otherwise(-1).alias("default_object_id"), "l_returnflag", "l_linenumber",
     )
 
 
