@@ -35,6 +35,12 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def degree_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """degree() of some nodes only, from the edges at them."""
+    at = lambda near, far, way: edges.join(nodes.select(F.col("node").alias(near)), near, "left_semi").select(F.col(near).alias("node"), F.col(far).alias("other"), F.lit(way).alias("out"))
+    return at("source", "target", 1).unionByName(at("target", "source", 0)).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
 @dataclass(frozen=True)
 class Ego:
     """What to walk: direction up, down or both; filters hold for all nodes but the focus."""
@@ -102,12 +108,12 @@ def capped(hops: DataFrame, nodes: DataFrame, degrees: DataFrame, limit: int) ->
 
 def ego_graph(nodes: DataFrame, edges: DataFrame, focus: DataFrame, options: Ego) -> EgoResult:
     """The neighbourhood of a focus (one row, column node). nodes: node, kind, schema, scope; edges: flow_edges()."""
+    edges = checkpoint(edges)
     used = edges if options.edge_kinds is None else edges.filter(F.col("kind").isin(*options.edge_kinds))
-    used = checkpoint(used)
     allowed = nodes.filter(options.allowed()).select("node")
     reached = checkpoint(walk(focus, used, allowed, options.direction, options.depth))
     total = reached.count()
-    kept = reached if total <= options.max_nodes else checkpoint(capped(reached, nodes, degree(edges), options.max_nodes))
+    kept = reached if total <= options.max_nodes else checkpoint(capped(reached, nodes, degree_of(reached, edges), options.max_nodes))
     inside = kept.select("node")
     induced = used.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi")
 

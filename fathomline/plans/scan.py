@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from collections import deque
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import display, object_key
 from ..operators.cascade import Closure, compute_closure, key
 from ..sources.catalog import attempted
+from ..sources.schemas import SCHEMAS, conformed
 from ..sources.store import Store
 
-TABLES = ["objects", "dependencies", "externals", "warnings"]
-
 
 def members(rows: DataFrame, closure: Closure, *ids: str) -> DataFrame:
     """rows whose objects (columns in ids, with db) are all in the closure."""
@@ -32,23 +33,58 @@ def snapshot(connection: str, objects: DataFrame, closure: Closure) -> dict[str,
     return {"objects": named.unionByName(outside), "dependencies": edges, "externals": closure.externals}
 
 
-def scan(store: Store, number: int, connection: str, required: dict[str, DataFrame], optional: dict[str, Callable[[], DataFrame]], selected: DataFrame, **options) -> list[str]:
+PHASES = ("cascade", "extract", "stats", "finalize")
+
+
+class Progress:
+    """Where a scan is, for whoever asks: its phase and the last messages."""
+
+    def __init__(self, kept: int = 200):
+        self.phase: str | None = None
+        self.log: deque[str] = deque(maxlen=kept)
+
+    def enter(self, phase: str) -> None:
+        self.phase = phase
+        self.log.append(f"{phase} began")
+
+
+def scan(store: Store, number: int, connection: str, required: dict[str, DataFrame], optional: dict[str, Callable[[], DataFrame]], selected: DataFrame, progress: Progress | None = None, **options) -> list[str]:
     """Writes a scan and returns its warnings. required: objects, dependencies, foreign_keys, triggers, synonyms; optional: statistics, each a function.
 
-    All of the scan's jobs carry its tag, so that cancel() ends them; a scan that ends early has no row in `scans`.
+    Only one scan of a connection runs at a time, from its first job on. Its state is `running` until it is `succeeded`, `failed` or
+    `cancelled`. A family of statistics that can't be read, also one that fails only while it is written, gives a warning and
+    leaves the others. All of the scan's jobs carry its tag, so that cancel() ends them.
     """
-    spark = store.spark
-    spark.addTag(f"scan-{number}")
-    try:
-        started = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
-        closure = compute_closure(required["objects"], required["dependencies"], required["foreign_keys"], required["triggers"], required["synonyms"], selected, **options)
-        found, warnings = attempted(**optional)
-        tables = snapshot(connection, required["objects"], closure) | {name: members(rows, closure, "object_id") for name, rows in found.items()}
-        tables["warnings"] = spark.createDataFrame([(w,) for w in warnings], "warning string")
-        store.write(number, connection, started, datetime.datetime.now(datetime.UTC).replace(tzinfo=None), tables)
-        return warnings
-    finally:
+    spark, progress = store.spark, progress or Progress()
+    clock = lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    with store.single_flight(connection):
+        started = clock()
+        store.state(number, connection, "running", started)
+        spark.addTag(f"scan-{number}")
+        try:
+            progress.enter("cascade")
+            closure = compute_closure(required["objects"], required["dependencies"], required["foreign_keys"], required["triggers"], required["synonyms"], selected, **options)
+            progress.enter("extract")
+            for name, rows in snapshot(connection, required["objects"], closure).items():
+                store.write_table(number, name, conformed(rows, name))
+            progress.enter("stats")
+
+            def stored(name: str, load: Callable[[], DataFrame]) -> DataFrame:
+                rows = load()
+                store.write_table(number, name, conformed(members(rows, closure, "object_id"), name))
+                return rows
+
+            _, warnings = attempted(**{name: partial(stored, name, load) for name, load in optional.items()})
+            progress.enter("finalize")
+            store.write_table(number, "warnings", spark.createDataFrame([(w,) for w in warnings], SCHEMAS["warnings"]))
+        except BaseException as error:
+            spark.removeTag(f"scan-{number}")
+            cancelled = isinstance(error, KeyboardInterrupt) or "cancelled" in str(error).lower()
+            store.state(number, connection, "cancelled" if cancelled else "failed", started, clock(), f"{type(error).__name__}: {error}"[:2000])
+            raise
         spark.removeTag(f"scan-{number}")
+        store.state(number, connection, "succeeded", started, clock())
+        return warnings
 
 
 def cancel(store: Store, number: int) -> None:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the folder named in spark.checkpoint.dir, which executors share; a session without it gets its own."""
+    """df, written to the folder named in spark.checkpoint.dir, which executors share; only a local session without it gets its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)

@@ -1,7 +1,9 @@
 """Snapshots in Parquet: one folder a table, one partition a scan; the row in `scans` is written last.
 
-Readers look only at scans whose row says that they succeeded, so a scan that broke off is never seen. Folders are reached
-through Spark's file system interface, so any store that Spark reads will do.
+A scan's states are rows of its own folder under `scans`, each a file that is added, so no file is ever rewritten; the latest
+state counts. Readers look only at scans that succeeded, so a scan that broke off is never taken for a snapshot. Deleting a
+scan removes its states' folder first; from then on nobody sees it. Folders are reached through Spark's file system interface,
+so any store that Spark reads will do.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.reads import prunable
+from .schemas import SCHEMAS
 
-SCANS = "scan long, connection string, status string, started timestamp_ntz, finished timestamp_ntz"
+SCANS = SCHEMAS["scans"]
+FINISHED = ("succeeded", "failed", "cancelled")
 
 
 class Store:
@@ -47,29 +52,39 @@ class Store:
                 self._running.discard(name)
 
     def scans(self) -> DataFrame:
+        """The latest state of each scan."""
         if not self._exists(f"{self.path}/scans"):
             return self.spark.createDataFrame([], SCANS)
-        return self.spark.read.schema(SCANS).parquet(f"{self.path}/scans")
+        names = [f.name for f in StructType.fromDDL(SCANS)]
+        states = self.spark.read.schema(f"{SCANS}, part long").parquet(f"{self.path}/scans")
+        latest = F.max_by(F.struct(*names), F.struct(F.col("status").isin(*FINISHED), "finished"))
+        return states.groupBy("part").agg(latest.alias("s")).select("s.*")
+
+    def state(self, scan: int, connection: str, status: str, started, finished=None, error: str | None = None) -> None:
+        row = self.spark.createDataFrame([(scan, connection, status, started, finished, error)], SCANS)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/scans/part={scan}")
+
+    def write_table(self, scan: int, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/scan={scan}")
 
     def write(self, scan: int, connection: str, started, finished, tables: dict[str, DataFrame]) -> None:
         """All tables of a scan, then its row."""
         with self.single_flight(connection):
             for name, rows in tables.items():
-                rows.write.mode("overwrite").parquet(f"{self.path}/{name}/scan={scan}")
-            row = self.spark.createDataFrame([(scan, connection, "succeeded", started, finished)], SCANS)
-            row.coalesce(1).write.mode("append").parquet(f"{self.path}/scans")
+                self.write_table(scan, name, rows)
+            self.state(scan, connection, "succeeded", started, finished)
 
     def read(self, name: str, scan: int) -> DataFrame:
         """One scan's rows of a table; only its partition is listed and read."""
         return self.spark.read.parquet(f"{self.path}/{name}/scan={scan}")
 
     def delete(self, scans: list[int], tables: list[str]) -> None:
-        """The row goes first, so that nobody reads what is being deleted."""
-        left = self.scans().filter(~F.col("scan").isin(*scans)) if scans else self.scans()
-        left.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/scans.new")
-        self.spark.read.parquet(f"{self.path}/scans.new").write.mode("overwrite").parquet(f"{self.path}/scans")
-        self._delete(f"{self.path}/scans.new")
+        """The states go first, so that nobody reads what is being deleted. A scan that runs is refused."""
+        running = self.scans().filter(F.col("scan").isin(*scans) & (F.col("status") == "running")) if scans else None
+        if running is not None and not running.isEmpty():
+            raise RuntimeError("a scan that runs can't be deleted")
         for scan in scans:
+            self._delete(f"{self.path}/scans/part={scan}")
             for name in tables:
                 self._delete(f"{self.path}/{name}/scan={scan}")
 

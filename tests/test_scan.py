@@ -1,37 +1,79 @@
+import pytest
+from pyspark.sql import functions as F
+
 from fathomline.operators import cascade
 from fathomline.plans import queries, scan
+from fathomline.sources import schemas
 from fathomline.sources.store import Store
 
 
-def test_a_scan_is_stored_with_its_warnings(spark, tmp_path):
+def inputs(spark):
     objects = spark.createDataFrame([(o[4], *o[:4]) for o in queries._RULE_OBJECTS], "db string, object_id long, schema string, name string, kind string")
-    deps = spark.createDataFrame([("W", a, 0, *rest) for a, *rest in queries._RULE_DEPS], "db string, referencing_id long, referencing_minor_id int, referenced_id long, referenced_server_name string, referenced_database_name string, referenced_schema_name string, referenced_entity_name string, is_caller_dependent boolean, is_ambiguous boolean")
+    deps = spark.createDataFrame([("Port", a, 0, *rest) for a, *rest in queries._RULE_DEPS], "db string, referencing_id long, referencing_minor_id int, referenced_id long, referenced_server_name string, referenced_database_name string, referenced_schema_name string, referenced_entity_name string, is_caller_dependent boolean, is_ambiguous boolean")
     none = spark.createDataFrame([], "db string, object_id long, parent_id long")
     required = {"objects": objects, "dependencies": deps, "foreign_keys": spark.createDataFrame([], "db string, parent_object_id long, referenced_object_id long"), "triggers": none, "synonyms": spark.createDataFrame([], "db string, object_id long, base_object_name string")}
-    stats = {"table_stats": lambda: spark.createDataFrame([("W", 4, 10), ("W", 8, 20)], "db string, object_id long, row_count long"), "proc_stats": lambda: 1 / 0}
-    store = Store(spark, f"file://{tmp_path}")
-    selected = spark.createDataFrame([("W", "Sales"), ("Staging", "dbo")], "db string, schema string")
-    assert scan.scan(store, 1, "Local", required, stats, selected, server_name="thisserver") == ["proc_stats: ZeroDivisionError"]
+    return required, spark.createDataFrame([("Port", "Deck"), ("Sea", "dbo")], "db string, schema string")
+
+
+def test_a_scan_is_stored_with_its_warnings(spark, tmp_path):
+    required, selected = inputs(spark)
+    late = F.udf(lambda i: 1 // 0, "long")  # fails only once it is written
+    stats = {"table_stats": lambda: spark.createDataFrame([("Port", 14, 10), ("Port", 18, 20)], "db string, object_id long, row_count long"), "proc_stats": lambda: 1 / 0, "index_usage": lambda: spark.createDataFrame([("Port", 14)], "db string, object_id long").withColumn("seeks", late("object_id"))}
+    store, progress = Store(spark, f"file://{tmp_path}"), scan.Progress()
+    warnings = scan.scan(store, 1, "Local", required, stats, selected, progress, server_name="harbourmaster")
+    assert warnings[0] == "proc_stats: ZeroDivisionError" and warnings[1].startswith("index_usage: ") and len(warnings) == 2
     rows = {r.object_key: r.scope for r in store.read("objects", 1).collect()}
-    assert rows["Local|W|Sales|T"] == "in_scope" and rows["Local|Staging|etl|Loads"] == "cascaded" and rows["external|LINKED|Other|dbo|T"] == "external"
+    assert rows["Local|Port|deck|Crane"] == "in_scope" and rows["Local|Sea|tide|Gauge"] == "cascaded" and rows["external|Lighthouse|Moon|dbo|Lamp"] == "external"
     assert [r.row_count for r in store.read("table_stats", 1).collect()] == [10]
-    assert store.read("warnings", 1).count() == 1 and store.scans().first().status == "succeeded"
+    assert store.read("warnings", 1).count() == 2 and store.scans().first().status == "succeeded" and progress.phase == "finalize"
+    assert all(store.read(t, 1).columns == [f.split()[0] for f in schemas.SCHEMAS[t].split(", ")] for t in ("objects", "dependencies", "externals", "table_stats"))
+
+
+def test_scans_that_fail_run_or_are_cancelled(spark, tmp_path):
+    required, selected = inputs(spark)
+    store = Store(spark, f"file://{tmp_path}")
+    broken = required | {"dependencies": required["dependencies"].drop("is_ambiguous")}
+    with pytest.raises(Exception):  # noqa: B017
+        scan.scan(store, 1, "Local", broken, {}, selected)
+    row = store.scans().first()
+    assert (row.scan, row.status) == (1, "failed") and "is_ambiguous" in row.error and row.finished is not None
+
+    def meanwhile():
+        with pytest.raises(RuntimeError):
+            scan.scan(store, 3, "LOCAL", required, {}, selected)
+        with pytest.raises(RuntimeError):
+            store.delete([2], ["objects"])
+        assert {r.scan: r.status for r in store.scans().collect()} == {1: "failed", 2: "running"}
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        scan.scan(store, 2, "Local", required, {"table_stats": meanwhile}, selected)
+    assert {r.scan: r.status for r in store.scans().collect()} == {1: "failed", 2: "cancelled"}
+    store.delete([1, 2], ["objects"])
+    assert store.scans().isEmpty()
+
+
+def test_the_jobs_of_a_scan_carry_the_tag_that_cancel_interrupts(spark, tmp_path):
+    required, selected = inputs(spark)
+    store, seen = Store(spark, f"file://{tmp_path}"), []
+    scan.scan(store, 7, "Local", required, {"table_stats": lambda: seen.append(spark.getTags()) or 1 / 0}, selected)
+    assert seen == [{"scan-7"}] and "scan-7" not in spark.getTags() and not scan.cancel(store, 7)
 
 
 def test_closure_options(spark):
-    objects = spark.createDataFrame([("W", 1, "Sales", "D", "table"), ("W", 2, "Sales", "trD", "trigger"), ("W", 3, "Person", "P", "table"), ("W", 4, "Person", "trP", "trigger")], "db string, object_id long, schema string, name string, kind string")
+    objects = spark.createDataFrame([("Farm", 1, "Field", "Hay", "table"), ("Farm", 2, "Field", "onHay", "trigger"), ("Farm", 3, "Barn", "Cow", "table"), ("Farm", 4, "Barn", "onCow", "trigger")], "db string, object_id long, schema string, name string, kind string")
     deps = spark.createDataFrame([], "db string, referencing_id long, referencing_minor_id int, referenced_id long, referenced_server_name string, referenced_database_name string, referenced_schema_name string, referenced_entity_name string, is_caller_dependent boolean, is_ambiguous boolean")
-    fks = spark.createDataFrame([("W", 1, 3), ("W", 1, 1)], "db string, parent_object_id long, referenced_object_id long")
-    triggers = spark.createDataFrame([("W", 2, 1), ("W", 4, 3)], "db string, object_id long, parent_id long")
+    fks = spark.createDataFrame([("Farm", 1, 3), ("Farm", 1, 1)], "db string, parent_object_id long, referenced_object_id long")
+    triggers = spark.createDataFrame([("Farm", 2, 1), ("Farm", 4, 3)], "db string, object_id long, parent_id long")
     synonyms = spark.createDataFrame([], "db string, object_id long, base_object_name string")
-    selected = spark.createDataFrame([("W", "Sales")], "db string, schema string")
+    selected = spark.createDataFrame([("Farm", "Field")], "db string, schema string")
 
     def run(**options):
         c = cascade.compute_closure(objects, deps, fks, triggers, synonyms, selected, **options)
         return {r.key: r.scope for r in c.scope.collect()}, {(r.source, r.target, r.kind) for r in c.edges.collect()}
 
     scope, edges = run()
-    assert scope == {"w#1": "in_scope", "w#2": "in_scope", "w#3": "cascaded", "w#4": "cascaded"}
-    assert edges == {("w#1", "w#3", "fk"), ("w#1", "w#1", "fk"), ("w#2", "w#1", "trigger"), ("w#4", "w#3", "trigger")}
-    assert run(triggers_of_cascaded=False)[0] == {"w#1": "in_scope", "w#2": "in_scope", "w#3": "cascaded"}
-    assert run(follow_foreign_keys=False) == ({"w#1": "in_scope", "w#2": "in_scope"}, {("w#2", "w#1", "trigger")})
+    assert scope == {"farm#1": "in_scope", "farm#2": "in_scope", "farm#3": "cascaded", "farm#4": "cascaded"}
+    assert edges == {("farm#1", "farm#3", "fk"), ("farm#1", "farm#1", "fk"), ("farm#2", "farm#1", "trigger"), ("farm#4", "farm#3", "trigger")}
+    assert run(triggers_of_cascaded=False)[0] == {"farm#1": "in_scope", "farm#2": "in_scope", "farm#3": "cascaded"}
+    assert run(follow_foreign_keys=False) == ({"farm#1": "in_scope", "farm#2": "in_scope"}, {("farm#2", "farm#1", "trigger")})
