@@ -168,7 +168,7 @@ def once(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa
         if len(seen) > limit:
             seen.clear()
         new = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "was", "text")), strict=True):  # the others follow from these
             digest = xxhash.xxh3_128_digest(repr(row).encode("utf-8", "surrogatepass"))
             new.append(digest not in seen)
             seen.add(digest)
@@ -242,14 +242,22 @@ def repair(turns: DataFrame, *, costs: dict[str, int] = COSTS, block: int = BLOC
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["conv_id", "turn", "place", "role", "new_role", "action", "inserted", "ending", "cost", "rendered"])
 
-        return _blocks(batches, ("conv_id", "block"), done)
+        held: list[dict] = []  # each block begins with the row of its boundary states
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["first"] is not None and held:
+                    yield done(None, held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(None, held)
 
     rows = _placed(_ordered(turns, block), _full(turns, block)).select("conv_id", "block", *ORDER, "role", "text")
     edges = boundaries(rows.drop("text").distinct(), costs).withColumn("edge", F.lit(True))
     moved = rows.mapInArrow(once, rows.schema).withColumn("edge", F.lit(False))
     dealt = moved.unionByName(edges, allowMissingColumns=True).repartition("conv_id", "block")
     dealt = dealt.sortWithinPartitions("conv_id", "block", F.desc("edge"), *ORDER, "text")
-    return dealt.select("conv_id", "block", "turn", "role", "was", "text", "first", "last").mapInArrow(repaired, "conv_id long, turn long, place long, role string, new_role string, action string, inserted array<string>, ending array<string>, cost long, rendered string")
+    return dealt.select("conv_id", "turn", "role", "was", "text", "first", "last").mapInArrow(repaired, "conv_id long, turn long, place long, role string, new_role string, action string, inserted array<string>, ending array<string>, cost long, rendered string")
 
 
 def query(turns: DataFrame) -> DataFrame:
