@@ -199,7 +199,7 @@ class Labeller:
             yield from zip(part, np.split(p, np.cumsum(lengths)[:-1]), strict=True)
 
 
-def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_language: int = 400, max_rows: int = 8000, run: int = 12) -> list[tuple[str, list[str]]]:
+def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_language: int = 150, max_rows: int = 3000, run: int = 12) -> list[tuple[str, list[str]]]:
     """(language, words) from labelled documents outside the held-out fold: all words of the sampled documents, in runs."""
     known = documents.filter(F.col("lang").isNotNull() & (crc_bucket("doc_id", fold) != held)).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").count()
