@@ -53,7 +53,7 @@ def scan(store: Store, number: int, connection: str, required: dict[str, DataFra
 
     Only one scan of a connection runs at a time, from its first job on. Its state is `running` until it is `succeeded`, `failed` or
     `cancelled`. A family of statistics that can't be read, also one that fails only while it is written, gives a warning and
-    leaves the others. All of the scan's jobs carry its tag, so that cancel() ends them.
+    leaves the others. All of the scan's jobs carry its tag, by which cancel() asks Spark to interrupt them.
     """
     spark, progress = store.spark, progress or Progress()
     clock = lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
