@@ -6,18 +6,18 @@ schema is looked up in `dbo`.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import multipart
-
-KIND_OF = {"read": "parsed_read", "function": "parsed_read", "write": "parsed_write", "exec": "parsed_exec"}
+from ..functions.scalar import confidence_rank, multipart
 
 
 def named_objects(names: DataFrame, objects: DataFrame, column: str = "name") -> DataFrame:
-    """names (with db) and `node` of the object that the name in `column` stands for, null where there is none."""
+    """names (with db) and `node` of the object that the name in `column` stands for, null where there is none; of equal names the smallest node."""
     p = names.withColumn("_p", multipart(F.col(column)))
-    by = objects.select(F.lower("db").alias("_d"), F.lower("schema").alias("_s"), F.lower("name").alias("_n"), "node").dropDuplicates(["_d", "_s", "_n"])
+    by = objects.select(F.lower("db").alias("_d"), F.lower("schema").alias("_s"), F.lower("name").alias("_n"), "node").groupBy("_d", "_s", "_n").agg(F.min("node").alias("node"))
     same = (F.lower(F.coalesce("_p.db", "db")) == F.col("_d")) & (F.lower(F.coalesce("_p.schema", F.lit("dbo"))) == F.col("_s")) & (F.lower("_p.name") == F.col("_n"))
     return p.join(by, same, "left").drop("_p", "_d", "_s", "_n")
 
@@ -47,11 +47,73 @@ def stored_edges(edges: DataFrame, objects: DataFrame, columns: DataFrame) -> tu
     s = named_objects(t, objects, "source").withColumnRenamed("node", "source_node")
     s = s.join(cols, (F.col("source_node") == F.col("_cn")) & (F.lower("source_column") == F.col("_cname")), "left").drop("_cn", "_cname").withColumnRenamed("column", "source_id")
     s = s.withColumn("source_name", F.when(F.col("source_id").isNull(), F.concat_ws(".", "source", "source_column")))
-    first = Window.partitionBy("source_node", "source_id", F.lower("source_name"), "target_id", "statement", "transform").orderBy("owner", "source_name")
+    first = Window.partitionBy("source_node", "source_id", F.lower("source_name"), "target_id", "statement", "transform").orderBy("owner", "source_name", confidence_rank(F.col("confidence")).desc(), "confidence")
     kept = s.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
     return kept.select("owner", "source_id", "source_name", "target_id", "confidence", "transform", "statement"), issues
 
 
+class Stored(NamedTuple):
+    """edges; the temporary tables and table variables of modules as objects; the columns that modules make; issues."""
+
+    edges: DataFrame
+    objects: DataFrame
+    columns: DataFrame
+    issues: DataFrame
+
+
+def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) -> Stored:
+    """Column edges of modules with every kind of target, by joins with the catalog.
+
+    edges: owner, db, target_kind, target, target_column, resultset, source, source_column, confidence, transform, statement.
+    `self` is the module, whose column must exist (a scalar function's is made as `return_value`); `resultset` a column that
+    the module returns; `temp` and `tablevar` (names with # or @) belong to the module, so each module has its own; `table`
+    is looked up, and an unknown one gives one issue per owner and name. Sources with # or @ are the module's own too; a
+    source without a column (or `*`) is the whole object, one that isn't known keeps its name. Ids of what modules make hold
+    the lower-case name, so no join is needed for them; the spelling is the first statement's, then the smallest. Of edges
+    with equal ends, statement and transform that of the smallest owner with the highest confidence stays. An edge without
+    a target column is dropped.
+    """
+    made, whole = F.col("source").rlike("^[#@]"), F.col("source_column").isNull() | (F.col("source_column") == "*")
+    own = lambda name: F.concat_ws("|", "owner", F.lower(name))
+    under = lambda node, name: F.concat_ws("|", node, F.lower(name))
+    known = objects.filter("kind <> 'external'")
+    cols = columns.select(F.col("node").alias("_cn"), F.lower("name").alias("_cname"), "column")
+
+    edges = edges.filter("target_column IS NOT NULL")
+    e = edges.join(objects.select(F.col("node").alias("owner"), F.col("kind").alias("_kind")), "owner", "left")
+    temp, result = F.col("target_kind").isin("temp", "tablevar"), F.col("target_kind") == "resultset"
+    t = named_objects(e.withColumn("_name", F.when(F.col("target_kind") == "table", F.col("target"))), known, "_name").drop("_name")
+    t = t.withColumn("target_node", F.when(temp, own("target")).when(F.col("target_kind") == "table", F.col("node")).otherwise(F.col("owner"))).drop("node")
+    lost = t.filter("target_node IS NULL").groupBy("owner", F.lower("target").alias("_t"))
+    issues = lost.agg(F.min_by("target", F.struct("statement", "target")).alias("name"), F.min("statement").alias("statement")).select("owner", "name", "statement", F.lit("unresolved_ref").alias("issue"))
+    looked_up = F.when(~temp & ~result, F.col("target_node"))  # nulls match nothing: columns that modules make are not looked up
+    t = t.withColumn("_look", looked_up).join(cols, (F.col("_look") == F.col("_cn")) & (F.lower("target_column") == F.col("_cname")), "left").drop("_look", "_cn", "_cname")
+    returned = (F.col("target_kind") == "self") & F.col("column").isNull() & (F.col("_kind") == "scalar_function")
+    made_id = F.when(temp | returned, under("target_node", "target_column")).when(result, F.concat_ws("|", "target_node", F.concat(F.lit("#rs"), F.col("resultset").cast("string")), F.lower("target_column")))
+    t = t.withColumns({"column_kind": F.when(temp, "column").when(result, "resultset").when(returned, "return_value"), "target_id": F.coalesce("column", made_id)}).drop("column").filter("target_id IS NOT NULL")
+
+    s = named_objects(t.withColumn("_name", F.when(~made, F.col("source"))), known, "_name").drop("_name")
+    s = s.withColumn("source_node", F.when(made, own("source")).otherwise(F.col("node"))).drop("node")
+    s = s.withColumn("_look", F.when(~made, F.col("source_node"))).join(cols, (F.col("_look") == F.col("_cn")) & (F.lower("source_column") == F.col("_cname")), "left").drop("_look", "_cn", "_cname")
+    s = s.withColumn("source_id", F.when(made & ~whole, under("source_node", "source_column")).otherwise(F.col("column"))).drop("column")
+    name = F.when(F.col("source_id").isNull(), F.when(F.col("source_node").isNull(), F.concat_ws(".", "source", "source_column")).otherwise(F.col("source_column")))
+    s = s.withColumns({"source_name": name, "via_object": F.when(temp | (F.col("target_kind") == "table"), F.col("owner"))})
+    key = ["source_node", "source_id", "source_name", "target_node", "target_id", "statement", "transform"]
+    first = F.min(F.struct("owner", (-confidence_rank(F.col("confidence"))).alias("rank"), "confidence", "via_object")).alias("_f")
+    kept = s.groupBy(*key).agg(first).select(*key, "_f.owner", "_f.confidence", "_f.via_object")
+
+    spelled = lambda c: F.min_by(c, F.struct("statement", c)).alias("name")
+    mentions = edges.filter(temp).select("owner", F.col("target").alias("name"), F.col("target_column").alias("column"), "statement")
+    mentions = mentions.unionByName(t.filter(made).select("owner", F.col("source").alias("name"), F.when(~whole, F.col("source_column")).alias("column"), "statement"))
+    owners = objects.select(F.col("node").alias("parent"), "db", "schema")
+    pseudo = mentions.groupBy("owner", own("name").alias("node")).agg(spelled("name")).select("node", "name", F.lit("temp_table").alias("kind"), F.col("owner").alias("parent")).join(owners, "parent", "left")
+    of_modules = t.filter("column_kind <> 'column'").select(F.col("target_node").alias("node"), F.col("target_column").alias("name"), "column_kind", F.when(result, F.col("resultset")).alias("resultset"), F.col("target_id").alias("column"), "statement")
+    of_temps = mentions.filter("column IS NOT NULL").select(own("name").alias("node"), F.col("column").alias("name"), F.lit("column").alias("column_kind"), F.lit(None).cast("int").alias("resultset"), under(own("name"), "column").alias("column"), "statement")
+    each = of_modules.unionByName(of_temps).groupBy("node", "column_kind", "resultset", "column").agg(spelled("name"), F.min("statement").alias("_first"))
+    order = Window.partitionBy("node", "column_kind", "resultset").orderBy("_first", "column")
+    return Stored(kept, pseudo, each.withColumn("ordinal", F.row_number().over(order)).drop("_first"), issues)
+
+
 def computed_columns(definitions: DataFrame, columns: DataFrame) -> DataFrame:
     """Edges of computed columns: node, column, definition -> source, target, inferred, computed. Bracketed or plain names of the same table count."""
     names = F.array_distinct(F.transform(F.regexp_extract_all("definition", F.lit(r"\[(?:[^\]]|\]\])+\]|[A-Za-z_]\w*"), F.lit(0)), lambda n: F.lower(F.regexp_replace(n, r"^\[|\]$", ""))))

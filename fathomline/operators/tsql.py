@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Keywords that begin a statement, and the statement's kind.
 STARTERS = "select insert update delete merge with exec execute declare set if else while begin end return print raiserror throw truncate create drop alter open fetch close deallocate commit rollback goto break continue waitfor use".split()
 DML = ("select", "insert", "update", "delete", "merge", "exec")
+#: Procedures that run a text.
+DYNAMIC = ("sp_executesql", "xp_cmdshell")
 #: One token: comment, string (closed or not), quoted name, variable or temporary name, word, number, blank, or a character.
 TOKEN = r"(?s)--[^\n]*|/\*.*?(?:\*/|$)|N?'(?:[^']|'')*(?:'|$)|\[(?:[^\]]|\]\])*(?:\]|$)|\"(?:[^\"]|\"\")*(?:\"|$)|[@#]+[\w@#$]*|[A-Za-z_\u0080-￿][\w@#$]*|\d[\w.]*|\s+|."
 # End of fixed values.
@@ -108,9 +110,10 @@ _NAME = r"^(\[|\"|[A-Za-z_@#\u0080-
 
 
 def references(stmts: DataFrame) -> DataFrame:
-    """module, index, ref (read, write, exec), name: what each statement names after FROM, JOIN, INTO and the like.
+    """module, index, ref (read, write, exec, function), name: what each statement names after FROM, JOIN, INTO and the like.
 
-    stmts: statements(). Aliases of UPDATE and DELETE targets, and names of CTEs, are looked up in the same statement.
+    stmts: statements(). Aliases of UPDATE and DELETE targets, and names of CTEs, are looked up in the same statement. A
+    function counts where a query calls it as `schema.name(`; procedures that run a text (dynamic_sql) don't.
     """
     as_modules = stmts.select(F.concat_ws("\u0001", "module", F.col("index").cast("string")).alias("module"), F.col("text").alias("body"), F.col("kind"))
     t = tokens(as_modules, "body")
@@ -120,7 +123,7 @@ def references(stmts: DataFrame) -> DataFrame:
     t = t.withColumns({"_name": is_name, "_prev": F.lag("token").over(order), "_next": F.lead("token").over(order)})
     joined = F.coalesce((F.col("token") == ".") | (F.col("_prev") == "."), F.lit(False))
     t = t.withColumn("_run", F.sum((~joined).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = t.groupBy("module", "_run").agg(F.min("i").alias("i"), F.max("i").alias("last"), F.first("word").alias("word"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x.token), "").alias("name"), F.bool_or("_name").alias("is_name"))
+    runs = t.groupBy("module", "_run").agg(F.min("i").alias("i"), F.max("i").alias("last"), F.first("word").alias("word"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x.token), "").alias("name"), F.bool_or("_name").alias("is_name"), F.count(F.lit(1)).alias("size"))
     by_run = Window.partitionBy("module").orderBy("i")
     lag = lambda c, n=1: F.lag(c, n).over(by_run)
     runs = runs.withColumns({"w1": lag("word"), "w2": lag("word", 2), "n1": lag("name"), "n2": lag("name", 2), "after": F.lead("name").over(by_run), "after2": F.lead("name", 2).over(by_run), "after_word": F.lead("word").over(by_run)})
@@ -129,7 +132,8 @@ def references(stmts: DataFrame) -> DataFrame:
     read = F.col("w1").isin("from", "join", "using", "apply") & (F.col("w2").isNull() | (F.col("w2") != "delete") | (F.col("w1") != "from"))
     write = F.col("w1").isin("into") | ((F.col("w1").isin("insert", "update", "merge", "delete")) & (F.col("kind") == F.col("w1"))) | ((F.col("w1") == "from") & (F.col("w2") == "delete")) | ((F.col("w1") == "table") & (F.col("w2") == "truncate"))
     call = F.col("w1").isin("exec", "execute") | ((F.col("n1") == "=") & F.col("n2").startswith("@") & (lag("word", 3).isin("exec", "execute")))
-    ref = F.when(write, "write").when(read, "read").when(call, "exec")
+    function = (F.col("size") == 3) & (F.col("after") == "(") & F.col("kind").isin(*DML[:-1]) & (F.coalesce("w1", F.lit("")) != "statistics")
+    ref = F.when(write, "write").when(read, "read").when(call, "exec").when(function, "function")
     found = runs.filter(plain).withColumn("ref", ref)
     words = ("where", "on", "set", "join", "inner", "left", "right", "full", "cross", "outer", "group", "order", "union", "values", "select", "with", "output", "when", "using", "from", "having", "option", "for", "except", "intersect", "exec", "execute", "default")
     alias = F.when(F.col("after_word") == "as", F.col("after2")).when(F.col("after").rlike(_NAME) & ~F.coalesce(F.col("after_word").isin(*words), F.lit(False)), F.col("after"))
@@ -137,6 +141,13 @@ def references(stmts: DataFrame) -> DataFrame:
     aliases = named.filter("ref = 'read' AND alias IS NOT NULL").select(F.col("module").alias("_m"), F.lower("alias").alias("_a"), F.col("name").alias("_real")).dropDuplicates(["_m", "_a"])
     ctes = runs.filter("after_word = 'as' AND after2 = '(' AND (w1 = 'with' OR n1 = ',')").select(F.col("module").alias("_m"), F.lower("name").alias("_cte")).distinct()
     out = named.join(aliases, (F.lower("name") == F.col("_a")) & (F.col("module") == F.col("_m")) & (F.col("ref") == "write"), "left").select("module", "ref", F.coalesce("_real", "name").alias("name"))
+    out = out.filter(~((F.col("ref") == "exec") & F.lower("name").rlike(rf"(^|[.\[\"])({'|'.join(DYNAMIC)})[\]\"]?$")))
     out = out.join(ctes, (F.lower("name") == F.col("_cte")) & (F.col("module") == F.col("_m")), "left_anti")
     split = F.split("module", "\u0001")
     return out.select(split[0].alias("module"), split[1].cast("int").alias("index"), "ref", F.regexp_replace(F.regexp_replace("name", r'^[\["]|[\]"]$', ""), r'[\]"]\.[\["]|[\]"]\.|\.[\["]', ".").alias("name")).distinct()
+
+
+def dynamic_sql(stmts: DataFrame) -> DataFrame:
+    """module, index, issue, snippet: EXEC statements that run a text, in brackets or by a procedure for it. stmts: statements()."""
+    runs = rf"(?i)^exec(?:ute)?\s*(?:\(|(?:@\w+\s*=\s*)?(?:[\w.\[\]]*[.\[])?(?:{'|'.join(DYNAMIC)})(?!\w))"
+    return stmts.filter((F.col("kind") == "exec") & F.col("text").rlike(runs)).select("module", "index", F.lit("dynamic_sql").alias("issue"), F.substring("text", 1, 200).alias("snippet"))

@@ -609,6 +609,21 @@ def sql_references(s, d):
     return tsql.references(tsql.statements(_headed(s, d, [""], _NAMING))).select("module", "index", "ref", "name")
 
 
+#: A body that calls functions and runs texts.
+_CALLING = "SELECT log.knots{k}(a), max(a), l.x FROM log.leg{k} l WHERE [harbour].[Depth](l.x) > 1 SET @a = log.knots(1) EXEC (@text) EXEC @r = sys.[sp_executesql] @text EXEC log.sp_executesql{k} EXECUTE log.sail{k} 'sp_executesql'"
+_CALLED = [(0, "function", "harbour.Depth"), (0, "function", "log.knots{k}"), (0, "read", "log.leg{k}"), (4, "exec", "log.sp_executesql{k}"), (5, "exec", "log.sail{k}")]
+
+
+@query("SELECT 'm' || s_suppkey AS module, i AS index, ref, replace(name, '{k}', CAST(s_suppkey AS VARCHAR)) AS name FROM supplier, (" + values_sql(_CALLED, "i, ref, name") + ")")
+def function_references(s, d):
+    return tsql.references(tsql.statements(_headed(s, d, [""], _CALLING))).select("module", "index", "ref", "name")
+
+
+@query("SELECT 'm' || s_suppkey AS module, i AS index, 'dynamic_sql' AS issue FROM supplier, (" + values_sql([(2,), (3,)], "i") + ")")
+def dynamic_sql(s, d):
+    return tsql.dynamic_sql(tsql.statements(_headed(s, d, [""], _CALLING))).drop("snippet")
+
+
 @query("SELECT 'o:' || o_orderkey AS source, kind, target FROM orders JOIN (SELECT c_custkey, 'parsed_read' AS kind, 'c:' || c_custkey AS target FROM customer UNION ALL SELECT c_custkey, 'parsed_write', 's:' || s_suppkey FROM customer JOIN supplier ON c_custkey = s_suppkey UNION ALL SELECT c_custkey, 'parsed_write', NULL FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)) ON o_custkey = c_custkey")
 def parsed_dependencies(s, d):
     bodies = table(s, d, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("module"), F.concat(F.lit("INSERT INTO dbo.s"), F.col("o_custkey").cast("string"), F.lit(" (a) SELECT a FROM [Sales].[C"), F.col("o_custkey").cast("string"), F.lit("] x; SELECT 1 FROM sales.c"), F.col("o_custkey").cast("string")).alias("body"), ident("o", "o_orderkey").alias("owner"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, lineage, overlay, summaries
@@ -310,3 +310,53 @@ def computed_column_edges(s, d):
     column = lambda n: one.select("node", F.lit(n).alias("name"), F.concat("node", F.lit(f".{n}")).alias("column"))
     definitions = one.select("node", F.concat("node", F.lit(".total")).alias("column"), F.lit("([Q] * 2 + missing + [total])").alias("definition"))
     return lineage.computed_columns(definitions, column("q").unionByName(column("total")))
+
+
+# Lineage with every kind of target: orders are modules (even ones scalar functions), their lines edges; the line's number says what kind.
+_MADE = """WITH o AS (SELECT DISTINCT o_orderkey AS k, 'o:' || o_orderkey AS owner, o_orderkey % 2 = 0 AS fn FROM orders),
+ l AS (SELECT DISTINCT l_linenumber AS n, l_partkey AS p, l_suppkey AS s, o.* FROM lineitem JOIN o ON l_orderkey = k)"""
+
+
+@query(_MADE + """ SELECT DISTINCT owner, 'p:' || p AS source_node, 'p:' || p || '.a' AS source_id, NULL AS source_name, owner || '|#hold' AS target_node, owner || '|#hold|q' AS target_id, owner AS via_object FROM l WHERE n = 1
+ UNION SELECT owner, owner || '|#hold', owner || '|#hold|q', NULL, 's:' || s, 's:' || s || '.b', owner FROM l WHERE n = 2
+ UNION SELECT owner, owner || '|@seen', NULL, '*', owner, owner || '|#rs' || p % 2 || '|r', NULL FROM l WHERE n = 3
+ UNION SELECT owner, NULL, NULL, 'lost.z', owner, owner || '|return_value', NULL FROM l WHERE n = 4 AND fn
+ UNION SELECT owner, 'p:' || p, NULL, 'z', owner || '|@seen', owner || '|@seen|k', owner FROM l WHERE n = 5""")
+def stored_lineage_edges(s, d):
+    return _made(s, d).edges.select("owner", "source_node", "source_id", "source_name", "target_node", "target_id", "via_object")
+
+
+@query(_MADE + " SELECT DISTINCT owner || '|#hold' AS node, CASE WHEN owner IN (SELECT owner FROM l WHERE n = 1) THEN '#Hold' ELSE '#hold' END AS name, 'temp_table' AS kind, owner AS parent, 'shop' AS db, 'dbo' AS schema FROM l WHERE n IN (1, 2) UNION ALL SELECT DISTINCT owner || '|@seen', '@seen', 'temp_table', owner, 'shop', 'dbo' FROM l WHERE n IN (3, 5)")
+def stored_pseudo_objects(s, d):
+    return _made(s, d).objects
+
+
+@query(_MADE + """ SELECT DISTINCT owner || '|#hold' AS node, CASE WHEN owner IN (SELECT owner FROM l WHERE n = 1) THEN 'q' ELSE 'Q' END AS name, 'column' AS column_kind, NULL::INT AS resultset, owner || '|#hold|q' AS column, 1 AS ordinal FROM l WHERE n IN (1, 2)
+ UNION ALL SELECT DISTINCT owner || '|@seen', 'k', 'column', NULL::INT, owner || '|@seen|k', 1 FROM l WHERE n = 5
+ UNION ALL SELECT DISTINCT owner, 'r', 'resultset', (p % 2)::INT, owner || '|#rs' || p % 2 || '|r', 1 FROM l WHERE n = 3
+ UNION ALL SELECT DISTINCT owner, 'RETURN_VALUE', 'return_value', NULL::INT, owner || '|return_value', 1 FROM l WHERE n = 4 AND fn""")
+def stored_pseudo_columns(s, d):
+    return _made(s, d).columns
+
+
+@query(_MADE + " SELECT owner, 'gone.T' || s AS name, 6 AS statement, 'unresolved_ref' AS issue FROM l WHERE n > 5 GROUP BY owner, s")
+def stored_lineage_issues(s, d):
+    return _made(s, d).issues
+
+
+def _made(s, d) -> lineage.Stored:
+    n, text = F.col("l_linenumber"), lambda start, k: F.concat(F.lit(start), F.col(k).cast("string"))
+    by = lambda *rows: F.element_at(F.array(*(r if isinstance(r, Column) else F.lit(r) for r in rows)), F.least(n, F.lit(6)).cast("int"))
+    line = table(s, d, "lineitem").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    part, supplier = text("sales.p", "l_partkey"), text("dbo.s", "l_suppkey")
+    edges = line.select(
+        ident("o", "l_orderkey").alias("owner"), F.lit("shop").alias("db"), by("temp", "table", "resultset", "self", "tablevar", "table").alias("target_kind"), by("#Hold", supplier, None, None, "@seen", text("gone.T", "l_suppkey")).alias("target"),
+        by("q", "b", "r", "RETURN_VALUE", "k", "a").alias("target_column"), F.when(n == 3, F.col("l_partkey") % 2).cast("int").alias("resultset"), by(part, "#hold", "@seen", "lost", part, part).alias("source"), by("A", "Q", "*", "z", "z", "a").alias("source_column"),
+        F.lit("exact").alias("confidence"), F.lit("passthrough").alias("transform"), F.least(n, F.lit(6)).cast("int").alias("statement"),
+    )
+    p, u, o = table(s, d, "part"), table(s, d, "supplier"), table(s, d, "orders")
+    named = lambda rows, x, k, schema, kind: rows.select(ident(x, k).alias("node"), F.lit("shop").alias("db"), F.lit(schema).alias("schema"), F.concat(F.lit(x), F.col(k).cast("string")).alias("name"), kind.alias("kind"))
+    modules = named(o, "o", "o_orderkey", "dbo", F.when(F.col("o_orderkey") % 2 == 0, "scalar_function").otherwise("procedure"))
+    objects = named(p, "p", "p_partkey", "Sales", F.lit("table")).unionByName(named(u, "s", "s_suppkey", "dbo", F.lit("table"))).unionByName(modules)
+    col = lambda rows, x, k, name: rows.select(F.concat(ident(x, k), F.lit(f".{name}")).alias("column"), ident(x, k).alias("node"), F.lit(name).alias("name"))
+    return lineage.stored_lineage(edges, objects, col(p, "p", "p_partkey", "a").unionByName(col(u, "s", "s_suppkey", "b")))

@@ -21,7 +21,7 @@ SCHEMAS = {
     "check_constraints": "db string, object_id long, name string, parent_object_id long, definition string, is_disabled boolean",
     "dependencies": "source string, target string, kind string, resolution string, minor_id int, referenced_name string",
     "externals": "external_key string, server string, db string, schema string, name string",
-    "column_lineage": "owner string, source_id string, source_name string, target_id string, via string, confidence string, transform string, statement int, expression string",
+    "column_lineage": "owner string, source_node string, source_id string, source_name string, target_node string, target_id string, via_object string, via string, confidence string, transform string, statement int, expression string",
     "table_stats": f"{OBJECT}, row_count long, data_kb long, index_kb long, reserved_kb long, partition_count long, is_heap int, compression_min string, compression_max string",
     "index_usage": f"{OBJECT}, index_id int, seeks long, scans long, lookups long, updates long, is_unused boolean",
     "proc_stats": f"{OBJECT}, kind string, executions long, total_elapsed long, min_elapsed long, max_elapsed long, last_run timestamp_ntz, cached timestamp_ntz",

@@ -75,3 +75,26 @@ def test_edges_are_stored_by_name(spark):
     assert [(r.owner, r.name) for r in issues.collect()] == [("v", "nowhere")]
     computed = lineage.computed_columns(spark.createDataFrame([("t", "t.b", "([A]*(2))")], "node string, column string, definition string"), columns)
     assert [(r.source, r.target) for r in computed.collect()] == [("t.a", "t.b")]
+
+
+def test_lineage_of_every_target_kind(spark):
+    objects = spark.createDataFrame([("t", "W", "dbo", "T", "table"), ("f", "W", "dbo", "F", "scalar_function"), ("v", "W", "Sales", "V", "view"), ("x", "W", "dbo", "X", "external")], "node string, db string, schema string, name string, kind string")
+    columns = spark.createDataFrame([("t.a", "t", "A"), ("v.a", "v", "a")], "column string, node string, name string")
+    rows = [
+        ("v", "W", "self", None, "A", None, "T", "a", "exact", 0), ("v", "W", "self", None, "none", None, "T", "a", "exact", 0),
+        ("f", "W", "self", None, "R", None, "#T", "b", "exact", 1), ("v", "W", "temp", "#T", "B", None, "T", "a", "exact", 1),
+        ("v", "W", "temp", "#t", "b", None, "T", "a", "inferred", 1), ("v", "W", "table", "X", "a", None, "T", "a", "exact", 2),
+        ("v", "W", "table", "x", "b", None, "T", "a", "exact", 1), ("v", "W", "resultset", None, "S", 1, None, "@v", "exact", 3),
+        ("v", "W", "tablevar", "@r", None, None, "T", "a", "exact", 4), ("v", "W", "table", "t", "a", None, "X", "q", "exact", 5),
+    ]
+    edges = spark.createDataFrame(rows, "owner string, db string, target_kind string, target string, target_column string, resultset int, source string, source_column string, confidence string, statement int").withColumn("transform", F.lit("passthrough"))
+    found = lineage.stored_lineage(edges, objects, columns)
+    assert {(r.owner, r.source_node, r.source_id, r.source_name, r.target_id, r.via_object, r.confidence) for r in found.edges.collect()} == {
+        ("v", "t", "t.a", None, "v.a", None, "exact"), ("f", "f|#t", "f|#t|b", None, "f|r", None, "exact"), ("v", "t", "t.a", None, "v|#t|b", "v", "exact"),
+        ("v", None, None, "@v", "v|#rs1|s", None, "exact"), ("v", None, None, "X.q", "t.a", "v", "exact"),
+    }
+    assert {(r.node, r.name, r.parent) for r in found.objects.collect()} == {("f|#t", "#T", "f"), ("v|#t", "#T", "v")}
+    assert {(r.column, r.name, r.column_kind, r.resultset, r.ordinal) for r in found.columns.collect()} == {("f|#t|b", "b", "column", None, 1), ("v|#t|b", "B", "column", None, 1), ("f|r", "R", "return_value", None, 1), ("v|#rs1|s", "S", "resultset", 1, 1)}
+    assert [(r.owner, r.name, r.statement) for r in found.issues.collect()] == [("v", "x", 1)]
+    none = lineage.stored_lineage(edges.limit(0), objects, columns)
+    assert all(part.isEmpty() for part in none)
