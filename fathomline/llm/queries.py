@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_repair, decontaminate, language_id, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import byte_bpe, chat_repair, decontaminate, language_id, ngram_join, packing, periodic_runs, pii, quality_classifier, quality_rules, token_alignment, token_counts, toxicity
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.query(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.query(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.query(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
         "op10_chat_repair": op10_chat_repair,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 

@@ -42,5 +42,5 @@ def test_stage_names_and_entry():
     import __spark_entry__ as entry
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "decontamination", "pii", "packing"]
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in entry.queries() if re.match(r"op\d+_", k)} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in entry.queries() if re.match(r"op\d+_", k)} and "pipeline" in entry.queries()
     assert decontaminate.ORACLE == entry.oracle_sql()["op2_decontaminate"]
