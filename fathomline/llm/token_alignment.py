@@ -93,19 +93,19 @@ def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
     """Two cuts of the same bytes side by side."""
     groups, same, pairs = [], [], []
     i = j = first_a = first_b = 0
-    end_a = end_b = 0
-    while i < len(a) and j < len(b):
-        if end_a == end_b:
-            first_a, first_b = i, j
-            end_a += len(a_bytes[a[i]])
-            end_b += len(b_bytes[b[j]])
+    end_a, end_b = (len(a_bytes[a[0]]), len(b_bytes[b[0]])) if a else (0, 0)
+    while i < len(a):
         if identity[a[i]] == b[j]:
             same.append(a[i])
         else:
             pairs.append(a[i] << _BITS | b[j])
         if end_a == end_b:
             i, j = i + 1, j + 1
+            if i < len(a):
+                end_a += len(a_bytes[a[i]])
+                end_b += len(b_bytes[b[j]])
             groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+            first_a, first_b = i, j
         elif end_a < end_b:
             i += 1
             end_a += len(a_bytes[a[i]])
