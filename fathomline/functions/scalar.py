@@ -16,7 +16,7 @@ WIDE, SIZED, EXACT, SCALED = ("nchar", "nvarchar"), ("char", "varchar", "binary"
 CONFIDENCE = {"unresolved": 0, "inferred": 1, "exact": 2}
 # End of fixed values.
 
-_PART = r"\s*(\[(?:[^\]]|\]\])*\]|\"(?:[^\"]|\"\")*\"|[^.\[\"]*)\s*\."
+_PART = r"\s*+(\[[^\]]*+(?:\]\][^\]]*+)*+\]|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^.\[\"]*+)\s*+\."
 
 
 def lookup(value: Column, mapping: dict) -> Column:

@@ -116,7 +116,7 @@ def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) ->
 
 def computed_columns(definitions: DataFrame, columns: DataFrame) -> DataFrame:
     """Edges of computed columns: node, column, definition -> source, target, inferred, computed. Bracketed or plain names of the same table count."""
-    names = F.array_distinct(F.transform(F.regexp_extract_all("definition", F.lit(r"\[(?:[^\]]|\]\])+\]|[A-Za-z_]\w*"), F.lit(0)), lambda n: F.lower(F.regexp_replace(n, r"^\[|\]$", ""))))
+    names = F.array_distinct(F.transform(F.regexp_extract_all("definition", F.lit(r"\[[^\]]*+(?:\]\][^\]]*+)*+\]|[A-Za-z_]\w*+"), F.lit(0)), lambda n: F.lower(F.regexp_replace(n, r"^\[|\]$", ""))))
     each = definitions.select("node", F.col("column").alias("target"), F.explode(names).alias("_name"))
     own = columns.select("node", F.lower("name").alias("_name"), F.col("column").alias("source"))
     return each.join(own, ["node", "_name"]).filter("source <> target").select("source", "target", F.lit("inferred").alias("confidence"), F.lit("computed").alias("transform"))

@@ -15,21 +15,41 @@ STARTERS = "select insert update delete merge with exec execute declare set if e
 DML = ("select", "insert", "update", "delete", "merge", "exec")
 #: Procedures that run a text.
 DYNAMIC = ("sp_executesql", "xp_cmdshell")
-#: One token: comment, string (closed or not), quoted name, variable or temporary name, word, number, blank, or a character.
-TOKEN = r"(?s)--[^\n]*|/\*.*?(?:\*/|$)|N?'(?:[^']|'')*(?:'|$)|\[(?:[^\]]|\]\])*(?:\]|$)|\"(?:[^\"]|\"\")*(?:\"|$)|[@#]+[\w@#$]*|[A-Za-z_\u0080-￿][\w@#$]*|\d[\w.]*|\s+|."
+#: One token: comment, string (closed or not), quoted name, variable or temporary name, word, number, blank, or a character. All
+#: repetitions are possessive, so a token of any length takes no stack: Java follows an alternation inside a repeated group by recursion.
+TOKEN = r"(?s)--[^\n]*+|/\*.*?(?:\*/|\z)|N?'[^']*+(?:''[^']*+)*+(?:'|\z)|\[[^\]]*+(?:\]\][^\]]*+)*+(?:\]|\z)|\"[^\"]*+(?:\"\"[^\"]*+)*+(?:\"|\z)|[@#]++[\w@#$]*+|[A-Za-z_\u0080-￿][\w@#$]*+|\d[\w.]*+|\s++|."
+#: A string or quoted name that ends.
+CLOSED = r"(?s)^(?:N?'[^']*+(?:''[^']*+)*+'|\[[^\]]*+(?:\]\][^\]]*+)*+\]|\"[^\"]*+(?:\"\"[^\"]*+)*+\")\z"
 # End of fixed values.
 
 
+def unfinished(token: Column) -> Column:
+    """Whether a body's last token is a string or quoted name without an end, so that the body can't be told apart into tokens."""
+    return F.coalesce(token.rlike(r"^(?:N?'|\[|\")") & ~token.rlike(CLOSED), F.lit(False))
+
+
 def tokens(modules: DataFrame, body: str = "body") -> DataFrame:
-    """module, i (place among the tokens that count), token, word (lower case; null if it can't be a keyword), start, end."""
-    each = modules.select("module", F.posexplode(F.regexp_extract_all(F.col(body), F.lit(TOKEN), F.lit(0))).alias("p", "token"))
+    """module, i (place among the tokens that count), token, word (lower case; null if it can't be a keyword), start, end, broken.
+
+    A body that can't be told apart (unfinished) is a single broken token; all others are not touched by it.
+    """
+    own = modules.select("module", F.col(body).alias("_body"), F.regexp_extract_all(F.col(body), F.lit(TOKEN), F.lit(0)).alias("_all"))
+    own = own.withColumn("broken", unfinished(F.expr("try_element_at(_all, -1)")))
+    each = own.select("module", "broken", F.posexplode(F.when(F.col("broken"), F.array("_body")).otherwise(F.col("_all"))).alias("p", "token"))
     before = Window.partitionBy("module").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.char_length("token")).over(before)).withColumn("start", F.col("end") - F.char_length("token"))
-    real = placed.filter(~F.col("token").rlike(r"^(\s|--|/\*)"))
+    real = placed.filter(F.col("broken") | ~F.col("token").rlike(r"^(?:\s|--|/\*)"))
     order = Window.partitionBy("module").orderBy("p")
     real = real.withColumn("i", F.row_number().over(order)).withColumn("_prev", F.lag("token").over(order))
-    word = F.when(F.col("token").rlike(r"^[A-Za-z_\u0080-￿]") & ~F.col("token").rlike("^N'") & (F.coalesce("_prev", F.lit("")) != "."), F.lower("token"))
-    return real.select("module", "i", "token", word.alias("word"), "start", "end")
+    word = F.when(~F.col("broken") & F.col("token").rlike(r"^[A-Za-z_\u0080-\uffff]") & ~F.col("token").rlike("^N'") & (F.coalesce("_prev", F.lit("")) != "."), F.lower("token"))
+    return real.select("module", "i", "token", word.alias("word"), "start", "end", "broken")
+
+
+def broken_modules(modules: DataFrame, body: str = "body") -> DataFrame:
+    """module, issue, message: bodies that can't be told apart into tokens. Each is one statement; the others are read as always."""
+    last = F.expr("try_element_at(_all, -1)")
+    own = modules.select("module", F.regexp_extract_all(F.col(body), F.lit(TOKEN), F.lit(0)).alias("_all"))
+    return own.filter(unfinished(last)).select("module", F.lit("parse_error").alias("issue"), F.concat(F.lit("no end of "), F.substring(last, 1, 200)).alias("message"))
 
 
 def _depths(toks: DataFrame) -> DataFrame:
@@ -47,49 +67,57 @@ def _depths(toks: DataFrame) -> DataFrame:
     return deep.withColumn("cases", F.sum(step).over(to_here) - F.when(F.col("word") == "case", 1).otherwise(0)).drop("_nest")
 
 
-def statements(modules: DataFrame, body: str = "body") -> DataFrame:
-    """module, index, kind, start, end, text of every statement; body[start:end] is its text."""
+def statement_tokens(modules: DataFrame, body: str = "body") -> DataFrame:
+    """The tokens of all statements, as tokens() has them, with index and kind of their statement, depth (open brackets) and cases.
+
+    All of it comes from windows over a module's tokens in their order, so there is one shuffle, by module. Semicolons belong to
+    no statement; what begins with no keyword is `other`; a broken body is one statement of its first word's kind.
+    """
     order = Window.partitionBy("module").orderBy("i")
+    to_here, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     t = _depths(tokens(modules, body))
-    t = t.withColumns({"_prev_word": F.lag("word").over(order), "_next": F.lead("token").over(order)})
+    t = t.withColumns({"_prev_word": F.lag("word").over(order), "_next": F.lead("token").over(order), "_last": F.lag("token").over(order)})
     top = (F.col("depth") == 0) & (F.col("cases") == 0) & ~F.coalesce(F.col("_closes_case"), F.lit(False))
-    semi = F.max(F.when(F.col("token") == ";", F.col("i"))).over(order)
     predicate = F.col("word").isin("update", "with") & (F.col("_next") == "(")  # a trigger's test, a table hint
     started = F.col("word").isin(*STARTERS, "values", "default", "output") & top & ~F.coalesce(predicate, F.lit(False))
     kind = F.when(F.col("word") == "execute", "exec").otherwise(F.col("word"))
-    t = t.withColumn("_semi", F.coalesce(semi, F.lit(0))).withColumn("_c", F.when(F.coalesce(started, F.lit(False)), kind))
-    merge = F.coalesce(F.max(F.when((F.col("_c") == "merge"), F.col("i"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("_in_merge", merge > F.col("_semi"))
-    c = t.filter("_c IS NOT NULL")
-    before, gap = F.lag("_c").over(order), F.coalesce(F.lag("i").over(order), F.lit(0)) > F.col("_semi")
-    # A hint, an OUTPUT clause or CTEs may stand between an INSERT and its rows; any other clause ends the wait for them.
-    passing = F.struct(F.col("_c"), F.col("i"))
-    opener = F.last(F.when(~F.col("_c").isin("output", "with"), passing), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumns({"_before": F.when(gap, before), "_open": opener})
+    t = t.withColumn("_c", F.when(F.coalesce(started, F.lit(False)), kind))
+    place = F.struct(F.col("_c"), F.col("i"))
+    t = t.withColumns({
+        "_semi": F.coalesce(F.max(F.when(F.col("token") == ";", F.col("i"))).over(to_here), F.lit(0)),
+        "_merge": F.coalesce(F.max(F.when(F.col("_c") == "merge", F.col("i"))).over(before), F.lit(0)),
+        "_lastc": F.last(F.when(F.col("_c").isNotNull(), place), True).over(before),
+        # A hint, an OUTPUT clause or CTEs may stand between an INSERT and its rows; any other clause ends the wait for them.
+        "_open": F.last(F.when(F.col("_c").isNotNull() & ~F.col("_c").isin("output", "with"), place), True).over(before),
+    })
+    previous = F.when(F.col("_lastc.i") > F.col("_semi"), F.col("_lastc._c"))
     waiting = (F.col("_open._c") == "insert") & (F.col("_open.i") > F.col("_semi"))
-    dml = F.col("_c").isin("select", "insert", "update", "delete", "merge")
+    dml = F.col("_c").isin(*DML[:-1])
     cont = (
-        F.col("_in_merge")
+        (F.col("_merge") > F.col("_semi"))
         | F.col("_c").isin("values", "default", "output")
-        | ((F.col("_c") == "set") & (F.col("_before") == "update"))
+        | ((F.col("_c") == "set") & (previous == "update"))
         | (F.col("_c").isin("select", "exec", "with") & waiting)
-        | (dml & (F.col("_before") == "with"))
+        | (dml & (previous == "with"))
         | ((F.col("_c") == "select") & F.col("_prev_word").isin("union", "except", "intersect", "all"))
     )
-    c = c.withColumn("_cont", F.coalesce(cont, F.lit(False)))
-    c = c.withColumn("_n", F.sum((~F.col("_cont")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    of_with = F.first(F.when(dml, F.col("_c")), True)
-    named = c.groupBy("module", "_n").agg(F.min("i").alias("first"), F.min_by("_c", "i").alias("_k"), of_with.alias("_d")).filter("_n > 0")
-    heads = named.select("module", "first", F.when((F.col("_k") == "with") & F.col("_d").isNotNull(), F.col("_d")).otherwise(F.col("_k")).alias("kind"))
-    # Tokens belong to the last statement that began before them, semicolons to none; what begins with no keyword is `other`.
-    marked = t.join(heads.withColumnRenamed("first", "i"), ["module", "i"], "left").withColumn("_last", F.lag("token").over(order))
-    first = F.col("_last").isNull() | (F.col("_last") == ";")
-    marked = marked.withColumn("kind", F.when(first & (F.col("token") != ";"), F.coalesce("kind", F.lit("other"))).otherwise(F.col("kind")))
-    marked = marked.withColumn("_of", F.sum(F.col("kind").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    body_tokens = marked.filter((F.col("_of") > 0) & (F.col("token") != ";"))
-    spans = body_tokens.groupBy("module", "_of").agg(F.first("kind", True).alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
+    t = t.withColumn("_cont", F.when(F.col("_c").isNotNull(), F.coalesce(cont, F.lit(False))))
+    t = t.withColumn("_after", F.expr("lead(CASE WHEN _c IS NOT NULL THEN struct(_c, _cont) END) IGNORE NULLS OVER (PARTITION BY module ORDER BY i)"))
+    of_cte = F.when((F.col("_c") == "with") & F.col("_after._cont") & F.col("_after._c").isin(*DML[:-1]), F.col("_after._c"))
+    first = F.regexp_extract("token", r"(?s)^\s*+(\S++)", 1)
+    own = F.when(F.lower(first) == "execute", "exec").when(F.lower(first).isin(*STARTERS), F.lower(first)).otherwise("other")
+    begins = (F.col("_last").isNull() | (F.col("_last") == ";")) & (F.col("token") != ";")
+    head = F.when(F.col("broken"), own).when(F.col("_c").isNotNull() & ~F.col("_cont"), F.coalesce(of_cte, F.col("_c"))).when(begins, "other")
+    t = t.withColumn("_head", head)
+    t = t.withColumns({"index": F.sum(F.col("_head").isNotNull().cast("int")).over(to_here).cast("int") - 1, "kind": F.last("_head", True).over(to_here)})
+    return t.filter((F.col("index") >= 0) & (F.col("token") != ";")).select("module", "index", "kind", "i", "token", "word", "start", "end", "depth", "cases")
+
+
+def statements(modules: DataFrame, body: str = "body") -> DataFrame:
+    """module, index, kind, start, end, text of every statement; body[start:end] is its text."""
+    spans = statement_tokens(modules, body).groupBy("module", "index").agg(F.first("kind").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
     out = spans.join(modules.select("module", F.col(body).alias("_b")), "module")
-    return out.select("module", (F.col("_of") - 1).cast("int").alias("index"), "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.expr("substring(_b, cast(start AS int) + 1, cast(end - start AS int))").alias("text"))
+    return out.select("module", "index", "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.expr("substring(_b, cast(start AS int) + 1, cast(end - start AS int))").alias("text"))
 
 
 def module_body(modules: DataFrame, body: str = "body") -> DataFrame:
@@ -106,45 +134,100 @@ def view_query(views: DataFrame, body: str = "body") -> DataFrame:
     return inner.groupBy("module").agg(F.min_by("text", "index").alias("query"))
 
 
-_NAME = r"^(\[|\"|[A-Za-z_@#\u0080-￿])"
+_NAME = r"^(\[|\"|[A-Za-z_@#\u0080-\uffff])"
 
 
-def references(stmts: DataFrame) -> DataFrame:
-    """module, index, ref (read, write, exec, function), name: what each statement names after FROM, JOIN, INTO and the like.
+#: Words that begin a clause. A comma separates tables only where the last of them at its own bracket level is FROM.
+CLAUSES = "select from where group having order set values into union except intersect when then output option for insert update delete merge using exec execute declare".split()
+#: Words that stand where an alias could.
+_NO_ALIAS = "where on set join inner left right full cross outer group order union values select with output when using from having option for except intersect exec execute default pivot unpivot tablesample".split()
 
-    stmts: statements(). Aliases of UPDATE and DELETE targets, and names of CTEs, are looked up in the same statement. A
-    function counts where a query calls it as `schema.name(`; procedures that run a text (dynamic_sql) don't.
+
+def runs(t: DataFrame) -> DataFrame:
+    """t (statement_tokens()) with names of several parts as one row each.
+
+    name, size (tokens), is_name; word (null after a dot); after, after2, after_word and before, before2, word1, word2, word3:
+    names and words of the rows behind and in front, of the same statement. Names have at most four parts.
     """
-    as_modules = stmts.select(F.concat_ws("\u0001", "module", F.col("index").cast("string")).alias("module"), F.col("text").alias("body"), F.col("kind"))
-    t = tokens(as_modules, "body")
     order = Window.partitionBy("module").orderBy("i")
-    # A name's parts: runs of names and dots. Each run gets a number at its first part.
+    ahead = [F.col("token"), *(F.coalesce(F.lead("token", k).over(order), F.lit("")) for k in range(1, 8))]
+    t = t.withColumns({"_prev": F.lag("token").over(order), **{f"_t{k}": c for k, c in enumerate(ahead)}})
+
+    def rest(k: int, text: bool) -> Column:
+        more = (F.col(f"_t{k}") == ".") | (F.col(f"_t{k - 1}") == ".")
+        below = rest(k + 1, text) if k < 7 else F.lit("") if text else F.lit(0)
+        return F.when(more, F.concat(F.col(f"_t{k}"), below) if text else below + 1).otherwise("" if text else 0)
+
+    starts = ~F.coalesce((F.col("token") == ".") | (F.col("_prev") == "."), F.lit(False))
     is_name = F.col("token").rlike(_NAME) & ~F.col("token").rlike("^N'")
-    t = t.withColumns({"_name": is_name, "_prev": F.lag("token").over(order), "_next": F.lead("token").over(order)})
-    joined = F.coalesce((F.col("token") == ".") | (F.col("_prev") == "."), F.lit(False))
-    t = t.withColumn("_run", F.sum((~joined).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = t.groupBy("module", "_run").agg(F.min("i").alias("i"), F.max("i").alias("last"), F.first("word").alias("word"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x.token), "").alias("name"), F.bool_or("_name").alias("is_name"), F.count(F.lit(1)).alias("size"))
-    by_run = Window.partitionBy("module").orderBy("i")
-    lag = lambda c, n=1: F.lag(c, n).over(by_run)
-    runs = runs.withColumns({"w1": lag("word"), "w2": lag("word", 2), "n1": lag("name"), "n2": lag("name", 2), "after": F.lead("name").over(by_run), "after2": F.lead("name", 2).over(by_run), "after_word": F.lead("word").over(by_run)})
-    runs = runs.join(as_modules.select("module", "kind"), "module")
-    plain = F.col("is_name") & ~F.coalesce(F.col("word").isin(*STARTERS, "from", "join", "into", "top", "where", "on", "as", "table", "statistics"), F.lit(False))
-    read = F.col("w1").isin("from", "join", "using", "apply") & (F.col("w2").isNull() | (F.col("w2") != "delete") | (F.col("w1") != "from"))
-    write = F.col("w1").isin("into") | ((F.col("w1").isin("insert", "update", "merge", "delete")) & (F.col("kind") == F.col("w1"))) | ((F.col("w1") == "from") & (F.col("w2") == "delete")) | ((F.col("w1") == "table") & (F.col("w2") == "truncate"))
-    call = F.col("w1").isin("exec", "execute") | ((F.col("n1") == "=") & F.col("n2").startswith("@") & (lag("word", 3).isin("exec", "execute")))
-    function = (F.col("size") == 3) & (F.col("after") == "(") & F.col("kind").isin(*DML[:-1]) & (F.coalesce("w1", F.lit("")) != "statistics")
-    ref = F.when(write, "write").when(read, "read").when(call, "exec").when(function, "function")
-    found = runs.filter(plain).withColumn("ref", ref)
-    words = ("where", "on", "set", "join", "inner", "left", "right", "full", "cross", "outer", "group", "order", "union", "values", "select", "with", "output", "when", "using", "from", "having", "option", "for", "except", "intersect", "exec", "execute", "default")
-    alias = F.when(F.col("after_word") == "as", F.col("after2")).when(F.col("after").rlike(_NAME) & ~F.coalesce(F.col("after_word").isin(*words), F.lit(False)), F.col("after"))
-    named = found.filter("ref IS NOT NULL AND name NOT RLIKE '^@'").withColumn("alias", alias)
-    aliases = named.filter("ref = 'read' AND alias IS NOT NULL").select(F.col("module").alias("_m"), F.lower("alias").alias("_a"), F.col("name").alias("_real")).dropDuplicates(["_m", "_a"])
-    ctes = runs.filter("after_word = 'as' AND after2 = '(' AND (w1 = 'with' OR n1 = ',')").select(F.col("module").alias("_m"), F.lower("name").alias("_cte")).distinct()
-    out = named.join(aliases, (F.lower("name") == F.col("_a")) & (F.col("module") == F.col("_m")) & (F.col("ref") == "write"), "left").select("module", "ref", F.coalesce("_real", "name").alias("name"))
-    out = out.filter(~((F.col("ref") == "exec") & F.lower("name").rlike(rf"(^|[.\[\"])({'|'.join(DYNAMIC)})[\]\"]?$")))
-    out = out.join(ctes, (F.lower("name") == F.col("_cte")) & (F.col("module") == F.col("_m")), "left_anti")
-    split = F.split("module", "\u0001")
-    return out.select(split[0].alias("module"), split[1].cast("int").alias("index"), "ref", F.regexp_replace(F.regexp_replace("name", r'^[\["]|[\]"]$', ""), r'[\]"]\.[\["]|[\]"]\.|\.[\["]', ".").alias("name")).distinct()
+    r = t.filter(starts | F.col("_prev").isNull()).select("module", "index", "kind", "i", "token", "word", "depth", F.concat("token", F.when(is_name, rest(1, True)).otherwise("")).alias("name"), (F.when(is_name, rest(1, False)).otherwise(0) + 1).alias("size"), is_name.alias("is_name"))
+    near = F.struct("index", "word", "name")
+    r = r.withColumns({f"_b{k}": F.lag(near, k).over(order) for k in (1, 2, 3)} | {f"_a{k}": F.lead(near, k).over(order) for k in (1, 2)})
+    of = lambda c, part: F.when(F.col(f"{c}.index") == F.col("index"), F.col(f"{c}.{part}"))
+    return r.select("module", "index", "kind", "i", "token", "word", "depth", "name", "size", "is_name", of("_b1", "word").alias("word1"), of("_b2", "word").alias("word2"), of("_b3", "word").alias("word3"), of("_b1", "name").alias("before"), of("_b2", "name").alias("before2"), of("_a1", "name").alias("after"), of("_a2", "name").alias("after2"), of("_a1", "word").alias("after_word"))
+
+
+def plain_name(name: Column) -> Column:
+    """A name without the quotes around its parts."""
+    return F.regexp_replace(F.regexp_replace(name, r'^[\["]|[\]"]$', ""), r'[\]"]\.[\["]|[\]"]\.|\.[\["]', ".")
+
+
+def named_tables(r: DataFrame) -> DataFrame:
+    """module, index, kind, i, depth, ref, name, alias, clause (place of the clause word before): what statements name as tables or modules. r: runs().
+
+    Tables stand after FROM, JOIN, USING, APPLY and INTO, behind commas of a FROM clause, and after the words that write.
+    """
+    is_word = lambda c, *ws: F.coalesce(c.isin(*ws), F.lit(False))
+    plain = F.col("is_name") & ~is_word(F.col("word"), *STARTERS, "from", "join", "into", "top", "where", "on", "as", "table", "statistics", "inner", "left", "right", "full", "cross", "outer")
+    w1, w2 = F.col("word1"), F.col("word2")
+    read = is_word(w1, "from", "join", "using", "apply") & ~(is_word(w1, "from") & is_word(w2, "delete"))
+    write = is_word(w1, "into") | (is_word(w1, "insert", "update", "merge", "delete") & (F.col("kind") == w1)) | (is_word(w1, "from") & is_word(w2, "delete")) | (is_word(w1, "table") & is_word(w2, "truncate"))
+    call = is_word(w1, "exec", "execute") | ((F.col("before") == "=") & F.col("before2").startswith("@") & is_word(F.col("word3"), "exec", "execute"))
+    function = (F.col("size") == 3) & (F.col("after") == "(") & F.col("kind").isin(*DML[:-1]) & ~is_word(w1, "statistics")
+    listed = F.col("before") == ","
+    ref = F.when(plain, F.when(write, "write").when(read, "read").when(call, "exec").when(listed, F.when(function, "listed function").otherwise("listed")).when(function, "function"))
+    alias = F.when(F.col("after_word") == "as", F.col("after2")).when(F.col("after").rlike(_NAME) & ~is_word(F.col("after_word"), *_NO_ALIAS), F.col("after"))
+    opens, clause = F.col("token") == "(", is_word(F.col("word"), *CLAUSES)
+    marked = r.withColumns({"ref": ref, "_open": opens, "_clause": clause, "level": F.col("depth") + opens.cast("int")}).filter("ref IS NOT NULL OR _open OR _clause")
+    # A bracket begins a level anew.
+    level = Window.partitionBy("module", "index", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_open"), F.struct(F.lit("(").alias("word"), F.col("i").alias("i"))).when(F.col("_clause"), F.struct("word", F.col("i").alias("i"))), True).over(level)
+    marked = marked.withColumn("_in", last).filter("ref IS NOT NULL")
+    marked = marked.withColumn("ref", F.when(F.col("ref").startswith("listed"), F.when(F.col("_in.word") == "from", "read").when(F.col("ref") == "listed function", "function")).otherwise(F.col("ref")))
+    return marked.filter("ref IS NOT NULL").select("module", "index", "kind", "i", "depth", "ref", "name", alias.alias("alias"), F.col("_in.i").alias("clause"), "level")
+
+
+def _referenced(r: DataFrame) -> DataFrame:
+    ctes = r.filter("is_name AND after_word = 'as' AND after2 = '(' AND (word1 = 'with' OR before = ',')").select("module", "index", "kind", "i", "depth", F.lit("cte").alias("ref"), "name", F.lit(None).cast("string").alias("alias"))
+    named = named_tables(r).drop("clause", "level").unionByName(ctes)
+    whole = Window.partitionBy("module", "index")
+    folded = F.lower("name")
+    named = named.withColumns({
+        "_aliases": F.collect_list(F.when((F.col("ref") == "read") & F.col("alias").isNotNull() & ~F.col("name").startswith("@"), F.struct("i", F.lower("alias").alias("a"), F.col("name").alias("n")))).over(whole),
+        "_ctes": F.collect_set(F.when(F.col("ref") == "cte", folded)).over(whole),
+    }).filter("ref <> 'cte' AND name NOT RLIKE '^@'")
+    real = F.get(F.array_sort(F.filter("_aliases", lambda x: x.a == folded)), F.lit(0))["n"]
+    out = named.withColumn("name", F.when(F.col("ref") == "write", F.coalesce(real, "name")).otherwise(F.col("name"))).filter(~F.array_contains("_ctes", folded))
+    runs_text = (F.col("ref") == "exec") & F.lower("name").rlike(rf"(^|[.\[\"])({'|'.join(DYNAMIC)})[\]\"]?$")
+    return out.filter(~runs_text).select("module", "index", "ref", plain_name(F.col("name")).alias("name")).distinct()
+
+
+def module_references(modules: DataFrame, body: str = "body") -> DataFrame:
+    """module, index, ref (read, write, exec, function), name: what each statement of each body names.
+
+    Aliases of UPDATE and DELETE targets, and names of CTEs, are looked up in the same statement. A function counts where a
+    query calls it as `schema.name(`; procedures that run a text (dynamic_sql) don't. All from one shuffle by module.
+    """
+    return _referenced(runs(statement_tokens(modules, body)))
+
+
+def references(stmts: DataFrame) -> DataFrame:
+    """module_references() of statements that are at hand as texts; stmts: statements()."""
+    key = F.concat_ws("\u0001", "module", F.col("index").cast("string"), "kind")
+    t = _depths(tokens(stmts.select(key.alias("module"), F.col("text").alias("body"))))
+    parts = F.split("module", "\u0001")
+    found = _referenced(runs(t.select("module", F.lit(0).alias("index"), parts[2].alias("kind"), "i", "token", "word", "depth")))
+    return found.select(parts[0].alias("module"), parts[1].cast("int").alias("index"), "ref", "name")
 
 
 def dynamic_sql(stmts: DataFrame) -> DataFrame:

@@ -606,7 +606,7 @@ _NAMED = [(0, "read", "harbour.berth {k}"), (0, "read", "log.leg{k}"), (1, "read
 
 @query("SELECT 'm' || s_suppkey AS module, i AS index, ref, replace(name, '{k}', CAST(s_suppkey AS VARCHAR)) AS name FROM supplier, (" + values_sql(_NAMED, "i, ref, name") + ")")
 def sql_references(s, d):
-    return tsql.references(tsql.statements(_headed(s, d, [""], _NAMING))).select("module", "index", "ref", "name")
+    return tsql.module_references(_headed(s, d, [""], _NAMING)).select("module", "index", "ref", "name")
 
 
 #: A body that calls functions and runs texts.
@@ -628,7 +628,7 @@ def dynamic_sql(s, d):
 def parsed_dependencies(s, d):
     bodies = table(s, d, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("module"), F.concat(F.lit("INSERT INTO dbo.s"), F.col("o_custkey").cast("string"), F.lit(" (a) SELECT a FROM [Sales].[C"), F.col("o_custkey").cast("string"), F.lit("] x; SELECT 1 FROM sales.c"), F.col("o_custkey").cast("string")).alias("body"), ident("o", "o_orderkey").alias("owner"))
     known = table(s, d, "customer").select(ident("c", "c_custkey").alias("node"), F.lit("sales").alias("schema"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name")).unionByName(table(s, d, "supplier").select(ident("s", "s_suppkey").alias("node"), F.lit("dbo").alias("schema"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"))).withColumn("db", F.lit("shop"))
-    refs = tsql.references(tsql.statements(bodies.select("module", "body")))
+    refs = tsql.module_references(bodies.select("module", "body"))
     return lineage.parsed_dependencies(refs, bodies.select("module", "owner", F.lit("shop").alias("db")), known).select("source", "kind", "target")
 
 
