@@ -12,8 +12,11 @@ Counts come back to documents the same way: the vectors, and the pairs with more
 rows - by that rule fewer than 2^16 of them, however many documents there are - are sent to the tasks; rows of the other pairs,
 none of which can be a hot key, join their counts by shuffle.
 
-Both tokenizers cut before each single space between other characters, so a text is aligned word by word and a word that
-was seen before is looked up. Texts with other blanks at a space are aligned whole.
+Texts are aligned whole, many at once. Both tokenizers' token ends, as byte offsets over all texts of a batch, are two sorted arrays:
+where they meet a group ends, and each stretch between neighbours of their union is one link.
+
+The A file's ids have to follow its merges, as those of byte-level vocabularies of this kind do (checked when it is read); then the
+ids are ranks, and a rank-based encoder gives what the file's own gives.
 
 Defined cases: null and empty texts, and texts whose tokens don't give back the bytes of a space and the text, have no tokens: zeros
 and an empty digest; special tokens' strings are plain text; rows that share a doc_id, equal ones too, count as documents of their
@@ -27,7 +30,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from hashlib import sha256
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,7 @@ from .token_counts import byte_symbols
 
 #: Pairs with more than one in this many (document, pair) rows are sent to the tasks; there are fewer than this many.
 HOT_SHARE = 1 << 16
-_BITS = 32
-_WHOLE = re.compile(r"^\s| (\s|$)|▁")
+_BITS = 24
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -78,83 +80,86 @@ def identity_map(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array([by.get(token, -1) if token else -1 for token in a], dtype=np.int64)
 
 
-class Aligned(NamedTuple):
-    """What a stretch of text gives: counts, its groups as text, its links of the identity map (A ids) and the others (packed pairs)."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    same: list[int]
-    pairs: list[int]
-
-
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], identity: list[int]) -> Aligned:
-    """Two cuts of the same bytes side by side."""
-    groups, same, pairs = [], [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = (len(a_bytes[a[0]]), len(b_bytes[b[0]])) if a else (0, 0)
-    while i < len(a):
-        if identity[a[i]] == b[j]:
-            same.append(a[i])
-        else:
-            pairs.append(a[i] << _BITS | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            if i < len(a):
-                end_a += len(a_bytes[a[i]])
-                end_b += len(b_bytes[b[j]])
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-        elif end_a < end_b:
-            i += 1
-            end_a += len(a_bytes[a[i]])
-        else:
-            j += 1
-            end_b += len(b_bytes[b[j]])
-    return Aligned(len(a), len(b), len(groups), ";".join(groups), same, pairs)
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Entries of a byte-level tokenizers file as ranks: each merge has to give the next id after the single bytes'."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    entries, special = spec["model"]["vocab"], {t["content"] for t in spec.get("added_tokens", [])}
+    merged = [pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"]]
+    if any(entries[x + y] != 256 + k for k, (x, y) in enumerate(merged)):
+        raise ValueError(f"{path}: ids don't follow the merges")
+    symbols = byte_symbols()
+    return {bytes(symbols[c] for c in token): i for token, i in entries.items() if token not in special}
 
 
 class Aligner:
-    """Aligns texts; words that were seen are kept up to a limit, long ones aren't."""
+    """Both tokenizers, the bytes of their entries, and the map from A ids to B ids of the same bytes."""
 
-    limit, longest = 200_000, 64
-
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, pattern: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=read_ranks(a_path), special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = bytes_of_a(a_path), bytes_of_b(b_path)
-        self.identity = identity_map(self.a_bytes, self.b_bytes).tolist()
-        self.known: dict[str, Aligned | None] = {}
-
-    def whole(self, texts: list[str]) -> list[Aligned | None]:
-        """Each text after a space; None where a tokenizer doesn't give back its bytes."""
-        out: list[Aligned | None] = []
-        for text, a, b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            wanted, ids = f" {text}".encode(), a.ids
-            exact = b"".join(map(self.a_bytes.__getitem__, ids)) == wanted == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append(align(ids, b, self.a_bytes, self.b_bytes, self.identity) if exact else None)
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[list[Aligned]]:
-        """For each text the alignments of its parts, in order; none for a text without tokens."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        parts = [[] if not t else [t] if _WHOLE.search(t) else t.split(" ") for t in texts]
-        new = list({p for ps in parts for p in ps} - self.known.keys())
-        found = dict(zip(new, self.whole(new), strict=True)) if new else {}
-        self.known.update((p, x) for p, x in found.items() if len(p) <= self.longest)
-        get = lambda p: found[p] if p in found else self.known[p]
-        out = []
-        for text, ps in zip(texts, parts, strict=True):
-            each = list(map(get, ps))
-            if None in each and len(ps) > 1:  # a part alone proves nothing about the whole text
-                each = self.whole([text])
-            out.append([] if None in each else each)
+        self.a_length, self.b_length = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_lengths = self.a_length.tolist()
+        self.identity = identity_map(self.a_bytes, self.b_bytes)
+        # An id and what stands behind it: A ids with a comma or a bar, then B ids with a comma or a semicolon.
+        self.written = [f"{i}{end}".encode() for n, end in ((len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";")) for i in range(n)]
+
+    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of a space and each text; none for texts that are empty or whose bytes a tokenizer doesn't give back."""
+        a_ids: list[list[int]] = []
+        b_ids: list[list[int]] = []
+        for text in texts:
+            a = self.a.encode_ordinary(" " + text) if text else []
+            b = self.b.encode(text) if text else []
+            wanted = f" {text}".encode() if text else b""
+            # A's tokens are stretches of the text in order: as many bytes are the same bytes.
+            exact = sum(map(self.a_lengths.__getitem__, a)) == len(wanted) and b"".join(map(self.b_bytes.__getitem__, b)) == wanted
+            a_ids.append(a if exact else [])
+            b_ids.append(b if exact else [])
+        return a_ids, b_ids
+
+
+class Alignment:
+    """The alignment of many texts' tokens side by side. a_of and b_of: the text of each token; link_of, link_a, link_b: of each link."""
+
+    def __init__(self, a_ids: list[list[int]], b_ids: list[list[int]], aligner: Aligner):
+        self.n = len(a_ids)
+        self.a_of, self.a = _flat(a_ids)
+        self.b_of, self.b = _flat(b_ids)
+        a_end, b_end = np.cumsum(aligner.a_length[self.a]), np.cumsum(aligner.b_length[self.b])
+        size = int(a_end[-1]) + 1 if len(a_end) else 1
+        # By byte offset: whether a token ends there, and how many have ended up to there.
+        in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+        in_a[a_end], in_b[b_end] = True, True
+        shared = in_a & in_b
+        up_a, up_b, up_shared = (np.cumsum(x, dtype=np.int32) for x in (in_a, in_b, shared))
+        self.a_last, self.b_last = shared[a_end], shared[b_end]  # where a group ends
+        self.a_group, self.b_group = up_shared[a_end] - self.a_last, up_shared[b_end] - self.b_last
+        groups = np.flatnonzero(shared)
+        self.a_through, self.b_through = up_a[groups], up_b[groups]  # tokens through each group's end
+        ends = np.flatnonzero(in_a | in_b)
+        first, second = up_a[ends] - in_a[ends], up_b[ends] - in_b[ends]
+        self.link_of, self.link_a, self.link_b = self.a_of[first], self.a[first], self.b[second]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        return np.bincount(of, minlength=self.n)
+
+    def digests(self, aligner: Aligner) -> list[str]:
+        """sha256 of each text's groups, written as `a1,a2|b1;a3|b2`; empty for a text without tokens."""
+        na, nb = len(aligner.a_bytes), len(aligner.b_bytes)
+        shown = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        # Of a group first the A ids, then the B ids.
+        shown[np.arange(len(self.a)) + np.append(0, self.b_through)[self.a_group]] = self.a + na * self.a_last
+        shown[np.arange(len(self.b)) + self.a_through[self.b_group]] = self.b + 2 * na + nb * self.b_last
+        ends = np.cumsum(self.counts(self.a_of) + self.counts(self.b_of)).tolist()
+        listed, out, begin = shown.tolist(), [], 0
+        for end in ends:
+            out.append(sha256(b"".join(map(aligner.written.__getitem__, listed[begin:end]))[:-1]).hexdigest() if end > begin else "")
+            begin = end
         return out
 
 
@@ -164,50 +169,28 @@ _FIRST = "part int, doc_id long, n_a long, n_b long, n_groups long, n_links long
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The number of the list that each element is in, and all elements."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.repeat(np.arange(len(lists)), sizes), np.fromiter((x for xs in lists for x in xs), np.int64, int(sizes.sum()))
+    return np.repeat(np.arange(len(lists)), sizes), np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
 
 
 def _counted(of: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of each of n owners with how often each occurs: offsets by owner, values, counts."""
-    order = np.lexsort((values, of))
-    of, values = of[order], values[order]
-    begins = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (values[1:] != values[:-1])))) if len(of) else np.empty(0, np.int64)
-    counts = np.diff(np.append(begins, len(of)))
-    return np.searchsorted(of[begins], np.arange(n + 1)), values[begins], counts
-
-
-def _gathered(of: np.ndarray, which: np.ndarray, parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """For occurrences of parts (owner, number of the part) all their elements with owners."""
-    owner, flat = _flat(parts)
-    starts = np.searchsorted(owner, np.arange(len(parts) + 1))
-    sizes = np.diff(starts)[which]
-    total = int(sizes.sum())
-    at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[which], sizes)
-    return np.repeat(of, sizes), flat[at]
+    """Distinct values (of less than 48 bits) of each of n owners with how often each occurs: offsets by owner, values, counts."""
+    both, counts = np.unique(of << 48 | values, return_counts=True)
+    return np.searchsorted(both >> 48, np.arange(n + 1)), both & (1 << 48) - 1, counts
 
 
-def _first_rows(ids: list, aligned: list[list[Aligned]], vector: np.ndarray) -> pa.RecordBatch:
+def _first_rows(ids: list, texts: list[str | None], aligner: Aligner, vector: np.ndarray) -> pa.RecordBatch:
     """A row for each document; `vector` counts documents by A id of the identity map's pairs."""
-    n, numbers, parts = len(ids), {}, []
-    sizes = np.fromiter(map(len, aligned), np.int64, n)
-    which = np.empty(int(sizes.sum()), dtype=np.int64)
-    for k, x in enumerate(x for xs in aligned for x in xs):
-        number = numbers.get(id(x))
-        if number is None:
-            number = numbers[id(x)] = len(parts)
-            parts.append(x)
-        which[k] = number
-    of = np.repeat(np.arange(n), sizes)
-    same_at, same, same_n = _counted(*_gathered(of, which, [p.same for p in parts]), n)
-    pair_at, pairs, pairs_n = _counted(*_gathered(of, which, [p.pairs for p in parts]), n)
+    n = len(ids)
+    found = Alignment(*aligner.encode(texts), aligner)
+    is_same = aligner.identity[found.link_a] == found.link_b
+    same_at, same, same_n = _counted(found.link_of[is_same], found.link_a[is_same], n)
+    other = ~is_same
+    pair_at, pairs, pairs_n = _counted(found.link_of[other], found.link_a[other] << _BITS | found.link_b[other], n)
     vector += np.bincount(same, minlength=len(vector))
-    total = lambda values: np.bincount(of, np.array(values, dtype=np.float64)[which], n).astype(np.int64) if parts else np.zeros(n, np.int64)
-    links = total([len(p.same) + len(p.pairs) for p in parts])
-    digests = [sha256(";".join([x.groups for x in xs]).encode()).hexdigest() if xs else "" for xs in aligned]
     lists = lambda at, values, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+    whole = [pa.array(found.counts(of), pa.int64()) for of in (found.a_of, found.b_of, found.a_of[found.a_last], found.link_of)]
     columns = [
-        pa.array([None] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(total([p.n_a for p in parts])), pa.array(total([p.n_b for p in parts])),
-        pa.array(total([p.n_groups for p in parts])), pa.array(links), pa.array(digests, pa.string()),
+        pa.array([None] * n, pa.int32()), pa.array(ids, pa.int64()), *whole, pa.array(found.digests(aligner), pa.string()),
         lists(same_at, same.astype(np.int32), pa.int32()), lists(same_at, same_n, pa.int64()), lists(pair_at, pairs, pa.int64()), lists(pair_at, pairs_n, pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FIRST.split(", ")])
@@ -215,22 +198,30 @@ def _first_rows(ids: list, aligned: list[list[Aligned]], vector: np.ndarray) ->
 
 def _vector_row(vector: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(vector)
-    kinds = pa.schema([pa.field(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}[c.split()[1]]) for c in _FIRST.split(", ")])
-    row = dict.fromkeys(kinds.names) | {"part": 0, "same": at.tolist(), "same_n": vector[at].tolist()}
-    return pa.RecordBatch.from_pylist([row], schema=kinds)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([pa.field(c.split()[0], kinds[c.split()[1]]) for c in _FIRST.split(", ")])
+    row = dict.fromkeys(schema.names) | {"part": 0, "same": at.tolist(), "same_n": vector[at].tolist()}
+    return pa.RecordBatch.from_pylist([row], schema=schema)
 
 
-def links(documents: DataFrame, a_path: str, b_path: str, *, text: str = "text", at_once: int = 256) -> DataFrame:
+def links(documents: DataFrame, a_path: str, b_path: str, pattern: str, *, text: str = "text", at_once: int = 1 << 20, most: int = 1 << 14) -> DataFrame:
     """A row for each document (part null) with its distinct links and how often each occurs: `same`, A ids of the identity map's
-    pairs, and `pairs`, others as A id * 2^32 + B id. A task adds one row (part 0) with its vector of document counts in `same_n`."""
+    pairs, and `pairs`, others as A id * 2^24 + B id. A task adds one row (part 0) with its vector of document counts in `same_n`.
+
+    at_once: characters of text that are aligned together, or one text if it is longer; most: texts at once, at most.
+    """
     n = len(bytes_of_a(a_path))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, vector = Aligner(a_path, b_path), np.zeros(n, dtype=np.int64)
-        for whole in batches:
-            for first in range(0, len(whole), at_once):
-                batch = whole.slice(first, at_once)
-                yield _first_rows(batch.column(0).to_pylist(), aligner(batch.column(1).to_pylist()), vector)
+        aligner, vector = Aligner(a_path, b_path, pattern), np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            first = size = 0
+            for k, t in enumerate([*texts, None]):
+                if k == len(texts) or size > at_once or k - first == most:
+                    yield _first_rows(ids[first:k], texts[first:k], aligner, vector)
+                    first, size = k, 0
+                size += len(t or "")
         if vector.any():
             yield _vector_row(vector)
 
@@ -307,6 +298,6 @@ def query(documents: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str =
 
     a_path = public_tokenizers.path(a_file)
     folder = f"{shared_folder(documents.sparkSession)}/alignment-{uuid.uuid4().hex}"
-    found = links(documents, a_path, public_tokenizers.path(b_file)).withColumn("uid", F.monotonically_increasing_id())
+    found = links(documents, a_path, public_tokenizers.path(b_file), public_tokenizers.PATTERN).withColumn("uid", F.monotonically_increasing_id())
     found.write.parquet(f"{folder}/links")
     return scored(documents.sparkSession.read.parquet(f"{folder}/links"), len(bytes_of_a(a_path)), folder, hot_share)

@@ -201,25 +201,36 @@ def test_alignment_of_odd_tables(odd):
     assert token_alignment.query(odd.filter("text IS NULL")).drop("doc_id").distinct().collect() == [(0, 0, 0, 0, 0, 0, "")]
 
 
-def test_words_align_as_in_whole_texts():
-    aligner = token_alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+def test_encoders_and_bytes_agree_with_the_files():
+    from tokenizers import Tokenizer
+
+    a_path, b_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligner = token_alignment.Aligner(a_path, b_path, public_tokenizers.PATTERN)
+    tok = Tokenizer.from_file(a_path)
+    tok.encode_special_tokens = True
     rng = random.Random(8)
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "the", "B", " ", " ", "  ", "\n", "\t", "é", "▁", "9", ".", "'s", "日", "\x00", " ", "<s>", "\u0085"]) for _ in range(rng.randint(1, 14)))
-        parts, whole = aligner([text])[0], aligner.whole([text])[0]
-        if whole is None:
-            assert parts == []
-        else:
-            assert ";".join(p.groups for p in parts) == whole.groups and sorted(x for p in parts for x in p.same) == sorted(whole.same) and sorted(x for p in parts for x in p.pairs) == sorted(whole.pairs)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "the", "B", " ", " ", "  ", "\n", "\t", "é", "9", ".", "'s", "日", "\x00", "\u00a0", "<s>", "\u0085", "<|endoftext|>", "\u2581"]) for _ in range(rng.randint(1, 14)))
+        a, b = (x[0] for x in aligner.encode([text]))
+        assert bool(a) == bool(b) == ("\u2581" not in text) and (not a or a == tok.encode(" " + text, add_special_tokens=False).ids)
+
+
+class Small:
+    """A hand-made pair of vocabularies, in place of an Aligner."""
+
+    a_bytes, b_bytes = [b" ", b"x", b"xy", b"y"], [b" ", b"x", b" x", b"yx", b"y"]
+    a_length, b_length = np.array([1, 1, 2, 1]), np.array([1, 1, 2, 2, 1])
+    written = [f"{i}{end}".encode() for n, end in ((4, ","), (4, "|"), (5, ","), (5, ";")) for i in range(n)]
 
 
-def test_a_pair_of_the_map_inside_another_group_counts_once(spark):
-    a, b = [b" ", b"x", b"xy", b"y"], [b" ", b"x", b" x", b"yx", b"y"]
-    identity = token_alignment.identity_map(a, b).tolist()
-    found = token_alignment.align([0, 1, 3, 1], [0, 1, 3], a, b, identity)
-    assert found.groups == "0|0;1|1;3,1|3" and found.same == [0, 1] and len(found.pairs) == 2
-    inner = token_alignment.align([0, 1, 1], [2, 1], a, b, identity)
-    assert inner.groups == "0,1|2;1|1" and inner.same == [1]
+def test_a_pair_of_the_map_inside_another_group():
+    identity = token_alignment.identity_map(Small.a_bytes, Small.b_bytes)
+    assert identity.tolist() == [0, 1, -1, 4]
+    found = token_alignment.Alignment([[0, 1, 3, 1], [], [0, 1, 1]], [[0, 1, 3], [], [2, 1]], Small)
+    assert list(zip(found.link_of.tolist(), found.link_a.tolist(), found.link_b.tolist())) == [(0, 0, 0), (0, 1, 1), (0, 3, 3), (0, 1, 3), (2, 0, 2), (2, 1, 2), (2, 1, 1)]
+    assert found.digests(Small) == [sha256(b"0|0;1|1;3,1|3").hexdigest(), "", sha256(b"0,1|2;1|1").hexdigest()]
+    inner = token_alignment.Alignment([[2, 1]], [[1, 4, 1]], Small)  # x and y apart in B, together in A
+    assert inner.counts(inner.a_of[inner.a_last]).tolist() == [2] and inner.counts(inner.link_of).tolist() == [3]
 
 
 def test_queries_take_whole_tables(spark):
