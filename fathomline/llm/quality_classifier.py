@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, crc_bucket, sample
 
-_EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
+_MARKS = re.compile(r"\W*+")
 
 
 class Shapes(dict):
@@ -42,7 +42,9 @@ class Shapes(dict):
     def __missing__(self, word: str) -> str:
         if len(self) >= self.limit:
             self.clear()
-        before, core, after = _EDGE.match(word).groups()
+        first = _MARKS.match(word).end()  # two scans, each linear: a word may be a million marks
+        last = len(word) - _MARKS.match(word[::-1]).end() if first < len(word) else first
+        before, core, after = word[:first], word[first:last], word[last:]
         case = "-" if not core else "9" if core[0].isdigit() else "A" if core.isupper() and len(core) > 1 else "Aa" if core[0].isupper() else "a"
         shape = self[word] = f"\n{before[:3]}{case}{min(len(core) // 6, 2) if core else ''}{after[:3]}"
         return shape
