@@ -4,7 +4,8 @@ Two histograms of a text are compared with language references by Jensen-Shannon
 how often the common words of the reference languages occur. Every language that the table names for `least_documents`
 documents or more has a reference: its common words are the `common` words in most of its documents (ties: the smaller
 word), and its histograms are the sums of all its documents'. A document is kept if, for the nearest language, both
-distances stay below their limits. Texts of fewer than `least_words` words aren't judged by divergence (a short text's
+distances stay below their limits. A document in a language without a reference isn't judged by those of other languages: only
+the base rules hold for it. Texts of fewer than `least_words` words aren't judged by divergence (a short text's
 histogram says little), only by the base rules.
 
 Words are counted per language with partial sums before any shuffle; histograms are made inside each row, only their sums
@@ -12,7 +13,7 @@ per language are shuffled, and a row for each reference language goes to the dri
 number of reference languages.
 
 Defined cases: null and empty texts have no words and fail the base rules; a language without enough documents has no
-reference; without any reference only the base rules hold; repeated rows give equal results; documents without a language
+reference, and its documents that pass the base rules stay; without any reference only the base rules hold; repeated rows give equal results; documents without a language
 are compared like all others; other columns but the text are kept, whatever they are called, except that results replace
 columns of their own names.
 """
@@ -161,7 +162,8 @@ def judge(documents: DataFrame, *, text: str = "text", lang: str = "lang", least
         df = df.withColumn("near", F.array_min(F.array(*each)))
     else:
         df = df.withColumn("near", F.expr("named_struct('worst', 0D, 'classes', 0D, 'words', 0D)"))
-    kept = ~F.col("base_failed") & ((F.col("n_words") < least_words) | (F.col("near.worst") <= 1))
+    foreign = F.coalesce(~F.col("lang").isin(list(shared)), F.lit(False))
+    kept = ~F.col("base_failed") & ((F.col("n_words") < least_words) | foreign | (F.col("near.worst") <= 1))
     df = df.withColumns({"js_classes": F.col("near.classes"), "js_words": F.col("near.words"), "kept": kept})
     return _unpacked(df, documents, text, [*BASE, "js_classes", "js_words", "kept"])
 
@@ -195,5 +197,5 @@ q AS (SELECT lang, part, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, part)
 js AS (SELECT r, lang, part, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0)) AS j FROM p JOIN q USING (part, k) GROUP BY r, lang, part),
 near AS (SELECT r, min(worst) AS worst FROM (SELECT r, lang, max(j / CASE part WHEN 'classes' THEN {LIMITS["classes"]} ELSE {LIMITS["words"]} END) AS worst FROM js GROUP BY r, lang) GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, NOT base_failed AND coalesce(worst, 0) <= 1 AS kept FROM b LEFT JOIN near USING (r)
+  base_failed, NOT base_failed AND (coalesce(worst, 0) <= 1 OR coalesce(lang NOT IN (SELECT lang FROM langs), false)) AS kept FROM b LEFT JOIN near USING (r)
 """
