@@ -6,9 +6,12 @@ probabilities; so words of a text that switches between languages are labelled o
 with most expected words, and its share of the words is the score.
 
 Learned in numpy on the driver from a bounded sample of labelled rows, chosen by a hash: at most `per_language` documents of
-each language, and `max_rows` of all of them (fewer of each language if there are very many, but one at least). All words
-of these documents are learned from, in runs of `run` words. Runs of several languages are spliced into training sequences,
-so that switches are seen. Labelling is one narrow pass over whole texts.
+each language, and `max_rows` of all of them (fewer of each language if there are very many, but one at least). Their texts are cut
+into runs of `run` words (or `letters` letters, where words are very long), of which at most `per_language_runs` of a language,
+again chosen by a hash over whole texts, go to the driver. Each of these runs is learned from exactly once in a step: runs
+of several languages are spliced, in shuffled order, into training sequences, so that switches are seen. The lexicon holds the
+`lexicon` (100) commonest words of a language; features of fewer than `least` (3) different words are left out. Labelling is
+one narrow pass over whole texts and all words.
 
 Defined cases: text that is null or has no letter is `und` with score 0; without any labelled row everything is `und`;
 ties go to the first language in order; repeated rows get equal results and count once in learning; other columns are not
@@ -100,6 +103,38 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
     return p / p.sum(axis=1, keepdims=True), log_z, pairs
 
 
+def splices(runs: list[tuple[str, list[str]]], langs: list[str], rng: np.random.Generator, sequence: int, stay: float) -> list[list[tuple[str, list[str]]]]:
+    """All runs, each once, in sequences of `sequence` runs (the last may be shorter) that now and then switch language."""
+    waiting = {lang: [ws for x, ws in runs if x == lang] for lang in langs}
+    for ws in waiting.values():
+        rng.shuffle(ws)
+    left, out, lang = [x for x in langs if waiting[x]], [], ""
+    while left:
+        parts: list[tuple[str, list[str]]] = []
+        while left and len(parts) < sequence:
+            if not parts or lang not in left or rng.random() > stay:
+                lang = left[rng.integers(len(left))]
+            parts.append((lang, waiting[lang].pop()))
+            if not waiting[lang]:
+                left.remove(lang)
+        out.append(parts)
+    return out
+
+
+def runs_of(text: str | None, run: int, letters: int) -> list[list[str]]:
+    """The words of a text in runs of `run` words; a run ends earlier where it would have more than `letters` letters, and a longer word is cut."""
+    out: list[list[str]] = [[]]
+    size = 0
+    for w in words(text):
+        for part in (w[i : i + letters] for i in range(0, len(w), letters)):
+            if out[-1] and (len(out[-1]) == run or size + len(part) > letters):
+                out.append([])
+                size = 0
+            out[-1].append(part)
+            size += len(part)
+    return out if out[-1] else []
+
+
 def fit(runs: list[tuple[str, list[str]]], *, lexicon: int = 100, least: int = 3, sequence: int = 4, stay: float = 0.6, steps: int = 60, rate: float = 0.15, l2: float = 1e-5, seed: int = 0) -> CRF | None:
     """runs: (language, words). Maximises the conditional likelihood of spliced sequences by Adam."""
     runs = [r for r in runs if r[1]]
@@ -115,16 +150,7 @@ def fit(runs: list[tuple[str, list[str]]], *, lexicon: int = 100, least: int = 3
         for w, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:lexicon]:
             lexicons.setdefault(w, []).append(lang)
     # Sequences: mostly two or more runs of one language before a switch.
-    by_lang = {lang: [ws for x, ws in runs if x == lang] for lang in langs}
-    spliced = []
-    for _ in range(len(runs) // sequence + 1):
-        lang, parts = langs[rng.integers(len(langs))], []
-        for _ in range(sequence):
-            if rng.random() > stay:
-                lang = langs[rng.integers(len(langs))]
-            ws = by_lang[lang][rng.integers(len(by_lang[lang]))]
-            parts.append((lang, ws))
-        spliced.append(parts)
+    spliced = splices(runs, langs, rng, sequence, stay)
     spliced.sort(key=lambda ps: -sum(len(ws) for _, ws in ps))
     flat = [(lang, w) for ps in spliced for lang, ws in ps for w in ws]
     lengths = np.array([sum(len(ws) for _, ws in ps) for ps in spliced])
@@ -199,8 +225,8 @@ class Labeller:
             yield from zip(part, np.split(p, np.cumsum(lengths)[:-1]), strict=True)
 
 
-def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_language: int = 150, max_rows: int = 3000, run: int = 12) -> list[tuple[str, list[str]]]:
-    """(language, words) from labelled documents outside the held-out fold: all words of the sampled documents, in runs."""
+def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_language: int = 150, max_rows: int = 3000, run: int = 12, letters: int = 2000, per_language_runs: int = 10_000) -> list[tuple[str, list[str]]]:
+    """(language, words): runs of words of sampled labelled documents outside the held-out fold. At most min(n, max_rows) languages' runs, each of at most `letters` letters, are sent to the driver."""
     known = documents.filter(F.col("lang").isNotNull() & (crc_bucket("doc_id", fold) != held)).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").count()
     n = counts.count()
@@ -218,11 +244,12 @@ def sampled_runs(documents: DataFrame, *, fold: int = 4, held: int = 2, per_lang
         for batch in batches:
             out = []
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                ws = words(text)
-                out += [(lang, ws[i : i + run]) for i in range(0, len(ws), run)]
+                out += [(lang, ws) for ws in runs_of(text, run, letters)]
             yield pd.DataFrame(out, columns=["lang", "ws"])
 
-    return sorted((r.lang, list(r.ws)) for r in chosen.select("lang", "text").mapInPandas(cut, "lang string, ws array<string>").collect())
+    each = chosen.select("lang", "text").mapInPandas(cut, "lang string, ws array<string>")
+    ranked = each.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("ws"), "ws")))
+    return sorted((r.lang, list(r.ws)) for r in ranked.filter(F.col("k") <= per_language_runs).select("lang", "ws").collect())
 
 
 def label(documents: DataFrame, model: CRF | None, text: str = "text") -> DataFrame:
