@@ -9,8 +9,8 @@ The vocabulary is a public byte-level one. Its pieces are taken as byte strings,
 end, so every single byte is a piece and every word can be covered; with a vocabulary that lacks bytes, a word that it can't
 cover counts as one unknown token.
 
-Words of a batch run through the automaton side by side, one numpy step for each byte position; words seen before are
-looked up. Defined cases: null and empty texts have no words and tokens; words of any length are followed to their end;
+Words of a batch run through the automaton side by side, one numpy step for each byte position; those of more than `long` bytes
+go alone, byte by byte, so that one very long word costs no array step for each of its bytes. Words seen before are looked up. Defined cases: null and empty texts have no words and tokens; words of any length are followed to their end;
 repeated rows count alike; other columns are not read.
 """
 
@@ -98,8 +98,34 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.targets[at], -1)
 
+    #: Bytes of a word that goes with others.
+    long = 64
+
+    def count(self, word: bytes) -> int:
+        """Pieces of one word; -1 where the vocabulary can't cover it."""
+        if not hasattr(self, "_edges"):
+            self._edges, self._links = dict(zip(self.keys.tolist(), self.targets.tolist(), strict=True)), (self.fail.tolist(), self.pops.tolist())
+        edges, (fail, pops) = self._edges.get, self._links
+        node = total = 0
+        for symbol in word:
+            while (to := edges(node * 256 + symbol)) is None:
+                total += pops[node]
+                node = fail[node]
+                if node < 0:
+                    return -1
+            node = to
+        while node > 0:
+            total += pops[node]
+            node = fail[node]
+        return -1 if node < 0 else total
+
     def counts(self, ws: list[bytes]) -> np.ndarray:
         """Pieces of each word; -1 where the vocabulary can't cover it."""
+        if any(len(w) > self.long for w in ws):
+            out = np.array([self.count(w) if len(w) > self.long else 0 for w in ws], dtype=np.int64)
+            short = [i for i, w in enumerate(ws) if len(w) <= self.long]
+            out[short] = self.counts([ws[i] for i in short])
+            return out
         order = sorted(range(len(ws)), key=lambda i: -len(ws[i]))
         lengths = np.array([len(ws[i]) for i in order], dtype=np.int64)
         flat = np.frombuffer(b"".join(ws[i] for i in order), np.uint8).astype(np.int64)
