@@ -140,9 +140,10 @@ def _by_join(documents: DataFrame, text: str, marked: DataFrame, count: int, len
     spans = F.collect_set(F.struct(F.col("i").alias("start"), F.col("n").alias("length")))
     of_key = verified.groupBy("_key", "_salt").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     row, rest = fresh(documents, "row"), [F.col(f"`{c}`") for c in documents.columns]
-    joined = documents.select(F.struct(*rest).alias(row), *key).join(of_key, ["_key", "_salt"], "left")
+    # The words are counted before the join: where the texts aren't asked for, as in query(), they aren't moved.
+    joined = documents.select(F.struct(*rest).alias(row), F.size(words(F.col(f"`{text}`"))).alias("_size"), *key).join(of_key, ["_key", "_salt"], "left")
     empty = lambda c: F.coalesce(c, F.array().cast(of_key.schema[c].dataType)).alias(c)
-    found = F.struct(F.size(words(F.col(f"{row}.`{text}`"))).alias("n"), empty("spans"), empty("items"))
+    found = F.struct(F.col("_size").alias("n"), empty("spans"), empty("items"))
     return joined.select(f"{row}.*", found.alias(output))
 
 
@@ -196,8 +197,15 @@ def without_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     gaps, own = F.split(whole, own_word, -1), F.regexp_extract_all(whole, F.lit(own_word), F.lit(0))
     found = marked_documents(documents, benchmark, name, text=text, **options)
 
+    def marked(hit: Column) -> Column:
+        """For each word whether it is hit, from sorted places: a piece for each hit and what lies before it."""
+        no = lambda n: F.array_repeat(F.lit(False), n.cast("int"))
+        before = lambda k: F.coalesce(F.get(hit, k - 1), F.lit(-1))
+        return F.concat(F.flatten(F.transform(hit, lambda i, k: F.concat(no(i - before(k) - 1), F.array(F.lit(True))))), no(F.size(own) - before(F.size(hit)) - 1))
+
     def rest(hit: Column) -> Column:
-        kept = F.transform(own, lambda w, i: F.when(F.array_contains(hit, i), F.lit("")).otherwise(w))
+        marks = let(F.array_sort(hit), marked)
+        kept = F.zip_with(own, marks, lambda w, gone: F.when(gone, F.lit("")).otherwise(w))
         joined = F.array_join(F.zip_with(gaps, F.concat(kept, F.array(F.lit(""))), lambda g, w: F.concat(g, w)), "")
         return F.when(F.size(hit) > 0, joined).otherwise(whole)
 
