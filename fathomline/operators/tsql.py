@@ -160,11 +160,11 @@ def runs(t: DataFrame) -> DataFrame:
 
     starts = ~F.coalesce((F.col("token") == ".") | (F.col("_prev") == "."), F.lit(False))
     is_name = F.col("token").rlike(_NAME) & ~F.col("token").rlike("^N'")
-    r = t.filter(starts | F.col("_prev").isNull()).select("module", "index", "kind", "i", "token", "word", "depth", F.concat("token", F.when(is_name, rest(1, True)).otherwise("")).alias("name"), (F.when(is_name, rest(1, False)).otherwise(0) + 1).alias("size"), is_name.alias("is_name"))
+    r = t.filter(starts | F.col("_prev").isNull()).select("module", "index", "kind", "i", "token", "word", "depth", "cases", F.concat("token", F.when(is_name, rest(1, True)).otherwise("")).alias("name"), (F.when(is_name, rest(1, False)).otherwise(0) + 1).alias("size"), is_name.alias("is_name"))
     near = F.struct("index", "word", "name")
     r = r.withColumns({f"_b{k}": F.lag(near, k).over(order) for k in (1, 2, 3)} | {f"_a{k}": F.lead(near, k).over(order) for k in (1, 2)})
     of = lambda c, part: F.when(F.col(f"{c}.index") == F.col("index"), F.col(f"{c}.{part}"))
-    return r.select("module", "index", "kind", "i", "token", "word", "depth", "name", "size", "is_name", of("_b1", "word").alias("word1"), of("_b2", "word").alias("word2"), of("_b3", "word").alias("word3"), of("_b1", "name").alias("before"), of("_b2", "name").alias("before2"), of("_a1", "name").alias("after"), of("_a2", "name").alias("after2"), of("_a1", "word").alias("after_word"))
+    return r.select("module", "index", "kind", "i", "token", "word", "depth", "cases", "name", "size", "is_name", of("_b1", "word").alias("word1"), of("_b2", "word").alias("word2"), of("_b3", "word").alias("word3"), of("_b1", "name").alias("before"), of("_b2", "name").alias("before2"), of("_a1", "name").alias("after"), of("_a2", "name").alias("after2"), of("_a1", "word").alias("after_word"))
 
 
 def plain_name(name: Column) -> Column:
@@ -226,7 +226,7 @@ def references(stmts: DataFrame) -> DataFrame:
     key = F.concat_ws("\u0001", "module", F.col("index").cast("string"), "kind")
     t = _depths(tokens(stmts.select(key.alias("module"), F.col("text").alias("body"))))
     parts = F.split("module", "\u0001")
-    found = _referenced(runs(t.select("module", F.lit(0).alias("index"), parts[2].alias("kind"), "i", "token", "word", "depth")))
+    found = _referenced(runs(t.select("module", F.lit(0).alias("index"), parts[2].alias("kind"), "i", "token", "word", "depth", "cases")))
     return found.select(parts[0].alias("module"), parts[1].cast("int").alias("index"), "ref", "name")
 
 

@@ -715,4 +715,4 @@ def cascade_rules_scope(s, d):
     return _rules(s).scope
 
 
-from . import snapshot_queries  # noqa: E402, F401  (it registers its queries here)
+from . import scan_queries, snapshot_queries, sql_queries  # noqa: E402, F401  (they register their queries here)

@@ -1,4 +1,4 @@
-"""A scan from rowsets to a stored snapshot: closure, what belongs to it, keys, then one write for each table."""
+"""A scan from rowsets to a stored snapshot: closure, what belongs to it, ids, lineage, then one write for each table."""
 
 from __future__ import annotations
 
@@ -8,32 +8,17 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.scalar import display, object_key
-from ..operators.cascade import Closure, compute_closure, key
+from ..operators.cascade import compute_closure
 from ..sources.catalog import attempted
 from ..sources.schemas import SCHEMAS, conformed
 from ..sources.store import Store
+from . import snapshot
 
 
-def members(rows: DataFrame, closure: Closure, *ids: str) -> DataFrame:
-    """rows whose objects (columns in ids, with db) are all in the closure."""
-    for i in ids:
-        rows = rows.join(closure.scope.select(F.col("key").alias("_m")), key(F.col("db"), F.col(i)) == F.col("_m"), "left_semi")
-    return rows
-
-
-def snapshot(connection: str, objects: DataFrame, closure: Closure) -> dict[str, DataFrame]:
-    """The closure as tables: own objects with their keys, external ones, and edges between keys."""
-    scoped = objects.join(closure.scope.withColumnRenamed("key", "_k"), key(F.col("db"), F.col("object_id")) == F.col("_k"))
-    named = scoped.select(F.col("_k").alias("node"), object_key(F.lit(connection), F.col("db"), F.col("schema"), F.col("name")).alias("object_key"), "db", "schema", "name", "kind", "scope")
-    outside = closure.externals.select(F.col("external_key").alias("node"), F.col("external_key").alias("object_key"), "db", "schema", display(F.col("server"), F.col("db"), F.col("schema"), F.col("name")).alias("name"), F.lit("external").alias("kind"), F.lit("external").alias("scope"))
-    edges = closure.edges.select("source", F.coalesce("target", "external_key").alias("target"), "kind", "resolution", "minor_id", "referenced_name")
-    return {"objects": named.unionByName(outside), "dependencies": edges, "externals": closure.externals}
-
-
-PHASES = ("cascade", "extract", "stats", "finalize")
+PHASES = ("cascade", "extract", "stats", "lineage", "finalize")
+#: Tables of every scan; those without rows are written all the same.
+TABLES = tuple(t for t in SCHEMAS if t not in ("scans", "annotations", "tags", "tag_assignments", "meta"))
 
 
 class Progress:
@@ -48,8 +33,10 @@ class Progress:
         self.log.append(f"{phase} began")
 
 
-def scan(store: Store, number: int, connection: str, required: dict[str, DataFrame], optional: dict[str, Callable[[], DataFrame]], selected: DataFrame, progress: Progress | None = None, **options) -> list[str]:
-    """Writes a scan and returns its warnings. required: objects, dependencies, foreign_keys, triggers, synonyms; optional: statistics, each a function.
+def scan(store: Store, number: int, connection: str, required: dict[str, DataFrame], optional: dict[str, Callable[[], DataFrame]], selected: DataFrame, progress: Progress | None = None, details: dict[str, DataFrame] | None = None, lineage: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None, **options) -> list[str]:
+    """Writes a scan and returns its warnings. required: objects, dependencies, foreign_keys, triggers, synonyms; optional: statistics, each a function; details: any of databases, columns,
+    parameters, indexes, index_columns, foreign_keys, foreign_key_columns, check_constraints, modules, descriptions; lineage: a
+    function of the stored objects and columns that gives column edges and issues.
 
     Only one scan of a connection runs at a time, from its first job on. Its state is `running` until it is `succeeded`, `failed` or
     `cancelled`. A family of statistics that can't be read, also one that fails only while it is written, gives a warning and
@@ -65,18 +52,38 @@ def scan(store: Store, number: int, connection: str, required: dict[str, DataFra
             progress.enter("cascade")
             closure = compute_closure(required["objects"], required["dependencies"], required["foreign_keys"], required["triggers"], required["synonyms"], selected, **options)
             progress.enter("extract")
-            for name, rows in snapshot(connection, required["objects"], closure).items():
-                store.write_table(number, name, conformed(rows, name))
+            details = details or {}
+            found = snapshot.objects(connection, required["objects"], closure, details.get("modules"), details.get("descriptions"))
+            put = lambda name, rows: (store.write_table(number, name, conformed(rows, name)), written.add(name))
+            written: set[str] = set()
+            put("objects", found)
+            found = store.read("objects", number)
+            if "databases" in details:
+                put("databases", details["databases"])
+            tables = snapshot.keyed({k: v for k, v in details.items() if k not in ("databases", "modules", "descriptions")}, found, closure)
+            for name, rows in tables.items():
+                put(name, rows)
             progress.enter("stats")
 
             def stored(name: str, load: Callable[[], DataFrame]) -> DataFrame:
                 rows = load()
-                store.write_table(number, name, conformed(members(rows, closure, "object_id"), name))
+                if name == "index_usage" and "indexes" in tables:
+                    put(name, snapshot.usage(rows, tables["indexes"]))
+                else:
+                    put(name, snapshot.keyed({name: rows}, found, closure)[name])
                 return rows
 
             _, warnings = attempted(**{name: partial(stored, name, load) for name, load in optional.items()})
+            progress.enter("lineage")
+            if lineage:
+                edges, issues = lineage(found, store.read("columns", number) if "columns" in written else spark.createDataFrame([], SCHEMAS["columns"]))
+                put("column_lineage", edges)
+                put("lineage_issues", issues)
             progress.enter("finalize")
-            store.write_table(number, "warnings", spark.createDataFrame([(w,) for w in warnings], SCHEMAS["warnings"]))
+            put("warnings", spark.createDataFrame([(w,) for w in warnings], SCHEMAS["warnings"]))
+            for name in TABLES:
+                if name not in written:
+                    put(name, spark.createDataFrame([], SCHEMAS[name]))
         except BaseException as error:
             spark.removeTag(f"scan-{number}")
             cancelled = isinstance(error, KeyboardInterrupt) or "cancelled" in str(error).lower()
