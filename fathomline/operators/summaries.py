@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import CONFIDENCE
 from .graph import EDGE_KINDS
+from .keys import dense_ids
 from .reads import page
 
 FUNCTIONS = ("scalar_function", "inline_tvf", "table_function", "clr_function")
-#: sort name -> column, for each grid; the first is the default.
+# Sort names of each grid and their columns; the first is the default.
 TABLE_SORTS = {"reserved_kb": "reserved_kb", "rows": "row_count", "data_kb": "data_kb", "index_kb": "index_kb", "size": "reserved_kb", "partitions": "partition_count", "name": "_name"}
 INDEX_SORTS = {"updates": "updates", "seeks": "seeks", "scans": "scans", "lookups": "lookups", "name": "_index", "table": "_name"}
 PROC_SORTS = {"exec_count": "executions", "total_ms": "total_elapsed", "avg_ms": "avg_elapsed", "max_ms": "max_elapsed", "cpu": "total_cpu", "reads": "total_reads", "last_exec": "last_run", "name": "_name"}
 MISSING_SORTS = {"improvement": "improvement", "seeks": "seeks", "impact": "impact", "cost": "cost", "name": "_name"}
 OBJECT_SORTS = {"name": "_name", "kind": "kind", "schema": "_schema", "rows": "row_count", "size": "reserved_kb", "execs": "executions", "modified": "modified"}
+# End of fixed values.
 
 
 def _count(test: Column | None = None) -> Column:
@@ -144,11 +146,17 @@ LONGEST_BODY = 500_000
 
 
 def analysis_plan(modules: DataFrame) -> DataFrame:
-    """modules (node, kind, schema, name, definition) with `place` (their order) and `status`: skipped if the body is too long, else pending."""
+    """node, kind, schema, name, place (rank of the kind, number within it) and status of modules (with definition): skipped if the body is too long, else pending.
+
+    Bodies stay where they are read, only their lengths go on; the order of all modules is made by ranges, not by one task a kind.
+    """
     rank = F.array_position(F.array(*map(F.lit, ANALYSIS_ORDER)), F.col("kind"))
-    order = Window.partitionBy("kind").orderBy(F.coalesce("schema", F.lit("")), "name", "node")
     status = F.when(F.length("definition") > LONGEST_BODY, "skipped").otherwise("pending")
-    return modules.filter(rank > 0).withColumns({"place": F.struct(rank.alias("kind"), F.row_number().over(order).alias("n")), "status": status})
+    slim = modules.select("node", "kind", "schema", "name", rank.alias("_rank"), status.alias("status")).filter("_rank > 0")
+    placed = dense_ids(slim, "_rank", F.coalesce("schema", F.lit("")), "name", "node", name="_id")
+    first = placed.groupBy("_rank").agg(F.min("_id").alias("_first"))
+    out = placed.join(F.broadcast(first), "_rank")  # a row a kind
+    return out.select("node", "kind", "schema", "name", F.struct(F.col("_rank").alias("kind"), (F.col("_id") - F.col("_first") + 1).cast("int").alias("n")).alias("place"), "status")
 
 
 def module_status(modules: DataFrame, issues: DataFrame) -> DataFrame:

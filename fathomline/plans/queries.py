@@ -53,10 +53,8 @@ def src_conditional_agg(s, d):
  FROM events GROUP BY user_id, event_type""")
 def src_union_exec_stats(s, d):
     e = table(s, d, "events")
-    kinds = sorted(r.event_type for r in e.select("event_type").distinct().collect())
-    one = lambda k: e.filter(F.col("event_type") == k).select(F.col("user_id").alias("object_id"), F.lit(1).cast("long").alias("executions"), F.floor(F.col("value") * 100).alias("elapsed"), F.col("ts").alias("last_run"), F.col("ts").alias("cached"))
-    out = catalog.execution_stats(**{k: one(k) for k in kinds})
-    return out.withColumn("average", scalar.average(F.col("total_elapsed"), F.col("executions")))
+    rows = e.select(F.col("user_id").alias("object_id"), F.col("event_type").alias("kind"), F.lit(1).cast("long").alias("executions"), F.floor(F.col("value") * 100).alias("elapsed"), F.lit(None).cast("long").alias("cpu"), F.lit(None).cast("long").alias("reads"), F.col("ts").alias("last_run"), F.col("ts").alias("cached"))
+    return catalog.execution_totals(rows).withColumnRenamed("avg_elapsed", "average").drop("total_cpu", "total_reads")
 
 
 @query("""SELECT o_orderkey, 'CREATE INDEX [IX_' || c_name || '_' || o_orderstatus || '_' || c_mktsegment || '] ON [' || n_name || '].[' || c_name || '] (' || o_orderstatus || ', ' || c_mktsegment || ') INCLUDE (' || o_orderpriority || ');' AS ddl,

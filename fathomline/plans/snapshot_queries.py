@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import improvement_measure
 from ..operators import graph, lineage, overlay, summaries
 from ..sources import catalog
 from . import estate
@@ -185,6 +186,59 @@ _grid("grid_tables_by_name", summaries.TABLE_SORTS, "name", False, "lower(name)"
 _grid("grid_tables_default", summaries.TABLE_SORTS, "no such key", True, "reserved_kb")
 
 
+# Grids of the other statistics: one page for each sort name.
+
+_RUNS = "SELECT 's:' || l_suppkey AS node, count(*) AS executions, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_elapsed, max(CAST(l_quantity AS BIGINT)) AS max_elapsed, CAST(floor(sum(CAST(l_quantity AS BIGINT)) / count(*)) AS BIGINT) AS avg_elapsed, CAST(sum(l_linenumber) AS BIGINT) AS total_cpu, CAST(sum(l_partkey) AS BIGINT) AS total_reads, max(l_shipdate) AS last_run FROM lineitem GROUP BY l_suppkey"
+_USED = "SELECT 'p:' || l_partkey AS node, 'IX' || l_linenumber AS index_name, count(*) AS seeks, CAST(sum(l_suppkey) AS BIGINT) AS scans, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lookups, max(l_orderkey) AS updates FROM lineitem GROUP BY l_partkey, l_linenumber"
+_LACKING = "SELECT 'c:' || o_custkey AS node, min(o_orderkey) AS handle, CAST(floor(sum(o_totalprice)) AS BIGINT) % 100 AS impact, count(*) AS seeks, max(o_orderkey) % 50 AS cost FROM orders GROUP BY o_custkey"
+
+
+def _runs(s, d) -> DataFrame:
+    """Line items as runs of their supplier's procedure."""
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("object_id"), F.lit(1).cast("long").alias("executions"), F.col("l_quantity").cast("long").alias("elapsed"), F.col("l_linenumber").cast("long").alias("cpu"), F.col("l_partkey").cast("long").alias("reads"), F.col("l_shipdate").alias("last_run"), F.col("l_shipdate").alias("cached"))
+    return catalog.execution_stats(procedure=rows.filter("cpu > 2"), trigger=rows.filter("cpu <= 2")).withColumn("kind", F.lit("any"))
+
+
+@query("SELECT l_suppkey AS object_id, CASE WHEN l_linenumber > 2 THEN 'procedure' ELSE 'trigger' END AS kind, count(*) AS executions, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_elapsed, CAST(floor(sum(CAST(l_quantity AS BIGINT)) / count(*)) AS BIGINT) AS avg_elapsed, CAST(sum(l_linenumber) AS BIGINT) AS total_cpu, CASE WHEN l_linenumber > 2 THEN CAST(sum(l_partkey) AS BIGINT) END AS total_reads FROM lineitem GROUP BY l_suppkey, l_linenumber > 2")
+def src_execution_totals(s, d):
+    """Two sources, of which one knows no reads."""
+    rows = table(s, d, "lineitem").select("l_linenumber", F.col("l_suppkey").alias("object_id"), F.lit(1).cast("long").alias("executions"), F.col("l_quantity").cast("long").alias("elapsed"), F.col("l_linenumber").cast("long").alias("cpu"), F.col("l_partkey").cast("long").alias("reads"), F.col("l_shipdate").alias("last_run"), F.col("l_shipdate").alias("cached"))
+    out = catalog.execution_stats(procedure=rows.filter("l_linenumber > 2"), trigger=rows.filter("l_linenumber <= 2").drop("reads"))
+    return out.select("object_id", "kind", "executions", "total_elapsed", "avg_elapsed", "total_cpu", "total_reads")
+
+
+def _all_sorts(stats: str, sorts: dict[str, str], spelled: dict[str, str], tie: str, ties: str) -> str:
+    """A page of each sort name, descending; spelled: SQL for columns that the grid makes."""
+    one = lambda name, c: f"(SELECT '{name}' AS sort, node, {tie} AS tie, count(*) OVER () AS total FROM ({stats}) JOIN nodes USING (node) ORDER BY {spelled.get(c, c)} DESC NULLS LAST, lower(schema), lower(name), node{ties} LIMIT 7 OFFSET 2)"
+    return f"WITH {SQL} " + " UNION ALL ".join(one(name, c) for name, c in sorts.items())
+
+
+def _pages(stats: DataFrame, objects: DataFrame, sorts: dict[str, str], tie: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    pages = [summaries.grid(stats, objects, sorts, sort=name, limit=7, offset=2, ties=ties).select(F.lit(name).alias("sort"), "node", F.col(tie).alias("tie"), "total") for name in sorts]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query(_all_sorts(_RUNS, summaries.PROC_SORTS, {"_name": "lower(name)"}, "executions", ""))
+def grid_procs(s, d):
+    runs = _runs(s, d).withColumn("node", ident("s", "object_id"))
+    whole = runs.groupBy("node").agg(F.sum("executions").alias("executions"), F.sum("total_elapsed").alias("total_elapsed"), F.max("max_elapsed").alias("max_elapsed"), F.sum("total_cpu").alias("total_cpu"), F.sum("total_reads").alias("total_reads"), F.max("last_run").alias("last_run"))
+    whole = whole.withColumn("avg_elapsed", F.floor(F.col("total_elapsed") / F.col("executions")))
+    return _pages(whole, estate.objects(s, d), summaries.PROC_SORTS, "executions")
+
+
+@query(_all_sorts(_USED, summaries.INDEX_SORTS, {"_name": "lower(name)", "_index": "lower(index_name)"}, "index_name", ", index_name"))
+def grid_indexes(s, d):
+    used = table(s, d, "lineitem").groupBy(ident("p", "l_partkey").alias("node"), F.concat(F.lit("IX"), F.col("l_linenumber").cast("string")).alias("index_name")).agg(F.count(F.lit(1)).alias("seeks"), F.sum("l_suppkey").alias("scans"), F.sum(F.col("l_quantity").cast("long")).alias("lookups"), F.max("l_orderkey").alias("updates"))
+    return _pages(used, estate.objects(s, d), summaries.INDEX_SORTS, "index_name", ("index_name",))
+
+
+@query(_all_sorts(f"SELECT *, cost * impact * seeks AS improvement FROM ({_LACKING})", summaries.MISSING_SORTS, {"_name": "lower(name)"}, "handle", ", handle"))
+def grid_missing_indexes(s, d):
+    lacking = table(s, d, "orders").groupBy(ident("c", "o_custkey").alias("node")).agg(F.min("o_orderkey").alias("handle"), (F.floor(F.sum("o_totalprice")) % 100).alias("impact"), F.count(F.lit(1)).alias("seeks"), (F.max("o_orderkey") % 50).alias("cost"))
+    lacking = lacking.withColumn("improvement", improvement_measure(F.col("cost"), F.col("impact"), F.col("seeks"), F.lit(0)))
+    return _pages(lacking, estate.objects(s, d), summaries.MISSING_SORTS, "handle", ("handle",))
+
+
 def _objects_by(sort: str, descending: bool, column: str):
     @query(f"WITH {SQL}, o AS (SELECT nodes.*, TIMESTAMP '2020-01-01' + INTERVAL (length(name) * 7 % 40) DAY AS modified FROM nodes) SELECT node, count(*) OVER () AS total FROM o LEFT JOIN ({_STATS}) USING (node) LEFT JOIN ({_EXECS}) USING (node) ORDER BY {column} {'DESC' if descending else 'ASC'} NULLS LAST, lower(schema), lower(name), node LIMIT 30", name=f"objects_by_{sort}")
     def objects_by(s, d):

@@ -6,10 +6,12 @@ runs over a JDBC source, over files, or over fixtures.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import object_kind, type_display
+from ..functions.scalar import average, object_kind, type_display
 
 USER_CODES = ("U", "V", "P", "PC", "FN", "IF", "TF", "FS", "FT", "TR", "TA", "SN", "SO")
 
@@ -139,12 +141,19 @@ def table_stats(partitions: DataFrame) -> DataFrame:
 
 
 def execution_stats(**sources: DataFrame) -> DataFrame:
-    """One row per object and kind from any number of sources, named by kind: object_id, executions, elapsed, last_run, cached."""
-    tagged = [df.select("object_id", F.lit(kind).alias("kind"), "executions", "elapsed", "last_run", "cached") for kind, df in sources.items()]
-    rows = tagged[0]
-    for df in tagged[1:]:
-        rows = rows.unionByName(df)
-    return rows.groupBy("object_id", "kind").agg(F.sum("executions").alias("executions"), F.sum("elapsed").alias("total_elapsed"), F.min("elapsed").alias("min_elapsed"), F.max("elapsed").alias("max_elapsed"), F.max("last_run").alias("last_run"), F.min("cached").alias("cached"))
+    """One row per object and kind from any number of sources, named by kind: object_id, executions, elapsed, last_run, cached and, where known, cpu and reads."""
+    names = ["object_id", "kind", "executions", "elapsed", "cpu", "reads", "last_run", "cached"]
+    tagged = [df.withColumns({"kind": F.lit(kind), **{c: F.lit(None).cast("long") for c in ("cpu", "reads") if c not in df.columns}}).select(names) for kind, df in sources.items()]
+    return execution_totals(reduce(DataFrame.unionByName, tagged))
+
+
+def execution_totals(rows: DataFrame) -> DataFrame:
+    """Sums per object and kind; rows: object_id, kind, executions, elapsed, last_run, cached, cpu, reads. The average is in whole units, null without executions."""
+    out = rows.groupBy("object_id", "kind").agg(
+        F.sum("executions").alias("executions"), F.sum("elapsed").alias("total_elapsed"), F.min("elapsed").alias("min_elapsed"), F.max("elapsed").alias("max_elapsed"),
+        F.sum("cpu").alias("total_cpu"), F.sum("reads").alias("total_reads"), F.max("last_run").alias("last_run"), F.min("cached").alias("cached"),
+    )
+    return out.withColumn("avg_elapsed", average(F.col("total_elapsed"), F.col("executions")))
 
 
 def missing_indexes(groups: DataFrame, group_stats: DataFrame, details: DataFrame) -> DataFrame:

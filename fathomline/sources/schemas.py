@@ -24,7 +24,7 @@ SCHEMAS = {
     "column_lineage": "owner string, source_node string, source_id string, source_name string, target_node string, target_id string, via_object string, via string, confidence string, transform string, statement int, expression string",
     "table_stats": f"{OBJECT}, row_count long, data_kb long, index_kb long, reserved_kb long, partition_count long, is_heap int, compression_min string, compression_max string, of_object long",
     "index_usage": f"{OBJECT}, index_id int, seeks long, scans long, lookups long, updates long, is_unused boolean, of_object long, of_index long",
-    "proc_stats": f"{OBJECT}, kind string, executions long, total_elapsed long, min_elapsed long, max_elapsed long, last_run timestamp_ntz, cached timestamp_ntz, of_object long",
+    "proc_stats": f"{OBJECT}, kind string, executions long, total_elapsed long, min_elapsed long, max_elapsed long, avg_elapsed long, total_cpu long, total_reads long, last_run timestamp_ntz, cached timestamp_ntz, of_object long",
     "missing_indexes": f"{OBJECT}, index_handle int, equality_columns string, inequality_columns string, included_columns string, improvement double, suggested_ddl string, of_object long",
     "lineage_issues": "node string, statement int, issue string, message string",
     "warnings": "warning string",
