@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def object_detail(objects: DataFrame, columns: DataFrame, edges: DataFrame, stat
     return out.withColumns({c: empty(c) for c in ("columns", "upstream", "downstream")})
 
 
+def object_parts(objects: DataFrame, **parts: DataFrame) -> DataFrame:
+    """objects (with node) and, for each named part (rows with node), its rows as a sorted array of structs, empty where it has none.
+
+    All parts are united, each in a column of its own, and gathered by one shuffle of the key, however many there are. Rows of
+    objects that aren't listed are left out; equal rows of a part are all kept.
+    """
+    own = objects.select("node", F.struct(*(F.col(f"`{c}`") for c in objects.columns)).alias("_object"))
+    rows = [p.select("node", F.struct(*(F.col(f"`{c}`") for c in p.columns if c != "node")).alias(name)) for name, p in parts.items()]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [own, *rows])
+    found = every.groupBy("node").agg(F.first("_object", True).alias("_object"), *(F.array_sort(F.collect_list(name)).alias(name) for name in parts))
+    return found.filter("_object IS NOT NULL").select("_object.*", *parts)
+
+
 def lookup(objects: DataFrame, key: str) -> DataFrame:
     """The object that a key (connection|db|schema|name) names, whatever its case."""
     parts = key.split("|")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import improvement_measure
 from ..operators import graph, lineage, overlay, summaries
 from ..sources import catalog
-from . import estate
+from . import details, estate
 from .estate import SQL, ident, table
 from .queries import query
 
@@ -414,3 +414,39 @@ def _made(s, d) -> lineage.Stored:
     objects = named(p, "p", "p_partkey", "Sales", F.lit("table")).unionByName(named(u, "s", "s_suppkey", "dbo", F.lit("table"))).unionByName(modules)
     col = lambda rows, x, k, name: rows.select(F.concat(ident(x, k), F.lit(f".{name}")).alias("column"), ident(x, k).alias("node"), F.lit(name).alias("name"))
     return lineage.stored_lineage(edges, objects, col(p, "p", "p_partkey", "a").unionByName(col(u, "s", "s_suppkey", "b")))
+
+
+# All parts of all customers and suppliers, each part as one text.
+
+_PARTS = {
+    "columns": "SELECT 's:' || l_suppkey AS node, 'c' || l_orderkey || '.' || l_linenumber AS text FROM lineitem",
+    "parameters": "SELECT 'c:' || o_custkey AS node, '@p' || o_orderkey AS text FROM orders WHERE o_orderstatus = 'F'",
+    "indexes": "SELECT 's:' || l_suppkey AS node, 'IX' || l_partkey AS text FROM lineitem WHERE l_linenumber = 1",
+    "index_usage": "SELECT 's:' || l_suppkey AS node, l_linenumber || '=' || count(*) AS text FROM lineitem GROUP BY l_suppkey, l_linenumber",
+    "keys_out": "SELECT 'c:' || c_custkey AS node, 'n:' || c_nationkey AS text FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier",
+    "keys_in": "SELECT 'c:' || o_custkey AS node, 'o:' || o_orderkey AS text FROM orders",
+    "checks": "SELECT 'c:' || c_custkey AS node, 'balance > 0' AS text FROM customer WHERE c_acctbal > 0",
+    "triggers": "SELECT 'c:' || o_custkey AS node, 'after ' || o_orderpriority AS text FROM orders WHERE o_orderkey % 2 = 0",
+    "uses": "SELECT DISTINCT 's:' || l_suppkey AS node, 'p:' || l_partkey AS text FROM lineitem",
+    "used_by": "SELECT DISTINCT 's:' || l_suppkey AS node, 'o:' || l_orderkey AS text FROM lineitem",
+    "statistics": "SELECT 's:' || l_suppkey AS node, 'rows ' || count(*) AS text FROM lineitem GROUP BY l_suppkey",
+    "executions": "SELECT 'c:' || o_custkey AS node, 'runs ' || count(*) AS text FROM orders GROUP BY o_custkey",
+    "missing": "SELECT 'c:' || o_custkey AS node, 'lacks ' || min(o_orderkey) AS text FROM orders GROUP BY o_custkey",
+    "issues": "SELECT 'c:' || c_custkey AS node, c_mktsegment AS text FROM customer WHERE c_acctbal < 0",
+    "annotations": "SELECT 's:' || s_suppkey AS node, 'see ' || s_name AS text FROM supplier WHERE s_suppkey % 2 = 0",
+    "tags": "SELECT 'c:' || c_custkey AS node, lower(c_mktsegment) AS text FROM customer",
+    "synonyms": "SELECT 's:' || s_suppkey AS node, 'syn' || s_suppkey AS text FROM supplier WHERE s_suppkey % 3 = 0",
+    "lineage_in": "SELECT 's:' || l_suppkey AS node, 'p' || l_partkey || '.' || l_returnflag AS text FROM lineitem WHERE l_linenumber > 5",
+    "properties": "SELECT 'c:' || c_custkey AS node, c_name AS text FROM customer WHERE c_custkey % 5 = 0",
+}
+_GATHERED = ", ".join(f"coalesce(string_agg(text, ';' ORDER BY text) FILTER (part = '{p}'), '') AS {p}" for p in _PARTS)
+
+
+@query(f"WITH {SQL}, parts AS ({' UNION ALL '.join(f'SELECT node, text, {chr(39)}{p}{chr(39)} AS part FROM ({sql})' for p, sql in _PARTS.items())}) SELECT node, kind, {_GATHERED} FROM nodes LEFT JOIN parts USING (node) WHERE kind IN ('view', 'procedure') GROUP BY node, kind")
+def object_parts(s, d):
+    """The parts' own SQL means the same in both engines."""
+    for t in ("lineitem", "orders", "customer", "supplier"):
+        table(s, d, t).createOrReplaceTempView(f"_parts_{t}")
+    named = lambda sql: reduce(lambda x, t: x.replace(f"FROM {t}", f"FROM _parts_{t}"), ("lineitem", "orders", "customer", "supplier"), sql)
+    found = details.object_parts(estate.objects(s, d).filter("kind IN ('view', 'procedure')").select("node", "kind"), **{p: s.sql(named(sql)) for p, sql in _PARTS.items()})
+    return found.select("node", "kind", *(F.array_join(F.transform(p, lambda x: x.text), ";").alias(p) for p in _PARTS))

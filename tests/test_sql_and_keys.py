@@ -1,10 +1,12 @@
-"""Bodies with very long tokens, bodies that can't be told apart, and dense ids."""
+"""Bodies with very long tokens, bodies that can't be told apart, dense ids, and sources over JDBC."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions.scalar import multipart
 from fathomline.operators import columns, keys, tsql
+from fathomline.plans import details
+from fathomline.sources import catalog
 
 MILLION = 1_000_000
 
@@ -63,3 +65,33 @@ def test_look_ups(spark):
     on = [(F.col("name"), "name"), (F.col("n"), "n")]
     assert {(r.name, r.n, r.of) for r in keys.looked_up(rows, ids, on, "of").collect()} == {("a", 1, 1)}
     assert {(r.name, r.n, r.of) for r in keys.looked_up(rows, ids, on, "of", required=False).collect()} == {("a", 1, 1), ("b", 2, None), (None, 1, None)}
+
+
+def test_a_jdbc_table_is_read_in_ranges_with_filters_pushed(spark):
+    url = "jdbc:derby:memory:harbour;create=true"
+    rows = spark.range(1, 101).select(F.col("id").cast("int").alias("K"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("NAME")).unionByName(spark.createDataFrame([(None, "none")], "K int, NAME string"))
+    rows.coalesce(1).write.format("jdbc").options(url=url, dbtable="BERTH").mode("overwrite").save()
+    found = catalog.jdbc_table(spark, url, "BERTH", "K", partitions=5)
+    assert found.rdd.getNumPartitions() == 5 and max(len(p) for p in found.rdd.glom().collect()) <= 22 and found.count() == 101
+    some = found.filter("K > 90").select("NAME")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThan(K,90)" in plan.replace(" ", "") and "ReadSchema: struct<NAME:string>" in plan and some.count() == 10
+    assert catalog.jdbc_table(spark, url, "BERTH").rdd.getNumPartitions() == 1
+    few = catalog.jdbc_table(spark, url, "(SELECT * FROM BERTH WHERE K <= 2) b", "K", partitions=50)
+    assert few.rdd.getNumPartitions() == 2 and few.count() == 2
+    assert catalog.jdbc_table(spark, url, "(SELECT * FROM BERTH WHERE K > 1000) b", "K").count() == 0
+
+
+def test_a_family_that_is_refused_is_a_warning(spark):
+    found, warnings = catalog.attempted(berths=lambda: catalog.jdbc_table(spark, "jdbc:derby:memory:harbour", "NO_SUCH_TABLE", "K"), rest=lambda: spark.range(1))
+    assert list(found) == ["rest"] and len(warnings) == 1 and warnings[0].startswith("berths: ")
+
+
+def test_parts_are_gathered_by_one_shuffle(spark):
+    objects = spark.createDataFrame([("a", "x"), ("b", "y")], "node string, name string")
+    parts = {f"p{k}": spark.createDataFrame([("a", k, "u"), ("a", 0, None), ("c", 1, "lost")], "node string, n int, node_name string") for k in range(19)}
+    out = details.object_parts(objects, **parts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    rows = {r.node: r for r in out.collect()}
+    assert set(rows) == {"a", "b"} and [(x.n, x.node_name) for x in rows["a"].p7] == [(0, None), (7, "u")] and rows["b"].p3 == []
