@@ -55,7 +55,7 @@ NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "f
 TOP_DOMAINS = set("com org net edu gov mil int info biz name io co me tv ai app dev uk de fr es eu us ca au jp cn ru nl se ch be pt br mx pl example test invalid".split())
 #: The other country codes; those that are common words apart.
 WORD_DOMAINS = set("ad am an as at by do fm id in is it la ma mu my no pa pm so st to".split())
-#: Codes that are common words of English, French, German or Spanish: after a plain `at` they count only behind a dot in brackets.
+#: Codes that are common words of English, French, German or Spanish: after a plain `at` they count only where no word follows, or behind a dot in brackets.
 SPOKEN_DOMAINS = WORD_DOMAINS | set("be me us de es se si su al et er im ne ni sa va".split())
 TOP_DOMAINS |= WORD_DOMAINS | set("ac ae af ag al ao aq ar aw ax az ba bb bd bf bg bh bi bj bm bn bo bs bt bw bz cc cd cf cg ci ck cl cm cr cu cv cw cx cy cz dj dk dm dz ec ee eg er et fi fj fk fo ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu ie il im iq ir je jm jo ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly mc md mg mh mk ml mm mn mo mp mq mr ms mt mv mw my mz na nc ne nf ng ni np nr nu nz om pe pf pg ph pk pn pr ps pw py qa re ro rs rw sa sb sc sd sg sh si sk sl sm sn sr ss sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tw tz ua ug uy uz va vc ve vg vi vn vu wf ws ye za zm zw su gb".split())
 # End of fixed values. Full-width and other digits follow from their Unicode value.
@@ -76,6 +76,7 @@ _AT = re.compile(rf"({_L}\s*+(?:at|@)\s*+{_R})|(?<=[ \t-\r_-])(at)(?=[ \t-\r_-])
 #: What stands for a dot: in brackets (1), a word between blanks, hyphens or underscores (2), a dot between blanks (3).
 _DOT = re.compile(rf"({_L}\s*+(?:dot|punkt|point|punto|\.)\s*+{_R})|(?<=[ \t-\r_-])(dot)(?=[ \t-\r_-])|(?<=[ \t-\r])(\.)(?=[ \t-\r])", re.IGNORECASE)
 _LABEL = re.compile(r"[A-Za-z0-9-]++")
+_GOES_ON = re.compile(r"[ \t]++[A-Za-z]")
 _TOP = re.compile(r"[A-Za-z]{2,}+(?![0-9])")
 _BLANKS = " \t\n\r\v\f"
 _SPACES, _GAPS, _NO_DIGITS = re.compile(r"[ \t-\r]*+"), re.compile(r"[ \t-\r_-]*+"), re.compile(r"[^0-9]+")
@@ -276,8 +277,8 @@ class Addresses:
                 listed = name in TOP_DOMAINS and (name not in WORD_DOMAINS or look in ("plain", "brackets"))
                 if listed:
                     made.unmarked = k
-                # `at home.It was late`: a sentence that ends, not a domain
-                if listed and (look == "brackets" or name not in SPOKEN_DOMAINS and not top[0].istitle()):
+                # `at home.It was late`, `at work.is it`: a sentence that ends, not a domain
+                if listed and (look == "brackets" or not top[0].istitle() and not (name in SPOKEN_DOMAINS and _GOES_ON.match(self.text, end))):
                     made.spoken = k
                 if listed or look != "free":
                     made.marked = k
