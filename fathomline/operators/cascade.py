@@ -34,7 +34,7 @@ def key(db: Column, object_id: Column) -> Column:
 def _resolve(refs: DataFrame, objects: DataFrame, databases: DataFrame, server_name: str | None) -> DataFrame:
     """refs with `target`, `resolution`, `external_key`. refs: db, kind_of_source, referenced_id, r_server, r_db, r_schema, r_name, caller, ambiguous."""
     by_id = objects.select(F.lower("db").alias("_idb"), F.col("object_id").alias("_iid"), key(F.col("db"), F.col("object_id")).alias("_by_id"))
-    by_name = objects.select(F.lower("db").alias("_ndb"), F.lower("schema").alias("_ns"), F.lower("name").alias("_nn"), key(F.col("db"), F.col("object_id")).alias("_by_name")).dropDuplicates(["_ndb", "_ns", "_nn"])
+    by_name = objects.select(F.lower("db").alias("_ndb"), F.lower("schema").alias("_ns"), F.lower("name").alias("_nn"), "object_id").groupBy("_ndb", "_ns", "_nn").agg(F.min_by(key(F.col("_ndb"), F.col("object_id")), "object_id").alias("_by_name"))  # of equal names the smallest id
     known = databases.select(F.lower("db").alias("_kdb"), F.lit(True).alias("_known")).distinct()
     given = lambda c: F.when(F.col(c) != "", F.col(c))
     # An empty part counts as none, and the own server's name adds nothing to a name.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reads import page
+
 FIELDS = ("description", "notes", "owner")
 
 
@@ -60,6 +62,12 @@ def listed(annotations: DataFrame, assignments: DataFrame, *, connection: str |
     return out.select("kind", "key", "description", "notes", F.array_join("_tags", ",").alias("tags"))
 
 
+def page_of(annotations: DataFrame, assignments: DataFrame, *, limit: int = 50, offset: int = 0, **chosen) -> DataFrame:
+    """One page of listed(), by key without case, then kind, then key, with the total of all pages."""
+    rows = listed(annotations, assignments, **chosen).withColumn("_key", F.lower("key"))
+    return page(rows, {"key": "_key"}, "key", False, ["kind", "key"], limit, offset, "key").drop("_key")
+
+
 def tag_counts(tags: DataFrame, assignments: DataFrame) -> DataFrame:
     n = assignments.groupBy(F.lower("tag").alias("_t")).agg(F.count(F.lit(1)).alias("n"))
     return tags.join(n, F.lower("tag") == F.col("_t"), "left").select("tag", F.coalesce("n", F.lit(0)).alias("n"))

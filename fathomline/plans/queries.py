@@ -234,30 +234,12 @@ def tag_filter(s, d):
     return reads.list_objects(estate.objects(s, d), tagged=tagged).select("node", "kind")
 
 
-@query(f"WITH {SQL} SELECT kind, count(*) AS n, count(DISTINCT CASE WHEN scope <> 'external' THEN db || '.' || schema END) AS schemas FROM nodes GROUP BY kind")
-def scan_counts(s, d):
-    own = F.when(F.col("scope") != "external", F.concat("db", F.lit("."), "schema"))
-    return estate.objects(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(own).alias("schemas"))
-
-
 @query("SELECT count(*) FILTER (status IN ('ok', 'partial')) / nullif(count(*) FILTER (status <> 'n/a'), 0) AS coverage, count(*) FILTER (status <> 'n/a') AS modules FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' WHEN 'P' THEN 'partial' ELSE 'n/a' END AS status FROM orders)")
 def coverage(s, d):
     status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "partial").otherwise("n/a")
     return reads.coverage(table(s, d, "orders").select(status.alias("status")))
 
 
-@query("SELECT count(*) FILTER (o_totalprice > 300000) AS large, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, count(*) AS total FROM orders")
-def warnings_summary(s, d):
-    n = lambda c: F.count(F.when(c, 1))
-    return table(s, d, "orders").agg(n(F.col("o_totalprice") > 300000).alias("large"), n(F.col("o_orderstatus") == "F").alias("failed"), n(F.startswith("o_orderpriority", F.lit("1"))).alias("urgent"), F.count(F.lit(1)).alias("total"))
-
-
-@query(f"WITH {SQL}, k AS (SELECT schema, kind, count(*) AS n FROM nodes GROUP BY schema, kind) SELECT schema, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds, schema IN ('sales', 'geo') AS selected FROM k GROUP BY schema")
-def overview(s, d):
-    k = estate.objects(s, d).groupBy("schema", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("schema").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("k"))
-    return k.select("schema", F.array_join(F.transform("k", lambda x: F.concat(x.kind, F.lit("="), x.n.cast("string"))), ",").alias("kinds"), F.col("schema").isin("sales", "geo").alias("selected"))
-
-
 @query(f"WITH {SQL} SELECT schema, kind, scope, count(*) AS n FROM nodes GROUP BY ROLLUP (schema, kind, scope)")
 def tree_rollup(s, d):
     return estate.objects(s, d).rollup("schema", "kind", "scope").agg(F.count(F.lit(1)).alias("n"))
@@ -424,6 +406,13 @@ def annotations_list(s, d):
     return overlay.listed(_annotations(s, d), tags, connection="LOCAL")
 
 
+@query("WITH k AS (SELECT 'object' AS kind, 'Local|' || c_name AS key, c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0), c AS (SELECT * FROM k WHERE contains(lower(key), '1') AND c_custkey % 5 = 0) SELECT kind, key, 'a,b' AS tags, (SELECT count(*) FROM c) AS total FROM c ORDER BY lower(key), kind, key LIMIT 15 OFFSET 3")
+def annotations_page(s, d):
+    tags = table(s, d, "customer").filter("c_custkey % 5 = 0").select(F.lit("object").alias("kind"), F.concat(F.lit("Local|"), "c_name").alias("key"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("tag"))
+    notes = _annotations(s, d).withColumns({"description": F.lit(None).cast("string"), "notes": F.lit(None).cast("string")})
+    return overlay.page_of(notes, tags, limit=15, offset=3, tag="A", q="1").select("kind", "key", "tags", "total")
+
+
 # Graph ----------------------------------------------------------------------------------------------------------
 
 

@@ -21,6 +21,10 @@ PHASES = ("cascade", "extract", "stats", "lineage", "finalize")
 TABLES = tuple(t for t in SCHEMAS if t not in ("scans", "annotations", "tags", "tag_assignments", "meta"))
 
 
+#: Spark's error classes of jobs that were interrupted.
+CANCELLED = ("SPARK_JOB_CANCELLED", "OPERATION_CANCELED")
+
+
 class Progress:
     """Where a scan is, for whoever asks: its phase and the last messages."""
 
@@ -86,7 +90,7 @@ def scan(store: Store, number: int, connection: str, required: dict[str, DataFra
                     put(name, spark.createDataFrame([], SCHEMAS[name]))
         except BaseException as error:
             spark.removeTag(f"scan-{number}")
-            cancelled = isinstance(error, KeyboardInterrupt) or "cancelled" in str(error).lower()
+            cancelled = isinstance(error, KeyboardInterrupt) or any(f"[{c}]" in str(error) for c in CANCELLED)
             store.state(number, connection, "cancelled" if cancelled else "failed", started, clock(), f"{type(error).__name__}: {error}"[:2000])
             raise
         spark.removeTag(f"scan-{number}")
