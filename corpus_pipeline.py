@@ -53,17 +53,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What each stage keeps is written as Parquet to the shared checkpoint folder and read again, so
-    no stage computes the ones before it anew; the files of a stage go once the next one's are written."""
+    no stage computes the ones before it anew; the files of a stage go once the next one's are written, and all of them if a stage
+    fails. Those of the last stage but one stay, as the result reads them."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, done = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if done:
-            path = spark._jvm.org.apache.hadoop.fs.Path(done)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        done = f"{folder}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if done:
+                _delete(spark, done)
+            done = f"{folder}/{name}"
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        _delete(spark, folder)
+        raise
