@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import pytest
 from fathomline.llm import decontaminate, pii, toxicity
 from test_corpus_operators import components
 from test_text_operators import hit_words
@@ -44,3 +45,17 @@ def test_stage_names_and_entry():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "decontamination", "pii", "packing"]
     assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in entry.queries() if re.match(r"op\d+_", k)} and "pipeline" in entry.queries()
     assert decontaminate.ORACLE == entry.oracle_sql()["op2_decontaminate"]
+
+
+def test_a_stage_that_fails_leaves_no_files(spark, monkeypatch):
+    from fathomline.llm.common import shared_folder
+
+    def broken(spark, docs, sf_dir):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", lambda spark, docs, sf_dir: docs.limit(5)), ("second", broken), ("third", broken)])
+    with pytest.raises(ValueError, match="broken"):
+        corpus_pipeline.run(spark, SF)
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    left = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    assert not [name for name in left if name.startswith("pipeline-")]
