@@ -20,13 +20,17 @@ EDGE_KINDS = ("catalog", "fk", "trigger", "synonym", "parsed_read", "parsed_writ
 REVERSED = ("catalog", "fk", "synonym", "parsed_read")
 
 
-def flow_edges(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """id, source, target, kind in the direction of data: known ends, no loops, the first of equal edges."""
+def first_edges(dependencies: DataFrame) -> DataFrame:
+    """id, source, target, kind in the direction of data: no loops, the first of equal edges."""
     back = F.col("kind").isin(*REVERSED)
     turned = dependencies.select("id", F.when(back, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("target"), "kind")
-    first = turned.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source", "target", "kind").agg(F.min("id").alias("id"))
+    return turned.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source", "target", "kind").agg(F.min("id").alias("id"))
+
+
+def flow_edges(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """first_edges() between known nodes."""
     known = nodes.select("node")
-    return first.join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi").select("id", "source", "target", "kind")
+    return first_edges(dependencies).join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi").select("id", "source", "target", "kind")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -54,16 +58,19 @@ class Ego:
     cascaded: bool = True
     external: bool = True
 
-    def allowed(self) -> Column:
+    def follows(self) -> Column:
+        return F.lit(True) if self.edge_kinds is None else F.col("kind").isin(*self.edge_kinds)
+
+    def allowed(self, kind: str = "kind", schema: str = "schema", scope: str = "scope") -> Column:
         test = F.lit(True)
         if self.kinds is not None:
-            test &= F.col("kind").isin(*self.kinds)
+            test &= F.col(kind).isin(*self.kinds)
         if self.schemas is not None:
-            test &= F.lower(F.coalesce("schema", F.lit(""))).isin(*(s.lower() for s in self.schemas))
+            test &= F.lower(F.coalesce(schema, F.lit(""))).isin(*(s.lower() for s in self.schemas))
         if not self.cascaded:
-            test &= F.col("scope") != "cascaded"
+            test &= F.col(scope) != "cascaded"
         if not self.external:
-            test &= F.col("scope") != "external"
+            test &= F.col(scope) != "external"
         return test
 
 

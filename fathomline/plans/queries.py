@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import cascade, graph, lineage, overlay, reads, tsql
+from ..operators import cascade, graph, lineage, overlay, reads, stored_graph, tsql
 from ..sources import catalog
 from . import details, estate
 from .estate import SQL, ego_sql, ident, table
@@ -418,7 +418,7 @@ def annotations_page(s, d):
 
 def _graph(s, d) -> tuple[DataFrame, DataFrame]:
     o = estate.objects(s, d)
-    return o, graph.flow_edges(o, estate.dependencies(s, d))
+    return o, graph.flow_edges(o, estate.dependencies(s, d, repeated=True))
 
 
 @query(f"WITH {SQL} SELECT source, target, kind FROM flow")
@@ -438,8 +438,7 @@ def _focus(s, node: str) -> DataFrame:
 def _ego(name: str, focus: str, options: graph.Ego, allowed: str = "true"):
     @query(f"WITH {SQL}, {ego_sql(focus, options.direction, options.depth, allowed)} SELECT node, hop FROM hops", name=name)
     def ego(s, d):
-        o, e = _graph(s, d)
-        return graph.ego_graph(o, e, _focus(s, focus), options).reached
+        return stored_graph.ego(estate.stored_graph(s, d), _focus(s, focus), options).reached
 
 
 _ego("ego_down", "n:3", graph.Ego("down", 2))
@@ -452,20 +451,17 @@ _CAPPED = f"WITH {SQL}, {ego_sql('s:1', 'both', 2)}, deg AS (SELECT node, count(
 
 @query(f"{_CAPPED} SELECT node, hop FROM kept")
 def ego_capped(s, d):
-    o, e = _graph(s, d)
-    return graph.ego_graph(o, e, _focus(s, "s:1"), graph.Ego("both", 2, max_nodes=40)).hops
+    return stored_graph.ego(estate.stored_graph(s, d), _focus(s, "s:1"), graph.Ego("both", 2, max_nodes=40)).hops
 
 
 @query(f"{_CAPPED} SELECT source, target, kind FROM flow WHERE source IN (SELECT node FROM kept) AND target IN (SELECT node FROM kept)")
 def ego_edges(s, d):
-    o, e = _graph(s, d)
-    return graph.ego_graph(o, e, _focus(s, "s:1"), graph.Ego("both", 2, max_nodes=40)).edges.select("source", "target", "kind")
+    return stored_graph.ego(estate.stored_graph(s, d), _focus(s, "s:1"), graph.Ego("both", 2, max_nodes=40)).edges.select("source", "target", "kind")
 
 
 @query(f"{_CAPPED} SELECT node, (SELECT count(DISTINCT source) FROM flow WHERE target = k.node AND source NOT IN (SELECT node FROM kept)) AS more_up, (SELECT count(DISTINCT target) FROM flow WHERE source = k.node AND target NOT IN (SELECT node FROM kept)) AS more_down FROM kept k")
 def ego_more(s, d):
-    o, e = _graph(s, d)
-    return graph.ego_graph(o, e, _focus(s, "s:1"), graph.Ego("both", 2, max_nodes=40)).more
+    return stored_graph.ego(estate.stored_graph(s, d), _focus(s, "s:1"), graph.Ego("both", 2, max_nodes=40)).more
 
 
 #: Columns of a flow from parts through suppliers' staging tables to nations: each path through staging is one edge.

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.reads import prunable
+from ..operators.stored_graph import StoredGraph, opened, store
 from .schemas import SCHEMAS
 
 SCANS = SCHEMAS["scans"]
 FINISHED = ("succeeded", "failed", "cancelled")
+FLOW = "flow_edges"
 
 
 class Store:
@@ -78,6 +80,17 @@ class Store:
         """One scan's rows of a table; only its partition is listed and read."""
         return self.spark.read.parquet(f"{self.path}/{name}/scan={scan}")
 
+    def graph(self, scan: int, buckets: int = 64) -> StoredGraph:
+        """A succeeded scan's flow edges between ids of its objects, written at the first call and deleted with the scan."""
+        folder = f"{self.path}/{FLOW}/scan={scan}"
+        if self.scans().filter((F.col("scan") == scan) & (F.col("status") == "succeeded")).isEmpty():
+            raise LookupError(f"scan {scan} has not succeeded")
+        if self._exists(f"{folder}/meta/_SUCCESS"):
+            return opened(self.spark, folder)
+        nodes = self.read("objects", scan).select(F.col("id").alias("node"), "kind", "schema", "scope")
+        uses = self.read("dependencies", scan).select(F.concat_ws(">", F.col("of_source").cast("string"), F.col("of_target").cast("string"), "kind").alias("id"), F.col("of_source").alias("source"), F.col("of_target").alias("target"), "kind")
+        return store(nodes, uses, folder, buckets)
+
     def delete(self, scans: list[int], tables: list[str]) -> None:
         """The states go first, so that nobody reads what is being deleted. A scan that runs is refused."""
         running = self.scans().filter(F.col("scan").isin(*scans) & (F.col("status") == "running")) if scans else None
@@ -85,7 +98,7 @@ class Store:
             raise RuntimeError("a scan that runs can't be deleted")
         for scan in scans:
             self._delete(f"{self.path}/scans/part={scan}")
-            for name in tables:
+            for name in (*tables, FLOW):
                 self._delete(f"{self.path}/{name}/scan={scan}")
 
     def prune(self, keep: int, tables: list[str]) -> list[int]:

@@ -1,6 +1,6 @@
 import pytest
 
-from fathomline.operators import graph
+from fathomline.operators import graph, stored_graph
 
 # A brewery: what is stored says who uses whom; grain and water flow to the glass.
 NODES = {10: ("Barley", "table", "farm"), 20: ("Malt", "view", "mill"), 30: ("Water", "table", "well"), 40: ("Mash", "procedure", "brew"), 50: ("Keg", "table", "brew"), 60: ("Tap", "view", "pub"), 70: ("Bell", "trigger", "pub"), 80: ("Toll", "external", "road")}
@@ -73,3 +73,44 @@ def test_cap_keeps_the_nearest_of_highest_degree_and_more_counts_the_rest(spark,
     wanted = {n: (len({a for a, b in pairs if b == n} - inside), len({b for a, b in pairs if a == n} - inside)) for n in inside}
     assert {x.node: (x.more_up, x.more_down) for x in r.more.collect()} == wanted and any(sum(w) for w in wanted.values())
     assert {(x.source, x.target) for x in r.edges.collect()} == {(a, b) for a, b in pairs if {a, b} <= inside}
+
+
+@pytest.fixture(scope="module")
+def stored(spark, estate, tmp_path_factory):
+    uses = spark.createDataFrame([(i, *u) for i, u in enumerate(USES, 1)], "id int, source int, target int, kind string")
+    folder = f"file://{tmp_path_factory.mktemp('flow')}"
+    stored_graph.store(estate[0], uses, folder, buckets=5)
+    return stored_graph.opened(spark, folder)
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"direction": "both", "depth": 3},
+        {"direction": "up", "depth": 4, "cascaded": False, "external": False},
+        {"direction": "both", "depth": 2, "kinds": ("table", "procedure"), "schemas": ("BREW", "well")},
+        {"direction": "both", "depth": 3, "max_nodes": 3},
+        {"direction": "down", "depth": 3, "edge_kinds": ("parsed_write", "catalog"), "max_nodes": 2},
+    ],
+)
+@pytest.mark.parametrize("focus", [60, 50, 30])
+def test_stored_neighbourhoods_are_those_of_all_edges(spark, estate, stored, focus, options):
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    at = spark.createDataFrame([(focus,)], "node int")
+    a, b = graph.ego_graph(*estate, at, graph.Ego(**options)), stored_graph.ego(stored, at, graph.Ego(**options))
+    assert a.total == b.total and all(rows(getattr(a, part)) == rows(getattr(b, part)) for part in ("reached", "hops", "edges", "more"))
+
+
+def test_a_walk_reads_the_buckets_of_its_frontier_only(spark, stored):
+    at = spark.createDataFrame([(50,)], "node int")
+    near = stored.edges("up", stored.touched(at))
+    assert {f.rsplit("/", 2)[1] for f in near.select("_metadata.file_path").distinct().toPandas()["file_path"]} == {f"bucket={stored.touched(at)[0]}"}
+    scan = near._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_stored_graphs_without_edges_or_known_nodes(spark, estate, tmp_path):
+    none = spark.createDataFrame([], "id int, source int, target int, kind string")
+    empty = stored_graph.store(estate[0], none, f"file://{tmp_path}/g")
+    r = stored_graph.ego(empty, spark.createDataFrame([(60,)], "node int"), graph.Ego())
+    assert [tuple(x) for x in r.reached.collect()] == [(60, 0)] and r.edges.isEmpty() and [tuple(x) for x in r.more.collect()] == [(60, 0, 0)]

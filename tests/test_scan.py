@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import cascade
+from fathomline.operators import cascade, graph, stored_graph
 from fathomline.plans import queries, scan
 from fathomline.sources import schemas
 from fathomline.sources.store import Store
@@ -29,6 +29,26 @@ def test_a_scan_is_stored_with_its_warnings(spark, tmp_path):
     assert all(store.read(t, 1).columns == [f.split()[0] for f in schemas.SCHEMAS[t].split(", ")] for t in ("objects", "dependencies", "externals", "table_stats"))
 
 
+def test_a_scan_keeps_its_flow_edges_until_it_is_deleted(spark, tmp_path):
+    required, selected = inputs(spark)
+    store = Store(spark, f"file://{tmp_path}")
+    with pytest.raises(LookupError):
+        store.graph(4)
+    scan.scan(store, 4, "Local", required, {}, selected, server_name="harbourmaster")
+    ids = {r.object_key.rsplit("|", 1)[1]: r.id for r in store.read("objects", 4).collect()}
+    made, again = store.graph(4), store.graph(4)
+    assert (made.folder, made.buckets, made.rows) == (again.folder, again.buckets, again.rows)
+    walked = stored_graph.ego(again, spark.createDataFrame([(ids["vBerths"],)], "node long"), graph.Ego("up", 1)).reached
+    nodes = store.read("objects", 4).select(F.col("id").alias("node"), "kind", "schema", "scope")
+    uses = store.read("dependencies", 4).select(F.monotonically_increasing_id().alias("id"), F.col("of_source").alias("source"), F.col("of_target").alias("target"), "kind")
+    plain = graph.ego_graph(nodes, graph.flow_edges(nodes, uses), spark.createDataFrame([(ids["vBerths"],)], "node long"), graph.Ego("up", 1)).reached
+    assert {tuple(r) for r in walked.collect()} == {tuple(r) for r in plain.collect()} and walked.count() > 2
+    store.delete([4], list(scan.TABLES))
+    with pytest.raises(LookupError):
+        store.graph(4)
+    assert not store._exists(made.folder)
+
+
 def test_scans_that_fail_run_or_are_cancelled(spark, tmp_path):
     required, selected = inputs(spark)
     store = Store(spark, f"file://{tmp_path}")
