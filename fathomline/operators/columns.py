@@ -79,8 +79,11 @@ def _last_part(name: Column) -> Column:
     return plain_name(F.regexp_extract(name, r"(?s)(\[[^\]]*+(?:\]\][^\]]*+)*+\]|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^.]*+)\z", 1))
 
 
-def _items(listed: DataFrame) -> DataFrame:
-    """A row for each place of each list: target column, or the item's text, output name, transform and names."""
+def _items(listed: DataFrame, assigned: bool = False) -> DataFrame:
+    """A row for each place of each list: target column, or the item's text, output name, transform and names.
+
+    Items that assign a variable are left out, or kept with the variable as their output name.
+    """
     part = F.struct("i", "name", "word", "word1", "before", "before2", "after", "size", "is_name", "depth")
     is_item = F.col("side") == "item"
     g = listed.groupBy("module", "index", "kind", "list", "place").agg(
@@ -105,7 +108,7 @@ def _items(listed: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("expr", lambda x: x["name"]), " ")
     transform = F.when(aggregate, "aggregate").when(single | star, "passthrough").otherwise("expression")
     keep = ~F.coalesce(F.col("list").startswith("s") & (F.col("_shape") == 3) & first["name"].startswith("@"), F.lit(False))
-    return g.filter(keep).select("module", "index", "kind", "list", "place", "column", _last_part(out).alias("out"), text.alias("text"), transform.alias("transform"), names.alias("names"), (n > 0).alias("filled"))
+    return (g if assigned else g.filter(keep)).select("module", "index", "kind", "list", "place", "column", _last_part(out).alias("out"), text.alias("text"), transform.alias("transform"), names.alias("names"), (n > 0).alias("filled"))
 
 
 def _tables(r: DataFrame) -> DataFrame:
@@ -114,6 +117,22 @@ def _tables(r: DataFrame) -> DataFrame:
     return named.select("module", "index", "kind", "i", F.col("ref").alias("role"), "name", "alias")
 
 
+def sourced(items: DataFrame) -> DataFrame:
+    """A row for each name of each item and each table that it may belong to: source (null if unknown), source_column, guess.
+
+    items: names, _own (the tables at hand) and _run (the procedure called, else null).
+    """
+    each = items.withColumn("_name", F.explode("names"))
+    source_column = _last_part(F.col("_name"))
+    qualifier = F.lower(plain_name(F.regexp_replace(F.col("_name"), r"(?s)\.?(?:\[[^\]]*+(?:\]\][^\]]*+)*+\]|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^.]*+)\z", "")))
+    each = each.withColumns({"source_column": source_column, "_q": qualifier})
+    fits = F.when(F.col("_run").isNotNull(), F.array(plain_name(F.col("_run")))).when(F.col("_q") == "", F.array_distinct(F.transform("_own", lambda t: plain_name(t["name"])))).otherwise(F.slice(F.transform(F.filter("_own", lambda t: (t["alias"] == F.col("_q")) | (t.folded == F.col("_q")) | ((t["last"] == F.col("_q")) & (t["alias"] == ""))), lambda t: plain_name(t["name"])), 1, 1))
+    each = each.withColumn("_fits", fits)
+    each = each.withColumn("guess", (F.col("_q") == "") & (F.size("_fits") > 1))
+    out = each.withColumn("source", F.explode_outer("_fits"))
+    return out.withColumn("source", F.coalesce("source", F.when(F.col("_q") != "", F.col("_q"))))
+
+
 def column_edges(modules: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(edges, issues). edges: module, statement, kind, target, target_column, place, source (table name), source_column, guess, transform, expression.
 
@@ -156,18 +175,10 @@ def column_edges(modules: DataFrame, body: str = "body") -> tuple[DataFrame, Dat
     items = items.filter((~given & (F.col("kind") == "insert")) | F.col("target_column").isNotNull())
     # Of a MERGE's pairs with the same column and text the first stays.
     items = items.withColumn("_same", F.when(F.col("kind") == "merge", F.row_number().over(Window.partitionBy("module", "index", F.lower("target_column"), "text").orderBy("list", "place"))).otherwise(1)).filter("_same = 1")
-    each = items.withColumn("_name", F.explode("names"))
-    source_column = _last_part(F.col("_name"))
-    qualifier = F.lower(plain_name(F.regexp_replace(F.col("_name"), r"(?s)\.?(?:\[[^\]]*+(?:\]\][^\]]*+)*+\]|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^.]*+)\z", "")))
-    each = each.withColumns({"source_column": source_column, "_q": qualifier})
-    fits = F.when(F.col("_run").isNotNull(), F.array(plain_name(F.col("_run")))).when(F.col("_q") == "", F.array_distinct(F.transform("_own", lambda t: plain_name(t["name"])))).otherwise(F.slice(F.transform(F.filter("_own", lambda t: (t["alias"] == F.col("_q")) | (t.folded == F.col("_q")) | ((t["last"] == F.col("_q")) & (t["alias"] == ""))), lambda t: plain_name(t["name"])), 1, 1))
-    each = each.withColumn("_fits", fits)
-    each = each.withColumn("guess", (F.col("_q") == "") & (F.size("_fits") > 1))
-    out = each.withColumn("source", F.explode_outer("_fits"))
-    unknown = F.when(F.col("source").isNull() & (F.col("_q") != ""), F.col("_q"))
+    out = sourced(items)
     is_run = F.col("_run").isNotNull()
     transform, text = F.when(is_run, "pseudo").otherwise(F.col("transform")), F.when(is_run, F.concat(F.lit("EXEC "), "_run")).otherwise(F.col("text"))
-    return out.select("module", F.col("index").alias("statement"), "kind", "target", "target_column", "list", "place", "out", F.coalesce("source", unknown).alias("source"), "source_column", "guess", transform.alias("transform"), F.substring(text, 1, 2000).alias("expression")), issues
+    return out.select("module", F.col("index").alias("statement"), "kind", "target", "target_column", "list", "place", "out", "source", "source_column", "guess", transform.alias("transform"), F.substring(text, 1, 2000).alias("expression")), issues
 
 
 def catalog_targets(edges: DataFrame, owners: DataFrame, objects: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -225,5 +236,5 @@ def resolved(edges: DataFrame, owners: DataFrame, objects: DataFrame, columns: D
     star = F.col("source_column") == "*"
     confidence = F.when(star | (F.col("_node").isNull() & ~temp), "unresolved").when(F.col("_known") & (F.col("transform") == "passthrough"), "exact").otherwise("inferred")
     transform = F.when(star, "star").when(temp, "temp").otherwise(F.col("transform"))
-    kind = F.when(F.col("target").startswith("#"), "temp").when(F.col("target").startswith("@"), "tablevar").otherwise("table")
+    kind = F.when(F.col("kind") == "return", "self").when(F.col("target").startswith("#"), "temp").when(F.col("target").startswith("@"), "tablevar").otherwise("table")
     return e.select("owner", "db", kind.alias("target_kind"), "target", "target_column", F.lit(None).cast("int").alias("resultset"), "source", "source_column", confidence.alias("confidence"), transform.alias("transform"), "statement").distinct()

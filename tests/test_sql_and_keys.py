@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions.scalar import multipart
-from fathomline.operators import columns, keys, tsql
+from fathomline.operators import columns, keys, tsql, variables
 from fathomline.plans import details
 from fathomline.sources import catalog
 
@@ -95,3 +95,28 @@ def test_parts_are_gathered_by_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     rows = {r.node: r for r in out.collect()}
     assert set(rows) == {"a", "b"} and [(x.n, x.node_name) for x in rows["a"].p7] == [(0, None), (7, "u")] and rows["b"].p3 == []
+
+
+def returned(spark, *bodies):
+    rows = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "module string, body string")
+    return {(r.module, r.source, r.source_column, r.transform) for r in variables.returned_edges(rows).collect()}
+
+
+def test_variables_flow_forward_only_and_within_their_module(spark):
+    found = returned(
+        spark,
+        "SET @b = @a SELECT @a = x FROM dbo.t RETURN @b",  # assigned too early
+        "SELECT @a = x FROM dbo.t SET @b = @A SET @a = @b RETURN @a + @c",  # a cycle
+        "RETURN @a",  # another module's name
+        "SELECT @a = MIN(x) FROM dbo.t SET @b = (SELECT y FROM dbo.u WHERE z = @a) RETURN @b",
+        None, "", "SELECT @a = 1 RETURN @a",
+        "SELECT @a = x FROM dbo.t RETURN (SELECT w FROM dbo.v)",
+        "SELECT @a = * FROM dbo.t SET @a = @a RETURN '@a'",
+    )
+    assert found == {("1", "dbo.t", "x", "expression"), ("3", "dbo.t", "x", "aggregate"), ("3", "dbo.u", "y", "expression"), ("7", "dbo.v", "w", "passthrough")}
+    assert returned(spark) == set()
+
+
+def test_declared_tables_of_odd_bodies(spark):
+    rows = spark.createDataFrame([(1, "CREATE TABLE dbo.real (a int)"), (2, "DECLARE @t TABLE (a int) DECLARE @t TABLE (b int, a int)"), (3, None), (4, "DECLARE @t TABLE (")], "module int, body string")
+    assert {(r.module, r.statement, r.name, r.ordinal, r.column) for r in variables.declared_tables(rows).collect()} == {(2, 0, "@t", 1, "a"), (2, 1, "@t", 1, "b"), (2, 1, "@t", 2, "a")}
