@@ -101,13 +101,16 @@ def compute_closure(objects: DataFrame, dependencies: DataFrame, foreign_keys: D
         edges = edges.filter("kind <> 'trigger_of'").unionByName(edges.filter("kind = 'trigger_of'").join(own, "visit", "left_semi").select(edges.columns))
     edges = checkpoint(edges)
     exists = objects.select(key(F.col("db"), F.col("object_id")).alias("key"))
-    frontier = scope.select("key")
+    frontier, levels = scope.select("key"), 0
     while True:
         reached = edges.join(frontier.withColumnRenamed("key", "visit"), "visit", "left_semi").filter("next IS NOT NULL").select(F.col("next").alias("key")).distinct()
         frontier = checkpoint(reached.join(exists, "key", "left_semi").join(scope, "key", "left_anti"))
         if frontier.isEmpty():
             break
-        scope = checkpoint(scope.unionByName(frontier.withColumn("scope", F.lit("cascaded"))))
+        # Each level is written once; only every 16th gathers them, so that a deep closure's plan stays short.
+        scope, levels = scope.unionByName(frontier.withColumn("scope", F.lit("cascaded"))), levels + 1
+        if levels % 16 == 0:
+            scope = checkpoint(scope)
     visited = scope.select(F.col("key").alias("visit"))
     found = edges.join(visited, "visit", "left_semi").withColumn("kind", F.when(F.col("kind") == "trigger_of", "trigger").otherwise(F.col("kind")))
     outside = externals.join(scope.select(F.col("key").alias("source")), "source", "left_semi").drop("source").dropDuplicates(["external_key"])

@@ -698,4 +698,4 @@ def cascade_rules_scope(s, d):
     return _rules(s).scope
 
 
-from . import scan_queries, snapshot_queries, sql_queries, variable_queries  # noqa: E402, F401  (they register their queries here)
+from . import scan_queries, scope_queries, snapshot_queries, sql_queries, variable_queries  # noqa: E402, F401  (they register their queries here)

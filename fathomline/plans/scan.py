@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from ..operators.cascade import compute_closure
-from ..sources.catalog import attempted
+from ..sources.catalog import attempted, cancelled
 from ..sources.schemas import SCHEMAS, conformed
 from ..sources.store import Store
 from . import snapshot
@@ -21,16 +21,35 @@ PHASES = ("cascade", "extract", "stats", "lineage", "finalize")
 TABLES = tuple(t for t in SCHEMAS if t not in ("scans", "annotations", "tags", "tag_assignments", "meta"))
 
 
-#: Spark's error classes of jobs that were interrupted.
-CANCELLED = ("SPARK_JOB_CANCELLED", "OPERATION_CANCELED")
+def tag(number: int) -> str:
+    return f"scan-{number}"
 
 
 class Progress:
-    """Where a scan is, for whoever asks: its phase and the last messages."""
+    """Where a scan is, for whoever asks from any thread: its phase, the last messages, tables written, and Spark's counts of its jobs."""
 
     def __init__(self, kept: int = 200):
         self.phase: str | None = None
         self.log: deque[str] = deque(maxlen=kept)
+        self.tables = 0
+
+    def wrote(self, table: str) -> None:
+        self.tables += 1
+        self.log.append(f"{table} written")
+
+    @staticmethod
+    def counts(store: Store, number: int) -> dict[str, int]:
+        """Jobs, tasks, finished tasks and running tasks of a scan's jobs that Spark still remembers, by the tag they carry."""
+        tracker, total = store.spark._jsc.sc().statusTracker(), dict.fromkeys(("jobs", "tasks", "done", "active"), 0)
+        for job in tracker.getJobIdsForTag(tag(number)):
+            info = tracker.getJobInfo(job)
+            total["jobs"] += 1
+            for stage in info.get().stageIds() if info.isDefined() else ():
+                at = tracker.getStageInfo(stage)
+                if at.isDefined():
+                    for name, count in (("tasks", at.get().numTasks()), ("done", at.get().numCompletedTasks()), ("active", at.get().numActiveTasks())):
+                        total[name] += count
+        return total
 
     def enter(self, phase: str) -> None:
         self.phase = phase
@@ -51,14 +70,15 @@ def scan(store: Store, number: int, connection: str, required: dict[str, DataFra
     with store.single_flight(connection):
         started = clock()
         store.state(number, connection, "running", started)
-        spark.addTag(f"scan-{number}")
+        spark.sparkContext.addJobTag(tag(number))
+        spark.addTag(tag(number))
         try:
             progress.enter("cascade")
             closure = compute_closure(required["objects"], required["dependencies"], required["foreign_keys"], required["triggers"], required["synonyms"], selected, **options)
             progress.enter("extract")
             details = details or {}
             found = snapshot.objects(connection, required["objects"], closure, details.get("modules"), details.get("descriptions"))
-            put = lambda name, rows: (store.write_table(number, name, conformed(rows, name)), written.add(name))
+            put = lambda name, rows: (store.write_table(number, name, conformed(rows, name)), written.add(name), progress.wrote(name))
             written: set[str] = set()
             put("objects", found)
             found = store.read("objects", number)
@@ -89,14 +109,20 @@ def scan(store: Store, number: int, connection: str, required: dict[str, DataFra
                 if name not in written:
                     put(name, spark.createDataFrame([], SCHEMAS[name]))
         except BaseException as error:
-            spark.removeTag(f"scan-{number}")
-            cancelled = isinstance(error, KeyboardInterrupt) or any(f"[{c}]" in str(error) for c in CANCELLED)
-            store.state(number, connection, "cancelled" if cancelled else "failed", started, clock(), f"{type(error).__name__}: {error}"[:2000])
+            _untag(store, number)
+            store.state(number, connection, "cancelled" if cancelled(error) else "failed", started, clock(), f"{type(error).__name__}: {error}"[:2000])
             raise
-        spark.removeTag(f"scan-{number}")
+        _untag(store, number)
         store.state(number, connection, "succeeded", started, clock())
         return warnings
 
 
+def _untag(store: Store, number: int) -> None:
+    store.spark.removeTag(tag(number))
+    store.spark.sparkContext.removeJobTag(tag(number))
+
+
 def cancel(store: Store, number: int) -> None:
-    store.spark.interruptTag(f"scan-{number}")
+    """Interrupts the scan's jobs; Spark ends the Python workers of tasks that it kills. No-one waits for anything here."""
+    store.spark.interruptTag(tag(number))
+    store.spark.sparkContext.cancelJobsWithTag(tag(number))

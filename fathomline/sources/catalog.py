@@ -188,12 +188,22 @@ def index_usage(indexes: DataFrame, usage: DataFrame) -> DataFrame:
     return indexes.join(usage, ["object_id", "index_id"], "left").fillna(0, counters)
 
 
+#: Spark's error classes of jobs that were interrupted.
+CANCELLED = ("SPARK_JOB_CANCELLED", "OPERATION_CANCELED")
+
+
+def cancelled(error: BaseException) -> bool:
+    return isinstance(error, KeyboardInterrupt) or any(f"[{c}]" in str(error) for c in CANCELLED)
+
+
 def attempted(**sources) -> tuple[dict[str, DataFrame], list[str]]:
     """Each source's rows if they can be read, else a warning: sources are functions without arguments."""
     found, warnings = {}, []
     for name, load in sources.items():
         try:
             found[name] = load()
-        except Exception as error:  # any failure of one family leaves the others
+        except Exception as error:  # any failure of one family leaves the others; one that was cancelled isn't a failure
+            if cancelled(error):
+                raise
             warnings.append(f"{name}: {type(error).__name__}")
     return found, warnings

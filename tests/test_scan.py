@@ -1,3 +1,6 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +83,38 @@ def test_the_jobs_of_a_scan_carry_the_tag_that_cancel_interrupts(spark, tmp_path
     assert seen == [{"scan-7"}] and "scan-7" not in spark.getTags() and not scan.cancel(store, 7)
 
 
+def test_a_scan_that_waits_in_a_python_worker_is_counted_and_cancelled(spark, tmp_path):
+    required, selected = inputs(spark)
+    store, progress, seen = Store(spark, f"file://{tmp_path}"), scan.Progress(), []
+
+    def sleeps(i):
+        time.sleep(120)
+        return i
+
+    def other():
+        for _ in range(600):
+            counts = progress.counts(store, 9)
+            if progress.phase == "stats" and counts["active"]:
+                seen.append((counts, progress.tables))
+                return scan.cancel(store, 9)
+            time.sleep(0.1)
+
+    watcher = threading.Thread(target=other)
+    watcher.start()
+    began = time.time()
+    with pytest.raises(Exception):  # noqa: B017
+        scan.scan(store, 9, "Local", required, {"table_stats": lambda: spark.createDataFrame([("Port", 14)], "db string, object_id long").withColumn("row_count", F.udf(sleeps, "long")("object_id"))}, selected, progress)
+    watcher.join()
+    assert time.time() - began < 100 and store.scans().first().status == "cancelled"
+    counts, tables = seen[0]
+    assert counts["jobs"] > 1 and counts["tasks"] >= counts["done"] + counts["active"] > 0 and tables >= 3 and "objects written" in progress.log
+    for _ in range(100):  # nothing of it runs on
+        if not progress.counts(store, 9)["active"]:
+            break
+        time.sleep(0.1)
+    assert progress.counts(store, 9)["active"] == 0 and "scan-9" not in spark.getTags()
+
+
 def test_closure_options(spark):
     objects = spark.createDataFrame([("Farm", 1, "Field", "Hay", "table"), ("Farm", 2, "Field", "onHay", "trigger"), ("Farm", 3, "Barn", "Cow", "table"), ("Farm", 4, "Barn", "onCow", "trigger")], "db string, object_id long, schema string, name string, kind string")
     deps = spark.createDataFrame([], "db string, referencing_id long, referencing_minor_id int, referenced_id long, referenced_server_name string, referenced_database_name string, referenced_schema_name string, referenced_entity_name string, is_caller_dependent boolean, is_ambiguous boolean")
