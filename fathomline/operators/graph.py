@@ -181,13 +181,16 @@ def collapse(columns: DataFrame, objects: DataFrame, edges: DataFrame, longest:
     return done
 
 
-def column_ego(columns: DataFrame, objects: DataFrame, edges: DataFrame, seeds: DataFrame, *, direction: str = "both", depth: int = 2, min_confidence: str = "unresolved", max_nodes: int = 150) -> tuple[DataFrame, DataFrame, int]:
-    """(object, hop), (edges among the returned columns), total objects. seeds: column."""
+def column_ego(columns: DataFrame, objects: DataFrame, edges: DataFrame, seeds: DataFrame, *, direction: str = "both", depth: int = 2, min_confidence: str = "unresolved", max_nodes: int = 150, focus: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(object, hop), (edges among the returned columns), total objects. seeds: column; focus: the object they belong to (one row), which is there at hop 0 also without any."""
     used = checkpoint(edges.filter(confidence_rank(F.col("confidence")) >= confidence_rank(F.lit(min_confidence))))
     walked = walk(seeds.select(F.col("column").alias("node")), used, columns.select(F.col("column").alias("node")), direction, depth)
     of = walked.join(columns.select(F.col("column").alias("node"), "object"), "node")
     nearest = Window.partitionBy("object").orderBy(F.abs("hop"), "hop")
-    hops = checkpoint(of.withColumn("_r", F.row_number().over(nearest)).filter("_r = 1").select("object", "hop"))
+    placed = of.select("object", "hop")
+    if focus is not None:
+        placed = placed.unionByName(focus.select("object", F.lit(0).alias("hop")))
+    hops = checkpoint(placed.withColumn("_r", F.row_number().over(nearest)).filter("_r = 1").select("object", "hop"))
     total = hops.count()
     if total > max_nodes:
         ends = edges.select(F.col("source").alias("column")).unionByName(edges.select(F.col("target").alias("column")))

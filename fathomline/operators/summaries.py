@@ -181,9 +181,26 @@ def pseudo_columns(columns: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(counts, "node", "left").select("node", "name", (F.coalesce("_c", F.lit(0)) + place).alias("ordinal"))
 
 
-def shown_nodes(hops: DataFrame, objects: DataFrame) -> DataFrame:
-    """A graph's nodes as they are shown: by hop, then name; ids are `o:` and the node."""
-    return hops.join(objects, "node").select(F.concat(F.lit("o:"), F.col("node").cast("string")).alias("id"), "hop", "name", "kind", "schema").orderBy("hop", F.lower("name"), "id")
+def _shown(prefix: str, column: str):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def shown_nodes(hops: DataFrame, objects: DataFrame, tags: DataFrame | None = None, key: str = "node") -> DataFrame:
+    """A graph's nodes as they are shown: by hop, then name; ids are `o:` and the node.
+
+    tags: key, tag. A node's are those of its key (the column of objects so named), whatever the case, each once and sorted.
+    """
+    rows = hops.join(objects, "node")
+    if tags is not None:
+        of = tags.groupBy(F.lower("key").alias("_key")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+        rows = rows.withColumn("_key", F.lower(F.col(key))).join(of, "_key", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return rows.select(_shown("o:", "node").alias("id"), "hop", "name", "kind", "schema", *(["tags"] if tags is not None else [])).orderBy("hop", F.lower("name"), "id")
+
+
+def shown_edges(edges: DataFrame, ends: str = "o:") -> DataFrame:
+    """Edges as they are shown: ids `e:` and their own, ends `o:` and the object or `c:` and the column; other columns stay."""
+    rest = [c for c in edges.columns if c not in ("id", "source", "target")]
+    return edges.select(_shown("e:", "id").alias("id"), _shown(ends, "source").alias("source"), _shown(ends, "target").alias("target"), *rest).orderBy("source", "target", "id")
 
 
 def column_more(columns: DataFrame, edges: DataFrame, returned: DataFrame) -> DataFrame:
