@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.reads import latest
+from ..sources.store import Store
+from .scan import Progress
+
 
 def _parts(rows: DataFrame, key: str, name: str, *columns: str) -> DataFrame:
     """One row for each key with its rows as a sorted array of structs."""
@@ -47,3 +51,26 @@ def lookup(objects: DataFrame, key: str) -> DataFrame:
     if len(parts) != 4:
         return objects.limit(0)
     return objects.filter((F.lower("db") == parts[1].lower()) & (F.lower("schema") == parts[2].lower()) & (F.lower("name") == parts[3].lower()))
+
+
+def definition(objects: DataFrame, key: str) -> DataFrame:
+    """object_key, definition of the object that a key names; no row if there is none or it has no definition."""
+    return lookup(objects, key).filter("definition IS NOT NULL").select("object_key", "definition")
+
+
+def info(store: Store) -> DataFrame:
+    """connection, scans (of any state), and number and end of the latest that succeeded; names of connections are one whatever their case."""
+    scans = store.scans()
+    counted = scans.groupBy(F.lower("connection").alias("_c")).agg(F.min("connection").alias("connection"), F.count(F.lit(1)).alias("scans"))
+    last = latest(scans).select(F.lower("connection").alias("_c"), F.col("scan").alias("latest"), "finished")
+    return counted.join(last, "_c", "left").drop("_c")
+
+
+def scan_status(store: Store, number: int, progress: Progress | None = None) -> dict | None:
+    """A scan's state, and, of one that this process runs, its phase, messages, tables and Spark's counts. None if there is no such scan."""
+    row = store.scans().filter(F.col("scan") == number).first()
+    if row is None:
+        return None
+    running = progress is not None and row.status == "running"
+    told = {"phase": progress.phase, "log": list(progress.log), "tables": progress.tables} if progress else {}
+    return row.asDict() | told | (progress.counts(store, number) if running else {})

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import cascade, graph, stored_graph
-from fathomline.plans import queries, scan
+from fathomline.plans import details, queries, scan
 from fathomline.sources import schemas
 from fathomline.sources.store import Store
 
@@ -46,6 +46,13 @@ def test_a_scan_keeps_its_flow_edges_until_it_is_deleted(spark, tmp_path):
     uses = store.read("dependencies", 4).select(F.monotonically_increasing_id().alias("id"), F.col("of_source").alias("source"), F.col("of_target").alias("target"), "kind")
     plain = graph.ego_graph(nodes, graph.flow_edges(nodes, uses), spark.createDataFrame([(ids["vBerths"],)], "node long"), graph.Ego("up", 1)).reached
     assert {tuple(r) for r in walked.collect()} == {tuple(r) for r in plain.collect()} and walked.count() > 2
+    scan.scan(store, 5, "LOCAL", required, {}, selected, progress := scan.Progress(), server_name="harbourmaster")
+    assert [(r.scans, r.latest) for r in details.info(store).collect()] == [(2, 5)]
+    status = details.scan_status(store, 5, progress)
+    assert (status["status"], status["phase"], status["tables"]) == ("succeeded", "finalize", len(scan.TABLES)) and details.scan_status(store, 6) is None
+    defined = store.read("objects", 4).withColumn("definition", F.when(F.col("kind") == "view", F.concat(F.lit("AS "), "name")))
+    assert [tuple(r) for r in details.definition(defined, "local|PORT|Deck|vberths").collect()] == [("Local|Port|deck|vBerths", "AS vBerths")]
+    assert details.definition(defined, "local|port|deck|crane").isEmpty() and details.definition(defined, "odd").isEmpty()
     store.delete([4], list(scan.TABLES))
     with pytest.raises(LookupError):
         store.graph(4)

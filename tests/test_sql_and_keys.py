@@ -120,3 +120,12 @@ def test_variables_flow_forward_only_and_within_their_module(spark):
 def test_declared_tables_of_odd_bodies(spark):
     rows = spark.createDataFrame([(1, "CREATE TABLE dbo.real (a int)"), (2, "DECLARE @t TABLE (a int) DECLARE @t TABLE (b int, a int)"), (3, None), (4, "DECLARE @t TABLE (")], "module int, body string")
     assert {(r.module, r.statement, r.name, r.ordinal, r.column) for r in variables.declared_tables(rows).collect()} == {(2, 0, "@t", 1, "a"), (2, 1, "@t", 1, "b"), (2, 1, "@t", 2, "a")}
+
+
+def test_snippets_and_expressions_are_cut(spark):
+    long = "x" * 3000
+    rows = spark.createDataFrame([("m", f"EXEC ('{long}') INSERT INTO dbo.t (a) SELECT b + '{long}' FROM dbo.u")], "module string, body string")
+    snippet = tsql.dynamic_sql(tsql.statements(rows)).first().snippet
+    assert len(snippet) == 200 and snippet.startswith("EXEC ('xxx")
+    expression = columns.column_edges(rows)[0].first().expression
+    assert len(expression) == 2000 and expression.startswith("b + 'xxx")
