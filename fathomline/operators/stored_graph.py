@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 from ..session import checkpoint
 from .graph import Ego, EgoResult, first_edges
 
+#: As many nodes as this or fewer, counted, go to all tasks, so that the edges at them aren't shuffled.
+FEW = 65_536
 _ABOUT = ("kind", "schema", "scope")
 #: How a row looks from its other end.
 _TURNED = {"near": "far", "far": "near"} | {f"{a}_{c}": f"{b}_{c}" for a, b in (("near", "far"), ("far", "near")) for c in _ABOUT}
@@ -37,7 +39,12 @@ class StoredGraph:
 
     def touched(self, nodes: DataFrame) -> list[int]:
         """The buckets that nodes (column node) lie in; none if there are no nodes."""
-        return sorted(r[0] for r in nodes.select(_bucket(F.col("node"), self.buckets)).distinct().collect())
+        return self.placed(nodes)[1]
+
+    def placed(self, nodes: DataFrame) -> tuple[DataFrame, list[int]]:
+        """nodes (column node), marked for broadcast if they are FEW, and the buckets that they lie in; none if there are no nodes."""
+        rows = nodes.select(_bucket(F.col("node"), self.buckets)).groupBy("bucket").count().collect()
+        return F.broadcast(nodes) if sum(r[1] for r in rows) <= FEW else nodes, sorted(r[0] for r in rows)
 
     def edges(self, way: str, buckets: list[int]) -> DataFrame:
         """near, far, kind, id, what is known of both ends, bucket. Files of other buckets aren't read."""
@@ -84,7 +91,7 @@ def walk(graph: StoredGraph, focus: DataFrame, options: Ego) -> DataFrame:
     hops = focus.select("node", F.lit(0).alias("hop"), F.lit(False).alias("outside"))
     allowed = options.allowed("far_kind", "far_schema", "far_scope")
     ways = {way: sign for way, sign in (("up", -1), ("down", 1)) if options.direction in (way, "both")}
-    frontier = {way: (focus.select("node"), graph.touched(focus)) for way in ways}
+    frontier = {way: graph.placed(focus.select("node")) for way in ways}
     for level in range(1, options.depth + 1):
         for way, sign in ways.items():
             nodes, buckets = frontier[way]
@@ -93,7 +100,7 @@ def walk(graph: StoredGraph, focus: DataFrame, options: Ego) -> DataFrame:
             near = graph.at(way, nodes, buckets).filter(options.follows() & allowed)
             found = near.groupBy(F.col("far").alias("node")).agg(F.first(F.col("far_scope") == "external").alias("outside"))
             new = checkpoint(found.join(hops, "node", "left_anti"))
-            frontier[way] = (new.select("node"), graph.touched(new))
+            frontier[way] = graph.placed(new.select("node"))
             if frontier[way][1]:
                 hops = hops.unionByName(new.select("node", F.lit(sign * level).alias("hop"), F.coalesce("outside", F.lit(False)).alias("outside")))
         if not any(buckets for _, buckets in frontier.values()):
@@ -107,14 +114,24 @@ def ego(graph: StoredGraph, focus: DataFrame, options: Ego) -> EgoResult:
     total = reached.count()
     kept = reached
     if total > options.max_nodes:
-        buckets = graph.touched(reached)
-        side = lambda way: graph.at(way, reached, buckets).select(F.col("near").alias("node"), "far", F.lit(way).alias("way"))
+        # All nodes of the nearest classes stay; only the class that the cap cuts needs degrees. There are at most two classes a hop.
+        far = F.when(F.col("hop") == 0, False).otherwise(F.col("outside"))
+        classes = reached.groupBy(F.abs("hop").alias("near"), far.alias("far")).count().orderBy("near", "far").collect()
+        room, cut = options.max_nodes, None
+        for cut in classes:
+            if cut["count"] > room:
+                break
+            room -= cut["count"]
+        edge = (F.abs("hop") == cut.near) & (far == cut.far)
+        nearer = (F.abs("hop") < cut.near) | ((F.abs("hop") == cut.near) & ~far & F.lit(cut.far))
+        at_edge = reached.filter(edge)
+        nodes, buckets = graph.placed(at_edge.select("node"))
+        side = lambda way: graph.at(way, nodes, buckets).select(F.col("near").alias("node"), "far", F.lit(way).alias("way"))
         degrees = side("up").unionByName(side("down")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = reached.join(degrees, "node", "left")
-        kept = checkpoint(ranked.orderBy(F.abs("hop"), F.when(F.col("hop") == 0, False).otherwise(F.col("outside")), F.desc(F.coalesce("degree", F.lit(0))), "node").limit(options.max_nodes))
-    inside = kept.select("node")
-    buckets = graph.touched(inside)
-    ends = inside.withColumnRenamed("node", "far")
+        chosen = at_edge.join(degrees, "node", "left").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "node").limit(room)
+        kept = checkpoint(reached.filter(nearer).unionByName(chosen.drop("degree")))
+    inside, buckets = graph.placed(kept.select("node"))
+    ends = inside.select(F.col("node").alias("far"))
     induced = graph.at("down", inside, buckets).filter(options.follows()).join(ends, "far", "left_semi")
 
     def missing(way: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fathomline.operators import cascade, tsql, variables
+from fathomline.operators import graph, stored_graph, tsql, variables
 from fathomline.plans import scope_queries
 
 
@@ -16,3 +16,18 @@ def test_catalogs_of_the_closure_are_not_broadcast(spark):
     """Spark takes exploded rows for as few as their table has; what it broadcasts then fills the driver."""
     found = scope_queries._rules(spark, "/root/testdata/sf0.001")
     assert "BroadcastExchange" not in plan(found.edges) and "BroadcastExchange" not in plan(found.externals)
+
+
+def test_only_the_class_that_a_cap_cuts_is_ranked(spark, tmp_path, monkeypatch):
+    """A focus with 3 near and 60 far nodes, cut among the near ones: degrees are asked of those alone."""
+    deps = [("f", f"a{k}", "parsed_write") for k in range(3)] + [(f"a{k % 3}", f"b{k}", "parsed_write") for k in range(60)] + [("a2", f"c{k}", "parsed_write") for k in range(5)]
+    names = sorted({x for a, b, _ in deps for x in (a, b)})
+    nodes = spark.createDataFrame([(n, "table", "dbo", "in_scope") for n in names], "node string, kind string, schema string, scope string")
+    g = stored_graph.store(nodes, spark.createDataFrame([("+".join(d), *d) for d in deps], "id string, source string, target string, kind string"), f"file://{tmp_path}/g", buckets=4)
+    asked, at = [], stored_graph.StoredGraph.at
+    monkeypatch.setattr(stored_graph.StoredGraph, "at", lambda self, way, near, buckets: asked.append(near.count()) or at(self, way, near, buckets))
+    found = stored_graph.ego(g, spark.createDataFrame([("f",)], "node string"), graph.Ego("down", 2, max_nodes=3))
+    assert found.total == 69 and {r.node for r in found.hops.collect()} == {"f", "a2", "a0"}
+    assert max(asked) == 3
+    whole = stored_graph.ego(g, spark.createDataFrame([("f",)], "node string"), graph.Ego("down", 2, max_nodes=4))
+    assert {r.node for r in whole.hops.collect()} == {"f", "a0", "a1", "a2"}
