@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from fathomline.operators import graph, stored_graph, tsql, variables
 from fathomline.plans import scope_queries
 
@@ -31,3 +29,24 @@ def test_only_the_class_that_a_cap_cuts_is_ranked(spark, tmp_path, monkeypatch):
     assert max(asked) == 3
     whole = stored_graph.ego(g, spark.createDataFrame([("f",)], "node string"), graph.Ego("down", 2, max_nodes=4))
     assert {r.node for r in whole.hops.collect()} == {"f", "a0", "a1", "a2"}
+
+
+def test_bodies_are_dealt_before_they_become_rows(spark, monkeypatch):
+    """One shuffle, of bodies, in parts of equal text: no task's token rows grow with the table."""
+    bodies = spark.createDataFrame([(str(k), "WITH c AS (SELECT a FROM log.leg) SELECT a FROM c, log.foot") for k in range(40)], "module string, body string")
+    monkeypatch.setattr(tsql, "PART_CHARS", 100)
+    found = tsql.module_references(bodies)
+    assert tsql.parts(bodies) == 24
+    assert re.findall(r"Exchange (\w+)\(module#\d+, (\d+)\)", plan(found)) == [("hashpartitioning", "24")] and plan(found).count("Exchange") == 1
+    assert found.rdd.getNumPartitions() == 24
+    assert found.filter("name = 'log.foot'").count() == 40 and found.filter("name = 'c'").count() == 0
+
+
+def test_variables_uses_are_written_once(spark, monkeypatch):
+    """Each level of the fixpoint joined assignments that it made anew from all tokens."""
+    wide, cut = [], variables.checkpoint
+    monkeypatch.setattr(variables, "checkpoint", lambda df: wide.append(plan(df)) or cut(df))
+    rows = spark.createDataFrame([("m", "SELECT @a = x FROM dbo.t SET @b = @a SET @c = @b RETURN @c")], "module string, body string")
+    assert [r.source_column for r in variables.returned_edges(rows).collect()] == ["x"]
+    levels = [p for p in wide if "since" in p and "LeftAnti" in p]
+    assert len(levels) == 3 and not any("Window" in p for p in levels)
