@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,10 +42,14 @@ def type_display(name: Column, max_length: Column, precision: Column, scale: Col
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used: Spark works out again what a branch of WHEN repeats."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def name_parts(name: Column) -> Column:
     """One to four name parts, unquoted; an empty middle part is null. Null where the name isn't well formed."""
     dotted = F.concat(name, F.lit("."))
-    raw = F.regexp_extract_all(dotted, F.lit(_PART), F.lit(1))
     whole = F.length(F.array_join(F.regexp_extract_all(dotted, F.lit(_PART), F.lit(0)), "")) == F.length(dotted)
 
     def plain(p: Column) -> Column:
@@ -52,15 +57,15 @@ def name_parts(name: Column) -> Column:
         inner = F.substring(p, F.lit(2), F.length(p) - 2)
         return F.when(p.startswith("["), F.replace(inner, F.lit("]]"), F.lit("]"))).when(p.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).when(p != "", p)
 
-    parts = F.transform(raw, plain)
-    return F.when(whole & F.size(raw).between(1, 4) & F.element_at(parts, -1).isNotNull(), parts)
+    checked = lambda parts: F.when(whole & F.size(parts).between(1, 4) & F.element_at(parts, -1).isNotNull(), parts)
+    return _once(F.transform(F.regexp_extract_all(dotted, F.lit(_PART), F.lit(1)), plain), checked)
 
 
 def multipart(name: Column) -> Column:
     """struct(server, db, schema, name) of a name of one to four parts."""
-    parts = F.reverse(name_parts(name))
-    at = lambda i: F.get(parts, F.lit(i))
-    return F.when(parts.isNotNull(), F.struct(at(3).alias("server"), at(2).alias("db"), at(1).alias("schema"), at(0).alias("name")))
+    at = lambda parts, i: F.get(parts, F.lit(i))
+    named = lambda p: F.when(p.isNotNull(), F.struct(at(p, 3).alias("server"), at(p, 2).alias("db"), at(p, 1).alias("schema"), at(p, 0).alias("name")))
+    return _once(F.reverse(name_parts(name)), named)
 
 
 def display(server: Column, db: Column, schema: Column, name: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
+_DEALT = 1 << 16  # how many values rows without a key are dealt by
 _SHIFT = 33  # monotonically_increasing_id() has the partition above this bit and the row's place below it
 
 
@@ -29,9 +32,18 @@ def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", first: in
 
 
 def looked_up(rows: DataFrame, ids: DataFrame, on: list[tuple[Column, str]], new: str, required: bool = True) -> DataFrame:
-    """rows with `new`: the id of the row of ids whose columns equal the given values. Without one, a required row goes, another gets null."""
+    """rows with `new`: the id of the row of ids whose columns equal the given values. Without one, a required row goes, another gets null.
+
+    Kept rows that lack a value match nothing. They are dealt by all that they hold, as Spark would send them all to one task.
+    """
     found = ids.select(F.col("id").alias(new), *(F.col(c).alias(f"_k{k}") for k, (_, c) in enumerate(on)))
     held = rows.withColumns({f"_v{k}": v for k, (v, _) in enumerate(on)})
     same = [F.col(f"_v{k}") == F.col(f"_k{k}") for k in range(len(on))]
+    if not required:
+        lacking = reduce(or_, (F.col(f"_v{k}").isNull() for k in range(len(on))))
+        held = held.withColumn("_v", F.when(lacking, F.pmod(F.xxhash64(*rows.columns), F.lit(_DEALT)) + 2).otherwise(0))
+        # Always 0 where it matters, but no constant, which Spark would take out of the join's keys.
+        found = found.withColumn("_k", F.col(new).isNull().cast("long"))
+        same.append(F.col("_v") == F.col("_k"))
     out = held.join(found, same, "inner" if required else "left")
-    return out.drop(*(f"_{x}{k}" for x in "kv" for k in range(len(on))))
+    return out.drop("_v", "_k", *(f"_{x}{k}" for x in "kv" for k in range(len(on))))

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import confidence_rank, multipart
+from .keys import looked_up
 
 
 def named_objects(names: DataFrame, objects: DataFrame, column: str = "name") -> DataFrame:
     """names (with db) and `node` of the object that the name in `column` stands for, null where there is none; of equal names the smallest node."""
     p = names.withColumn("_p", multipart(F.col(column)))
-    by = objects.select(F.lower("db").alias("_d"), F.lower("schema").alias("_s"), F.lower("name").alias("_n"), "node").groupBy("_d", "_s", "_n").agg(F.min("node").alias("node"))
-    same = (F.lower(F.coalesce("_p.db", "db")) == F.col("_d")) & (F.lower(F.coalesce("_p.schema", F.lit("dbo"))) == F.col("_s")) & (F.lower("_p.name") == F.col("_n"))
-    return p.join(by, same, "left").drop("_p", "_d", "_s", "_n")
+    by = objects.select(F.lower("db").alias("_d"), F.lower("schema").alias("_s"), F.lower("name").alias("_n"), "node").groupBy("_d", "_s", "_n").agg(F.min("node").alias("id"))
+    return looked_up(p, by, [(F.lower(F.coalesce("_p.db", "db")), "_d"), (F.lower(F.coalesce("_p.schema", F.lit("dbo"))), "_s"), (F.lower("_p.name"), "_n")], "node", required=False).drop("_p")
 
 
 def parsed_dependencies(references: DataFrame, owners: DataFrame, objects: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def stored_edges(edges: DataFrame, objects: DataFrame, columns: DataFrame) -> tu
     issues = t.filter("target_node IS NULL").select("owner", F.lower("target").alias("_t"), "target").groupBy("owner", "_t").agg(F.min("target").alias("name")).select("owner", "name", F.lit("unresolved_ref").alias("issue"))
     t = t.join(cols, (F.col("target_node") == F.col("_cn")) & (F.lower("target_column") == F.col("_cname"))).drop("_cn", "_cname").withColumnRenamed("column", "target_id")
     s = named_objects(t, objects, "source").withColumnRenamed("node", "source_node")
-    s = s.join(cols, (F.col("source_node") == F.col("_cn")) & (F.lower("source_column") == F.col("_cname")), "left").drop("_cn", "_cname").withColumnRenamed("column", "source_id")
+    s = looked_up(s, cols.withColumnRenamed("column", "id"), [(F.col("source_node"), "_cn"), (F.lower("source_column"), "_cname")], "source_id", required=False)
     s = s.withColumn("source_name", F.when(F.col("source_id").isNull(), F.concat_ws(".", "source", "source_column")))
     first = Window.partitionBy("source_node", "source_id", F.lower("source_name"), "target_id", "statement", "transform").orderBy("owner", "source_name", confidence_rank(F.col("confidence")).desc(), "confidence")
     kept = s.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
@@ -77,7 +77,7 @@ def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) ->
     own = lambda name: F.concat_ws("|", "owner", F.lower(name))
     under = lambda node, name: F.concat_ws("|", node, F.lower(name))
     known = objects.filter("kind <> 'external'")
-    cols = columns.select(F.col("node").alias("_cn"), F.lower("name").alias("_cname"), "column")
+    cols = columns.select(F.col("node").alias("_cn"), F.lower("name").alias("_cname"), F.col("column").alias("id"))
 
     edges = edges.filter("target_column IS NOT NULL")
     e = edges.join(objects.select(F.col("node").alias("owner"), F.col("kind").alias("_kind")), "owner", "left")
@@ -86,15 +86,15 @@ def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) ->
     t = t.withColumn("target_node", F.when(temp, own("target")).when(F.col("target_kind") == "table", F.col("node")).otherwise(F.col("owner"))).drop("node")
     lost = t.filter("target_node IS NULL").groupBy("owner", F.lower("target").alias("_t"))
     issues = lost.agg(F.min_by("target", F.struct("statement", "target")).alias("name"), F.min("statement").alias("statement")).select("owner", "name", "statement", F.lit("unresolved_ref").alias("issue"))
-    looked_up = F.when(~temp & ~result, F.col("target_node"))  # nulls match nothing: columns that modules make are not looked up
-    t = t.withColumn("_look", looked_up).join(cols, (F.col("_look") == F.col("_cn")) & (F.lower("target_column") == F.col("_cname")), "left").drop("_look", "_cn", "_cname")
+    own_column = F.when(~temp & ~result, F.col("target_node"))  # nulls match nothing: columns that modules make are not looked up
+    t = looked_up(t, cols, [(own_column, "_cn"), (F.lower("target_column"), "_cname")], "column", required=False)
     returned = (F.col("target_kind") == "self") & F.col("column").isNull() & (F.col("_kind") == "scalar_function")
     made_id = F.when(temp | returned, under("target_node", "target_column")).when(result, F.concat_ws("|", "target_node", F.concat(F.lit("#rs"), F.col("resultset").cast("string")), F.lower("target_column")))
     t = t.withColumns({"column_kind": F.when(temp, "column").when(result, "resultset").when(returned, "return_value"), "target_id": F.coalesce("column", made_id)}).drop("column").filter("target_id IS NOT NULL")
 
     s = named_objects(t.withColumn("_name", F.when(~made, F.col("source"))), known, "_name").drop("_name")
     s = s.withColumn("source_node", F.when(made, own("source")).otherwise(F.col("node"))).drop("node")
-    s = s.withColumn("_look", F.when(~made, F.col("source_node"))).join(cols, (F.col("_look") == F.col("_cn")) & (F.lower("source_column") == F.col("_cname")), "left").drop("_look", "_cn", "_cname")
+    s = looked_up(s, cols, [(F.when(~made, F.col("source_node")), "_cn"), (F.lower("source_column"), "_cname")], "column", required=False)
     s = s.withColumn("source_id", F.when(made & ~whole, under("source_node", "source_column")).otherwise(F.col("column"))).drop("column")
     name = F.when(F.col("source_id").isNull(), F.when(F.col("source_node").isNull(), F.concat_ws(".", "source", "source_column")).otherwise(F.col("source_column")))
     s = s.withColumns({"source_name": name, "via_object": F.when(temp | (F.col("target_kind") == "table"), F.col("owner"))})

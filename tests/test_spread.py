@@ -2,7 +2,9 @@
 
 import re
 
-from fathomline.operators import graph, stored_graph, tsql, variables
+from pyspark.sql import functions as F
+
+from fathomline.operators import graph, lineage, stored_graph, tsql, variables
 from fathomline.plans import scope_queries
 
 
@@ -50,3 +52,19 @@ def test_variables_uses_are_written_once(spark, monkeypatch):
     assert [r.source_column for r in variables.returned_edges(rows).collect()] == ["x"]
     levels = [p for p in wide if "since" in p and "LeftAnti" in p]
     assert len(levels) == 3 and not any("Window" in p for p in levels)
+
+
+def test_rows_without_a_name_are_spread(spark):
+    """All rows whose name is null went to one task, and so did all without a node where columns are looked up."""
+    objects = spark.createDataFrame([("a", "shop", "dbo", "leg"), ("b", "shop", "dbo", "Leg"), (None, "shop", "dbo", "nil")], "node string, db string, schema string, name string")
+    rows = spark.range(4000).select(F.lit("shop").alias("db"), F.when(F.col("id") < 2, "LEG").when(F.col("id") == 2, "nil").when(F.col("id") == 3, "a..").alias("name"), "id")
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        found = lineage.named_objects(rows, objects)
+        assert max(r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max("node")).collect()) < 2000  # without node no join
+        assert found.columns == ["db", "name", "id", "node"]
+        assert {tuple(r) for r in found.groupBy("name", "node").count().collect()} == {("LEG", "a", 2), ("nil", None, 1), ("a..", None, 1), (None, None, 3996)}
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
