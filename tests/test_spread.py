@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fathomline.operators import graph, lineage, stored_graph, tsql, variables
+from fathomline.operators import columns, graph, lineage, stored_graph, tsql, variables
 from fathomline.plans import scope_queries
 
 
@@ -68,3 +68,29 @@ def test_rows_without_a_name_are_spread(spark):
     finally:
         for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
             spark.conf.unset(key)
+
+
+def test_generated_methods_are_small_enough_to_compile(spark):
+    """Java interprets methods of over 8000 bytes for good; two steps on token rows had 11202 and 14426."""
+    bodies = spark.createDataFrame([("m", "SELECT a FROM log.leg")], "module string, body string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found in (tsql.module_references(bodies), columns.column_edges(bodies)[0], variables.declared_tables(bodies), tsql.statements(bodies)):
+            code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(found._jdf.queryExecution().executedPlan())
+            assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_blanks_and_parts_of_names_are_no_rows(spark):
+    rows = spark.createDataFrame([("m", "SELECT  [a b] . c , d.e.f /* x */ FROM\n dbo.t ;. u")], "module string, body string")
+    found = tsql.runs(tsql.statement_tokens(tsql.name_tokens(rows))).orderBy("i")
+    assert [(r.token, r.size) for r in found.collect()] == [("SELECT", 1), ("[a b].c", 3), (",", 1), ("d.e.f", 5), ("FROM", 1), ("dbo.t", 3)]
+
+
+def test_few_tokens_bound_statements(spark):
+    """All tokens went through all windows, though a few words decide where statements begin and end."""
+    body = "  SELECT a , b , CASE WHEN c THEN d END FROM log.leg WHERE x = 1 ; ; EXEC  log.sail 1 , 2 /* no */  "
+    rows = spark.createDataFrame([("m", body)], "module string, body string")
+    assert [(r.kind, body[r.start : r.end]) for r in tsql.statements(rows).orderBy("index").collect()] == [("select", "SELECT a , b , CASE WHEN c THEN d END FROM log.leg WHERE x = 1"), ("exec", "EXEC  log.sail 1 , 2")]
+    assert tsql.statement_tokens(tsql.tokens(rows), bounds=True).count() == 5  # SELECT, CASE, END, EXEC and the last
