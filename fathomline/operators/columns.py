@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .keys import looked_up
 from .lineage import named_objects
 from .tsql import name_tokens, named_tables, parts, plain_name, runs, statement_tokens
 
@@ -237,9 +238,9 @@ def resolved(edges: DataFrame, owners: DataFrame, objects: DataFrame, columns: D
     e = edges.join(owners.select("module", "owner", "db"), "module").withColumn("_id", F.struct("module", "statement", "list", "place", "target_column", F.lower("source_column").alias("c")))
     temp = F.coalesce(F.col("source").rlike("^[#@]"), F.lit(False))
     e = named_objects(e.withColumn("_source", F.when(~temp, F.col("source"))), objects, "_source").drop("_source").withColumnRenamed("node", "_node")
-    known = columns.select(F.col("node").alias("_n"), F.lower("name").alias("_c"), F.lit(True).alias("_known"))
-    e = e.join(known, (F.col("_node") == F.col("_n")) & (F.lower("source_column") == F.col("_c")), "left").drop("_n", "_c")
-    e = e.withColumn("_known", F.coalesce("_known", F.lit(False)))
+    known = columns.select(F.col("node").alias("_cn"), F.lower("name").alias("_cname"), F.col("column").alias("id"))
+    e = looked_up(e, known, [(F.col("_node"), "_cn"), (F.lower("source_column"), "_cname")], "_column", required=False)
+    e = e.withColumn("_known", F.col("_column").isNotNull()).drop("_column")
     e = e.withColumn("_any", F.max("_known").over(Window.partitionBy("_id"))).filter("NOT guess OR _known OR NOT _any")
     lost = F.col("guess") & ~F.col("_any")
     e = e.withColumns({"source": F.when(~lost, F.col("source")), "_node": F.when(~lost, F.col("_node"))})

@@ -42,8 +42,8 @@ def looked_up(rows: DataFrame, ids: DataFrame, on: list[tuple[Column, str]], new
     if not required:
         lacking = reduce(or_, (F.col(f"_v{k}").isNull() for k in range(len(on))))
         held = held.withColumn("_v", F.when(lacking, F.pmod(F.xxhash64(*rows.columns), F.lit(_DEALT)) + 2).otherwise(0))
-        # Always 0 where it matters, but no constant, which Spark would take out of the join's keys.
-        found = found.withColumn("_k", F.col(new).isNull().cast("long"))
+        # Always 0, but nothing that Spark can tell to be a constant (as isNull() of an id that is never null), which it would take out of the join's keys.
+        found = found.withColumn("_k", F.when(F.length(F.col(new).cast("string")) < 0, 1).otherwise(0).cast("long"))
         same.append(F.col("_v") == F.col("_k"))
     out = held.join(found, same, "inner" if required else "left")
     return out.drop("_v", "_k", *(f"_{x}{k}" for x in "kv" for k in range(len(on))))

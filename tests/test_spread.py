@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from fathomline.operators import columns, graph, lineage, stored_graph, tsql, variables
-from fathomline.plans import scope_queries
+from fathomline.plans import scope_queries, sql_queries
 
 
 def plan(df) -> str:
@@ -94,3 +94,15 @@ def test_few_tokens_bound_statements(spark):
     rows = spark.createDataFrame([("m", body)], "module string, body string")
     assert [(r.kind, body[r.start : r.end]) for r in tsql.statements(rows).orderBy("index").collect()] == [("select", "SELECT a , b , CASE WHEN c THEN d END FROM log.leg WHERE x = 1"), ("exec", "EXEC  log.sail 1 , 2")]
     assert tsql.statement_tokens(tsql.tokens(rows), bounds=True).count() == 5  # SELECT, CASE, END, EXEC and the last
+
+
+def test_sources_that_are_no_tables_are_spread(spark):
+    """Edges without a known table went to one task where their columns are looked up; so did rows without a key where ids are never null."""
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        joins = re.findall(r"SortMergeJoin \[(.*)\], \[(.*)\], LeftOuter", plan(sql_queries._resolved(spark, "/root/testdata/sf0.001")))
+        assert len(joins) == 2 and all(re.search(r"\b_v#", left) and re.search(r"\b_k#", right) for left, right in joins)
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
