@@ -106,3 +106,17 @@ def test_sources_that_are_no_tables_are_spread(spark):
     finally:
         for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
             spark.conf.unset(key)
+
+
+def test_declarations_are_found_without_joins(spark, monkeypatch):
+    """Edges of open lists met definitions in joins, in partitions that grew with the table, and bodies were cut into tokens several times."""
+    body = "DECLARE @t TABLE (a int, b int) INSERT @t SELECT x, y FROM log.leg DECLARE @T TABLE (B int, c int, d int) INSERT @t SELECT y AS b, z FROM log.leg INSERT @late SELECT v FROM log.leg DECLARE @late TABLE (e int) INSERT @t EXEC log.unload INSERT dbo.u SELECT w FROM log.leg"
+    bodies = spark.createDataFrame([(str(k), body) for k in range(20)], "module string, body string")
+    monkeypatch.setattr(tsql, "PART_CHARS", 1000)
+    edges, issues = variables.declared_edges(bodies)
+    for found in (edges, issues):
+        assert "Join" not in plan(found) and "regexp_extract_all" not in plan(found)
+        assert set(re.findall(r"Exchange (\w+)\(([a-z_]+)#\d+(.*?)\)", plan(found))) == {("hashpartitioning", "module", f", {tsql.parts(bodies)}")}
+    rows = edges.groupBy("statement", "target", "target_column", "source_column").count().collect()
+    assert {tuple(r) for r in rows} == {(1, "@t", "a", "x", 20), (1, "@t", "b", "y", 20), (3, "@t", "B", "y", 20), (4, "@late", None, "v", 20), *((6, "@t", c, "*", 20) for c in "Bcd"), (7, "dbo.u", None, "w", 20)}
+    assert {tuple(r) for r in issues.select("statement", "issue", "message").distinct().collect()} == {(3, "column_count_mismatch", "query has 2 output columns but the object has 3")} and issues.count() == 20
