@@ -6,9 +6,11 @@ schema is looked up in `dbo`.
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import confidence_rank, multipart
@@ -52,16 +54,48 @@ def stored_edges(edges: DataFrame, objects: DataFrame, columns: DataFrame) -> tu
     return kept.select("owner", "source_id", "source_name", "target_id", "confidence", "transform", "statement"), issues
 
 
-class Stored(NamedTuple):
+#: Rows that one part of them holds.
+PART_ROWS = 1 << 18
+
+
+def parts(rows: DataFrame) -> int:
+    """How many parts of PART_ROWS the rows fill; one number goes to the driver."""
+    return max(1, ceil(rows.count() / PART_ROWS))
+
+
+def _dealt(rows: DataFrame, among: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(among, *keys) if among else rows
+
+
+def _spelled(name: str) -> Column:
+    """The first statement's spelling, then the smallest."""
+    return F.min_by(name, F.struct("statement", name)).alias("name")
+
+
+@dataclass(frozen=True)
+class Stored:
     """edges; the temporary tables and table variables of modules as objects; the columns that modules make; issues."""
 
     edges: DataFrame
     objects: DataFrame
-    columns: DataFrame
+    mentioned: DataFrame  # every mention of a column that a module makes
     issues: DataFrame
+    given: DataFrame  # the edges that all of it is made of
+    among: int | None  # parts() of them, if known
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.edges, self.objects, self.columns, self.issues))
+
+    @property
+    def columns(self) -> DataFrame:
+        """node, column_kind, resultset, column, name, ordinal. Mentions are dealt by node once, in parts that don't grow with the
+        edges: their grouping and numbering stay there. An edge mentions one in its target and one in its source at most."""
+        each = self.mentioned.repartition(2 * (self.among or parts(self.given)), "node").groupBy("node", "column_kind", "resultset", "column").agg(_spelled("name"), F.min("statement").alias("_first"))
+        order = Window.partitionBy("node", "column_kind", "resultset").orderBy("_first", "column")
+        return each.withColumn("ordinal", F.row_number().over(order)).drop("_first")
 
 
-def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) -> Stored:
+def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame, among: int | None = None) -> Stored:
     """Column edges of modules with every kind of target, by joins with the catalog.
 
     edges: owner, db, target_kind, target, target_column, resultset, source, source_column, confidence, transform, statement.
@@ -71,7 +105,8 @@ def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) ->
     source without a column (or `*`) is the whole object, one that isn't known keeps its name. Ids of what modules make hold
     the lower-case name, so no join is needed for them; the spelling is the first statement's, then the smallest. Of edges
     with equal ends, statement and transform that of the smallest owner with the highest confidence stays. An edge without
-    a target column is dropped.
+    a target column is dropped. among: parts() of the edges, if they are known from what the edges are made of; joins by module are
+    dealt in as many then, else as Spark sees fit.
     """
     made, whole = F.col("source").rlike("^[#@]"), F.col("source_column").isNull() | (F.col("source_column") == "*")
     own = lambda name: F.concat_ws("|", "owner", F.lower(name))
@@ -80,17 +115,23 @@ def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) ->
     cols = columns.select(F.col("node").alias("_cn"), F.lower("name").alias("_cname"), F.col("column").alias("id"))
 
     edges = edges.filter("target_column IS NOT NULL")
-    e = edges.join(objects.select(F.col("node").alias("owner"), F.col("kind").alias("_kind")), "owner", "left")
     temp, result = F.col("target_kind").isin("temp", "tablevar"), F.col("target_kind") == "resultset"
-    t = named_objects(e.withColumn("_name", F.when(F.col("target_kind") == "table", F.col("target"))), known, "_name").drop("_name")
-    t = t.withColumn("target_node", F.when(temp, own("target")).when(F.col("target_kind") == "table", F.col("node")).otherwise(F.col("owner"))).drop("node")
-    lost = t.filter("target_node IS NULL").groupBy("owner", F.lower("target").alias("_t"))
+    target = lambda rows, node, id_, kind: rows.withColumns({"target_node": node, "target_id": id_, "column_kind": kind}).select(*edges.columns, "target_node", "target_id", "column_kind")
+    # Each kind of target takes the joins that it needs: rows of what modules make pass none, so they neither fill nor widen the look-ups of others.
+    node = F.when(temp, own("target")).otherwise(F.col("owner"))
+    made_id = F.when(temp, under(node, "target_column")).otherwise(F.concat_ws("|", node, F.concat(F.lit("#rs"), F.col("resultset").cast("string")), F.lower("target_column")))
+    by_modules = target(edges.filter(temp | result), node, made_id, F.when(temp, "column").otherwise("resultset"))
+    named = named_objects(edges.filter("target_kind = 'table'"), known, "target")
+    lost = named.filter("node IS NULL").groupBy("owner", F.lower("target").alias("_t"))
     issues = lost.agg(F.min_by("target", F.struct("statement", "target")).alias("name"), F.min("statement").alias("statement")).select("owner", "name", "statement", F.lit("unresolved_ref").alias("issue"))
-    own_column = F.when(~temp & ~result, F.col("target_node"))  # nulls match nothing: columns that modules make are not looked up
-    t = looked_up(t, cols, [(own_column, "_cn"), (F.lower("target_column"), "_cname")], "column", required=False)
-    returned = (F.col("target_kind") == "self") & F.col("column").isNull() & (F.col("_kind") == "scalar_function")
-    made_id = F.when(temp | returned, under("target_node", "target_column")).when(result, F.concat_ws("|", "target_node", F.concat(F.lit("#rs"), F.col("resultset").cast("string")), F.lower("target_column")))
-    t = t.withColumns({"column_kind": F.when(temp, "column").when(result, "resultset").when(returned, "return_value"), "target_id": F.coalesce("column", made_id)}).drop("column").filter("target_id IS NOT NULL")
+    tables = target(looked_up(named, cols, [(F.col("node"), "_cn"), (F.lower("target_column"), "_cname")], "_id"), F.col("node"), F.col("_id"), F.lit(None).cast("string"))
+    selves = edges.filter(~(temp | result | (F.col("target_kind") == "table"))).withColumn("_c", F.lower("target_column"))
+    kinds = _dealt(objects.select(F.col("node").alias("owner"), F.col("kind").alias("_kind")), among, "owner")
+    selves = _dealt(selves, among, "owner").join(kinds, "owner", "left")
+    selves = _dealt(selves, among, "owner", "_c").join(_dealt(cols.select(F.col("_cn").alias("owner"), F.col("_cname").alias("_c"), "id"), among, "owner", "_c"), ["owner", "_c"], "left")
+    returned = (F.col("target_kind") == "self") & F.col("id").isNull() & (F.col("_kind") == "scalar_function")
+    selves = target(selves, F.col("owner"), F.coalesce("id", F.when(returned, under("owner", "target_column"))), F.when(returned, "return_value"))
+    t = by_modules.unionByName(tables).unionByName(selves).filter("target_id IS NOT NULL")
 
     s = named_objects(t.withColumn("_name", F.when(~made, F.col("source"))), known, "_name").drop("_name")
     s = s.withColumn("source_node", F.when(made, own("source")).otherwise(F.col("node"))).drop("node")
@@ -102,16 +143,13 @@ def stored_lineage(edges: DataFrame, objects: DataFrame, columns: DataFrame) ->
     first = F.min(F.struct("owner", (-confidence_rank(F.col("confidence"))).alias("rank"), "confidence", "via_object")).alias("_f")
     kept = s.groupBy(*key).agg(first).select(*key, "_f.owner", "_f.confidence", "_f.via_object")
 
-    spelled = lambda c: F.min_by(c, F.struct("statement", c)).alias("name")
     mentions = edges.filter(temp).select("owner", F.col("target").alias("name"), F.col("target_column").alias("column"), "statement")
     mentions = mentions.unionByName(t.filter(made).select("owner", F.col("source").alias("name"), F.when(~whole, F.col("source_column")).alias("column"), "statement"))
     owners = objects.select(F.col("node").alias("parent"), "db", "schema")
-    pseudo = mentions.groupBy("owner", own("name").alias("node")).agg(spelled("name")).select("node", "name", F.lit("temp_table").alias("kind"), F.col("owner").alias("parent")).join(owners, "parent", "left")
+    pseudo = mentions.groupBy("owner", own("name").alias("node")).agg(_spelled("name")).select("node", "name", F.lit("temp_table").alias("kind"), F.col("owner").alias("parent")).join(owners, "parent", "left")
     of_modules = t.filter("column_kind <> 'column'").select(F.col("target_node").alias("node"), F.col("target_column").alias("name"), "column_kind", F.when(result, F.col("resultset")).alias("resultset"), F.col("target_id").alias("column"), "statement")
     of_temps = mentions.filter("column IS NOT NULL").select(own("name").alias("node"), F.col("column").alias("name"), F.lit("column").alias("column_kind"), F.lit(None).cast("int").alias("resultset"), under(own("name"), "column").alias("column"), "statement")
-    each = of_modules.unionByName(of_temps).groupBy("node", "column_kind", "resultset", "column").agg(spelled("name"), F.min("statement").alias("_first"))
-    order = Window.partitionBy("node", "column_kind", "resultset").orderBy("_first", "column")
-    return Stored(kept, pseudo, each.withColumn("ordinal", F.row_number().over(order)).drop("_first"), issues)
+    return Stored(kept, pseudo, of_modules.unionByName(of_temps), issues, edges, among)
 
 
 def computed_columns(definitions: DataFrame, columns: DataFrame) -> DataFrame:

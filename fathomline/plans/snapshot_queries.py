@@ -401,19 +401,25 @@ def stored_lineage_issues(s, d):
 def _made(s, d) -> lineage.Stored:
     n, text = F.col("l_linenumber"), lambda start, k: F.concat(F.lit(start), F.col(k).cast("string"))
     by = lambda *rows: F.element_at(F.array(*(r if isinstance(r, Column) else F.lit(r) for r in rows)), F.least(n, F.lit(6)).cast("int"))
-    line = table(s, d, "lineitem").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = table(s, d, "lineitem")
+    among = lineage.parts(lines)
+    line = lines.repartition(among, "l_orderkey").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).repartition(among, "l_orderkey"), "l_orderkey", "left_semi")
     part, supplier = text("sales.p", "l_partkey"), text("dbo.s", "l_suppkey")
     edges = line.select(
         ident("o", "l_orderkey").alias("owner"), F.lit("shop").alias("db"), by("temp", "table", "resultset", "self", "tablevar", "table").alias("target_kind"), by("#Hold", supplier, None, None, "@seen", text("gone.T", "l_suppkey")).alias("target"),
         by("q", "b", "r", "RETURN_VALUE", "k", "a").alias("target_column"), F.when(n == 3, F.col("l_partkey") % 2).cast("int").alias("resultset"), by(part, "#hold", "@seen", "lost", part, part).alias("source"), by("A", "Q", "*", "z", "z", "a").alias("source_column"),
         F.lit("exact").alias("confidence"), F.lit("passthrough").alias("transform"), F.least(n, F.lit(6)).cast("int").alias("statement"),
     )
+    return lineage.stored_lineage(edges, *_made_catalog(s, d), among)
+
+
+def _made_catalog(s, d) -> tuple[DataFrame, DataFrame]:
     p, u, o = table(s, d, "part"), table(s, d, "supplier"), table(s, d, "orders")
     named = lambda rows, x, k, schema, kind: rows.select(ident(x, k).alias("node"), F.lit("shop").alias("db"), F.lit(schema).alias("schema"), F.concat(F.lit(x), F.col(k).cast("string")).alias("name"), kind.alias("kind"))
     modules = named(o, "o", "o_orderkey", "dbo", F.when(F.col("o_orderkey") % 2 == 0, "scalar_function").otherwise("procedure"))
     objects = named(p, "p", "p_partkey", "Sales", F.lit("table")).unionByName(named(u, "s", "s_suppkey", "dbo", F.lit("table"))).unionByName(modules)
     col = lambda rows, x, k, name: rows.select(F.concat(ident(x, k), F.lit(f".{name}")).alias("column"), ident(x, k).alias("node"), F.lit(name).alias("name"))
-    return lineage.stored_lineage(edges, objects, col(p, "p", "p_partkey", "a").unionByName(col(u, "s", "s_suppkey", "b")))
+    return objects, col(p, "p", "p_partkey", "a").unionByName(col(u, "s", "s_suppkey", "b"))
 
 
 # All parts of all customers and suppliers, each part as one text.

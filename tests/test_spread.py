@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from fathomline.operators import columns, graph, lineage, stored_graph, tsql, variables
-from fathomline.plans import scope_queries, sql_queries
+from fathomline.plans import scope_queries, snapshot_queries, sql_queries
+from fathomline.plans.estate import table
 
 
 def plan(df) -> str:
@@ -120,3 +121,24 @@ def test_declarations_are_found_without_joins(spark, monkeypatch):
     rows = edges.groupBy("statement", "target", "target_column", "source_column").count().collect()
     assert {tuple(r) for r in rows} == {(1, "@t", "a", "x", 20), (1, "@t", "b", "y", 20), (3, "@t", "B", "y", 20), (4, "@late", None, "v", 20), *((6, "@t", c, "*", 20) for c in "Bcd"), (7, "dbo.u", None, "w", 20)}
     assert {tuple(r) for r in issues.select("statement", "issue", "message").distinct().collect()} == {(3, "column_count_mismatch", "query has 2 output columns but the object has 3")} and issues.count() == 20
+
+
+def test_columns_of_modules_are_grouped_in_parts(spark, monkeypatch):
+    """What modules make went through all look-ups, and was grouped and numbered in partitions that grew with the table."""
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        monkeypatch.setattr(lineage, "PART_ROWS", 1000)
+        made = snapshot_queries._made(spark, "/root/testdata/sf0.001")
+        assert made.among == lineage.parts(table(spark, "/root/testdata/sf0.001", "lineitem")) > 3
+        found = plan(made.columns)
+        last = found.split("Exchange")[1]  # the top of the plan is its last step
+        assert f"hashpartitioning(node#{re.search(r'node#([0-9]+)', last)[1]}, {2 * made.among})" in last and "Window" in found.split("Exchange")[0]
+        of_results = plan(made.mentioned.filter("column_kind = 'resultset'"))
+        assert set(re.findall(r"SortMergeJoin .*?(Left\w+|Inner)", of_results)) == {"LeftSemi"}  # of line items with orders
+        assert made.columns.rdd.getNumPartitions() == 2 * made.among
+        spread = lineage.stored_lineage(made.given, *snapshot_queries._made_catalog(spark, "/root/testdata/sf0.001")).columns  # as without known parts
+        assert spread.exceptAll(made.columns).isEmpty() and made.columns.exceptAll(spread).isEmpty()
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
