@@ -142,3 +142,23 @@ def test_columns_of_modules_are_grouped_in_parts(spark, monkeypatch):
     finally:
         for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
             spark.conf.unset(key)
+
+
+def test_variables_are_joined_by_shuffles(spark, monkeypatch):
+    """Spark took assignments, made of a small table of bodies, for few, and collected all of them on the driver to broadcast them at each level."""
+    wide, cut = [], variables.checkpoint
+    monkeypatch.setattr(variables, "checkpoint", lambda df: wide.append(plan(df)) or cut(df))
+    rows = spark.createDataFrame([("m", "SELECT @a = x FROM dbo.t SET @b = @a SET @b = (SELECT y FROM dbo.u) RETURN @b")], "module string, body string")
+    found = variables.returned_edges(rows)
+    assert {r.source_column for r in found.collect()} == {"x", "y"}
+    assert not any("Broadcast" in p for p in [*wide, plan(found)])
+
+
+def test_token_rows_are_written_without_their_neighbours(spark, monkeypatch):
+    """Rows of tokens were written uncompressed, with all that they say of the rows around them, and shuffled so."""
+    cut, held = columns.written, []
+    monkeypatch.setattr(columns, "written", lambda df: held.append(cut(df)) or held[-1])
+    body = "INSERT dbo.u (a) SELECT w FROM log.leg"
+    found = columns.statement_rows(spark.createDataFrame([("m", body)], "module string, body string"), columns.MARKS)
+    assert [(r.name, r.before, r.after) for r in found.orderBy("i").collect()][:2] == [("INSERT", None, "dbo.u"), ("dbo.u", "INSERT", "(")]
+    assert "FileScan parquet" in plan(held[0]) and not {"before", "after", "word1"} & set(held[0].columns)
