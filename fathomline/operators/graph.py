@@ -20,11 +20,16 @@ EDGE_KINDS = ("catalog", "fk", "trigger", "synonym", "parsed_read", "parsed_writ
 REVERSED = ("catalog", "fk", "synonym", "parsed_read")
 
 
-def first_edges(dependencies: DataFrame) -> DataFrame:
-    """id, source, target, kind in the direction of data: no loops, the first of equal edges."""
+def turned(dependencies: DataFrame) -> DataFrame:
+    """id, source, target, kind in the direction of data, without loops."""
     back = F.col("kind").isin(*REVERSED)
-    turned = dependencies.select("id", F.when(back, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("target"), "kind")
-    return turned.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").groupBy("source", "target", "kind").agg(F.min("id").alias("id"))
+    rows = dependencies.select("id", F.when(back, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("target"), "kind")
+    return rows.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target")
+
+
+def first_edges(dependencies: DataFrame) -> DataFrame:
+    """turned(), the first of equal edges."""
+    return turned(dependencies).groupBy("source", "target", "kind").agg(F.min("id").alias("id"))
 
 
 def flow_edges(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import columns, graph, lineage, stored_graph, tsql, variables
-from fathomline.plans import scope_queries, snapshot_queries, sql_queries
+from fathomline.plans import queries, scope_queries, snapshot_queries, sql_queries
 from fathomline.plans.estate import table
+from fathomline.session import shared_folder
 
 
 def plan(df) -> str:
@@ -162,3 +164,34 @@ def test_token_rows_are_written_without_their_neighbours(spark, monkeypatch):
     found = columns.statement_rows(spark.createDataFrame([("m", body)], "module string, body string"), columns.MARKS)
     assert [(r.name, r.before, r.after) for r in found.orderBy("i").collect()][:2] == [("INSERT", None, "dbo.u"), ("dbo.u", "INSERT", "(")]
     assert "FileScan parquet" in plan(held[0]) and not {"before", "after", "word1"} & set(held[0].columns)
+
+
+def test_neighbourhoods_write_only_edges_they_meet(spark):
+    """The first neighbourhood of a session stored all edges twice, and shuffled them five times for that."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = lambda: {f.getPath().toString() for f in files.listStatus(top)}
+    before = held()
+    assert queries.ORACLES["ego_edges"] and queries.QUERIES["ego_edges"](spark, "/root/testdata/sf0.001").count() > 0
+    assert (new := held() - before) and all("/rows-" in f for f in new)
+    assert max(spark.read.parquet(f).count() for f in new) < table(spark, "/root/testdata/sf0.001", "lineitem").count() / 2
+
+
+@pytest.mark.parametrize("few", [65_536, 1])
+def test_graphs_without_a_store_are_those_of_all_edges(spark, monkeypatch, few):
+    """few: also with more nodes than are broadcast; 64 bits let through some edges that aren't at them."""
+    monkeypatch.setattr(stored_graph, "FEW", few)
+    monkeypatch.setattr(stored_graph, "BITS", 64)
+    deps = [(1, "f", "a", "parsed_write"), (2, "f", "a", "parsed_write"), (3, "a", "b", "parsed_write"), (4, "c", "a", "fk"), (5, "d", "a", "fk"), (6, "d", "e", "parsed_write"), (7, "d", "lost", "parsed_write"), (8, "lost", "f", "parsed_write"), (9, "b", "b", "fk")]
+    deps += [(10 + k, f"x{k}", f"y{k}", "trigger") for k in range(200)]
+    uses = spark.createDataFrame(deps, "id int, source string, target string, kind string")
+    names = sorted({x for _, *ends, _ in deps for x in ends} - {"lost"})
+    nodes = spark.createDataFrame([(n, "view" if n == "d" else "table", "dbo", "external" if n == "c" else "in_scope") for n in names], "node string, kind string, schema string, scope string")
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    for focus, options in (("f", {"depth": 3}), ("f", {"direction": "down", "depth": 3, "max_nodes": 3}), ("e", {"direction": "up", "external": False})):
+        at = spark.createDataFrame([(focus,)], "node string")
+        a, b = graph.ego_graph(nodes, graph.flow_edges(nodes, uses), at, graph.Ego(**options)), stored_graph.ego(stored_graph.LiveGraph(nodes, uses), at, graph.Ego(**options))
+        assert a.total == b.total and all(rows(getattr(a, part)) == rows(getattr(b, part)) for part in ("reached", "hops", "edges", "more"))
+    at = spark.createDataFrame([("lost",)], "node string")
+    alone = stored_graph.ego(stored_graph.LiveGraph(nodes, uses), at, graph.Ego())
+    assert rows(alone.reached) == [(0, "lost")] and rows(alone.more) == [(0, 0, "lost")] and alone.edges.isEmpty()
