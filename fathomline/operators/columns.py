@@ -145,12 +145,16 @@ def sourced(items: DataFrame) -> DataFrame:
 def statement_rows(modules: DataFrame, kinds, body: str = "body") -> DataFrame:
     """runs() of the statements of these kinds, written to the checkpoint folder once and dealt by module in parts().
 
-    What a row says of the rows around it, more than half of its width, is neither written nor shuffled, but found after that.
+    What a row says of the rows around it, more than half of its width, is neither written nor shuffled, but found after that. A row's
+    numbers are shuffled as one array: whatever takes of them what it needs takes the same shuffle.
     """
-    among = parts(modules, body)
+    among, numbers = parts(modules, body), ("index", "i", "depth", "cases", "size")
     stated = statement_tokens(name_tokens(modules, body, among)).filter(F.col("kind").isin(*kinds) & ~F.col("inner"))
     # What is written forgets how its rows were dealt; dealt again by module, all that follows stays in these parts.
-    return runs(written(stated).repartition(among, "module"))
+    packed = F.array(*(F.col(c).cast("int") for c in numbers), F.col("is_name").cast("int")).alias("_numbers")
+    dealt = written(stated).select("module", "kind", "token", "word", packed).repartition(among, "module")
+    own = {c: F.get("_numbers", F.lit(k)).cast(stated.schema[c].dataType) for k, c in enumerate((*numbers, "is_name"))}
+    return runs(dealt.withColumns(own | {"inner": F.lit(False)}).drop("_numbers"))
 
 
 def column_edges(modules: DataFrame, body: str = "body", rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
